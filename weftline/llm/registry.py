@@ -1,8 +1,12 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
+from weftline.llm.decontaminate import op5_decontaminate
 from weftline.llm.quality_rules import op10_quality_rules
+from weftline.llm.simhash import op4_simhash
 
 QUERIES = {
+    "op4_simhash": op4_simhash,
+    "op5_decontaminate": op5_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}
