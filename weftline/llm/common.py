@@ -41,6 +41,7 @@ class Scratch:
         """Write once, read back; zstd, as these tables are large and short-lived."""
         path = f"{self.path}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.spark.sparkContext._jvm.System.gc()  # the driver then lets executors delete the shuffle files of the step
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -76,7 +76,8 @@ def hits(docs: DataFrame, windows: DataFrame, broadcast_bytes: int = 64 << 20) -
     if not blocks:
         return docs.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("l"), F.lit("").alias("window")).limit(0)
     blocks = reduce(lambda a, b: F.concat(a, b), blocks)
-    found = tokens.withColumn("_b", blocks).select("doc_id", "_w", F.explode("_b").alias("_b")).select("doc_id", "_w", F.col("_b.l").alias("l"), F.col("_b.at").alias("at"), F.col("_b.key").alias("key"))
+    # explode_outer: for explode Spark adds a filter on the exploded column, which would compute all of it twice
+    found = tokens.withColumn("_b", blocks).select("doc_id", "_w", F.explode_outer("_b").alias("_b")).select("doc_id", "_w", F.col("_b.l").alias("l"), F.col("_b.at").alias("at"), F.col("_b.key").alias("key"))
     found = found.join(grams, ["l", "key"]).withColumn("start", F.col("at") - F.col("o"))
     found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("l") <= F.size("_w")))
     return found.filter(_joined("_w", F.greatest("start", F.lit(0)), F.col("l")) == F.col("window")).select("doc_id", "start", "l", "window").distinct()
