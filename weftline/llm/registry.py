@@ -1,12 +1,20 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
 from weftline.llm.decontaminate import op5_decontaminate
+from weftline.llm.html_extract import op9_html_extract
+from weftline.llm.packing import op7_packing
 from weftline.llm.quality_rules import op10_quality_rules
 from weftline.llm.simhash import op4_simhash
+from weftline.llm.substring_dedup import op2_substring_dedup
+from weftline.llm.suffix_dedup import op6_suffix_dedup
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_packing": op7_packing,
+    "op9_html_extract": op9_html_extract,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}
