@@ -1 +1,202 @@
-"""Queries."""
+"""Queries of sources, sinks, dictionaries, text and features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.functions import text
+from weftline.operators import coo, dictionary
+from weftline.plans.registry import query, r6
+from weftline.plans.views import Views
+from weftline.sources import playlists as src
+from weftline.sources.scratch import folder
+
+
+def _json(v: Views, test: bool) -> str:
+    """The playlists as JSON slices of a thousand, written by Spark."""
+    tracks = v.occurrences.join(v.songs, "song_id").select(
+        "playlist_id",
+        F.struct(
+            F.col("pos").cast("int").alias("pos"), F.concat(F.lit("x:track:"), "song_id").alias("track_uri"), "track_name", F.col("artist").alias("artist_uri"), F.col("artist").alias("artist_name"),
+            F.col("album").alias("album_uri"), F.col("album").alias("album_name"), F.col("duration").cast("int").alias("duration_ms"),
+        ).alias("t"),
+    )
+    own = tracks.groupBy("playlist_id").agg(F.sort_array(F.collect_list("t")).alias("tracks"))
+    pl = v.playlists.filter(F.col("is_test") == test).join(own, "playlist_id", "left")
+    one = F.struct(F.col("playlist_id").cast("string").alias("pid"), "name", F.col("n_tracks").cast("int").alias("num_tracks"), "tracks")
+    slices = pl.groupBy(F.floor(F.col("playlist_id") / 1000).alias("slice")).agg(F.sort_array(F.collect_list(F.struct("playlist_id", one.alias("one")))).alias("p"))
+    path = folder(v.spark, "slices")
+    slices.select(F.to_json(F.struct(F.col("p.one").alias("playlists")))).write.text(path)
+    return path
+
+
+@query(
+    "src_json_playlists",
+    "SELECT CAST(playlist_id AS VARCHAR) AS pid, name, CAST(pos AS BIGINT) AS pos, 'x:track:' || song_id AS track_uri, artist AS artist_uri, duration FROM occ JOIN songs USING (song_id) JOIN pl USING (playlist_id) WHERE NOT is_test",
+)
+def src_json_playlists(v: Views) -> DataFrame:
+    pl = src.read_playlists(v.spark, _json(v, False))
+    tracks = src.tracks_of(pl).join(pl.select("pid", "name"), "pid")
+    return tracks.select("pid", "name", F.col("pos").cast("long").alias("pos"), "track_uri", "artist_uri", F.col("duration_ms").cast("long").alias("duration"))
+
+
+@query("src_union_test", "SELECT CAST(playlist_id AS VARCHAR) AS pid, name, CAST(n_tracks AS BIGINT) AS n_tracks, is_test FROM pl")
+def src_union_test(v: Views) -> DataFrame:
+    both = src.read_playlists(v.spark, _json(v, False)).unionByName(src.read_playlists(v.spark, _json(v, True), is_test=True))
+    return both.select("pid", "name", F.col("num_tracks").cast("long").alias("n_tracks"), "is_test")
+
+
+FIRST_SEEN = "d AS (SELECT song_id, row_number() OVER (ORDER BY min((playlist_id, pos))) - 1 AS idx FROM occ GROUP BY song_id)"
+
+
+@query("dict_first_seen", f"{FIRST_SEEN} SELECT song_id, idx FROM d")
+def dict_first_seen(v: Views) -> DataFrame:
+    return dictionary.first_seen(v.occurrences, "song_id", "playlist_id", "pos")
+
+
+@query("json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.absent') AS absent FROM events")
+def json_props(v: Views) -> DataFrame:
+    parsed = v.table("events").select("event_id", F.from_json("props", "k bigint, absent string").alias("p"))
+    return parsed.select("event_id", "p.k", "p.absent")
+
+
+AUDIO_SQL = ", ".join(f"('{a}', features[{k + 1}])" for k, a in enumerate(src.AUDIO))
+
+
+def audio_table(v: Views) -> DataFrame:
+    """Audio features of the songs that have a vector: its first places, the label as key."""
+    e = v.table("embeddings").select(F.col("vec_id").alias("song_id"), F.col("embedding").cast("array<double>").alias("x"), "label")
+    return v.songs.select("song_id").join(e, "song_id").select("song_id", F.concat(F.lit("x:track:"), "song_id").alias("uri"), *[F.get("x", F.lit(k)).alias(a) for k, a in enumerate(src.AUDIO)], F.col("label").alias("key"))
+
+
+@query(
+    "src_audio_feats",
+    f"""a AS (SELECT song_id, features, label FROM songs JOIN f ON id = song_id JOIN embeddings ON vec_id = song_id)
+SELECT song_id, t.feature, round(t.value, 6) AS value, CAST(NULL AS VARCHAR) AS category FROM a, LATERAL (VALUES {AUDIO_SQL}) t(feature, value)
+UNION ALL SELECT song_id, 'key', NULL, CAST(label AS VARCHAR) FROM a""",
+)
+def src_audio_feats(v: Views) -> DataFrame:
+    """Written as JSON, read with the schema, made long and joined to the songs by uri."""
+    path = folder(v.spark, "audio")
+    audio_table(v).drop("song_id").write.json(path)
+    rows = v.spark.read.schema("uri string, key int, " + ", ".join(f"{a} double" for a in src.AUDIO)).json(path).filter("uri is not null")
+    ids = v.songs.select("song_id", F.concat(F.lit("x:track:"), "song_id").alias("uri"))
+    return src.long_audio(rows).join(ids, "uri").select("song_id", "feature", r6("value", "value"), "category")
+
+
+@query(
+    "batch_uris",
+    "b AS (SELECT song_id // 100 AS batch, 'x:track:' || song_id AS uri, song_id FROM songs) SELECT batch, string_agg(split_part(uri, ':', 3), '%2C' ORDER BY song_id) AS ids, count(*) AS n FROM b GROUP BY batch",
+)
+def batch_uris(v: Views) -> DataFrame:
+    uri = v.songs.select("song_id", F.concat(F.lit("x:track:"), "song_id").alias("uri"))
+    row = F.struct("song_id", F.get(F.split("uri", ":"), F.lit(2)).alias("id"))
+    out = uri.groupBy(F.floor(F.col("song_id") / 100).alias("batch")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return out.select("batch", F.array_join("rows.id", "%2C").alias("ids"), F.size("rows").cast("long").alias("n"))
+
+
+LIBSVM = "l AS (SELECT row_id, string_agg(col_id || ':' || CASE WHEN value = floor(value) THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) ELSE printf('%.5f', value) END, ' ' ORDER BY col_id) AS line FROM (SELECT row_id, col_id, round(value, 3) AS value FROM e) GROUP BY 1)"
+
+
+@query("libsvm_format", f"{LIBSVM} SELECT row_id, line FROM l")
+def libsvm_format(v: Views) -> DataFrame:
+    return src.format_libsvm(v.events.withColumn("value", F.round("value", 3)))
+
+
+@query("libsvm_parse", "SELECT row_id, col_id, round(value, 3) AS value FROM e")
+def libsvm_parse(v: Views) -> DataFrame:
+    """Written as lines and read again."""
+    path = folder(v.spark, "libsvm")
+    src.format_libsvm(v.events.withColumn("value", F.round("value", 3))).select(F.concat_ws(" ", F.col("row_id").cast("string"), "line")).write.text(path)
+    return src.parse_libsvm(v.spark.read.text(path)).select("row_id", "col_id", F.round("value", 3).alias("value"))
+
+
+@query("coo_to_csv", "SELECT row_id, col_id, round(value, 6) AS value FROM e")
+def coo_to_csv(v: Views) -> DataFrame:
+    path = folder(v.spark, "csv")
+    v.events.select("row_id", "col_id", "value").write.csv(path)
+    return v.spark.read.schema("row_id long, col_id long, value double").csv(path).select("row_id", "col_id", r6("value", "value"))
+
+
+@query("dense_csv", "SELECT list_transform(features, lambda x: round(x, 5)) AS features FROM f")
+def dense_csv(v: Views) -> DataFrame:
+    """Written with five decimals and read again."""
+    path = folder(v.spark, "dense")
+    v.factors.select(F.array_join(F.transform("features", lambda x: F.format_string("%.5f", x)), ",")).write.text(path)
+    return src.parse_dense_csv(v.spark.read.text(path)).select(F.transform("features", lambda x: F.round(x, 5)).alias("features"))
+
+
+@query("dict_inference", "d AS (SELECT DISTINCT album FROM songs JOIN train ON col_id = song_id WHERE row_id % 2 = 0) SELECT song_id, album FROM songs WHERE album IN (SELECT album FROM d)")
+def dict_inference(v: Views) -> DataFrame:
+    """The dictionary is frozen on even playlists; unknown albums are dropped."""
+    seen = v.train.filter("row_id % 2 = 0").join(v.songs, F.col("col_id") == F.col("song_id"))
+    frozen = dictionary.first_seen(seen, "album", "row_id", "date")
+    return dictionary.encode(v.songs, "album", frozen).select("song_id", "album")
+
+
+@query("bag_of_cats", f"d AS (SELECT album, row_number() OVER (ORDER BY min(song_id)) - 1 AS idx FROM songs GROUP BY 1) SELECT playlist_id AS row_id, idx AS col_id, CAST(count(*) AS DOUBLE) AS value FROM occ JOIN songs USING (song_id) JOIN d USING (album) GROUP BY ALL")
+def bag_of_cats(v: Views) -> DataFrame:
+    albums = dictionary.first_seen(v.songs, "album", "song_id")
+    return dictionary.bag_feature(v.occurrences.join(v.songs, "song_id"), "playlist_id", "album", albums)
+
+
+FEATS = """d AS (SELECT artist, row_number() OVER (ORDER BY min(song_id)) - 1 AS idx FROM songs GROUP BY 1),
+w AS (SELECT song_id, unnest(regexp_split_to_array(track_name, ' ')) AS word FROM songs), wd AS (SELECT word, row_number() OVER (ORDER BY min(song_id * 100000 + length(word)), word) - 1 AS idx FROM w GROUP BY 1)
+SELECT 'duration' AS feature, song_id AS row_id, 0 AS col_id, CAST(duration AS DOUBLE) AS value FROM songs UNION ALL
+SELECT 'artist', song_id, idx, 1.0 FROM songs JOIN d USING (artist)
+UNION ALL SELECT 'word', song_id, 0, CAST(count(*) AS DOUBLE) FROM w JOIN wd USING (word) GROUP BY song_id"""
+
+
+@query("feat_rows", FEATS)
+def feat_rows(v: Views) -> DataFrame:
+    """A number, a category and a text as feature rows; the text's by how many words the dictionary holds."""
+    s = v.songs
+    named = lambda m, name: m.select(F.lit(name).alias("feature"), "row_id", "col_id", "value")
+    words = F.split("track_name", " ")
+    vocabulary = dictionary.first_seen(s.select("song_id", F.explode(words).alias("word")), "word", "song_id")
+    counted = dictionary.text_feature(s, "song_id", words, vocabulary, "word").groupBy("row_id").agg(F.sum("value").alias("value")).withColumn("col_id", F.lit(0).cast("long"))
+    out = named(dictionary.numeric_feature(s, "song_id", "duration"), "duration").union(named(dictionary.category_feature(s, "song_id", "artist", dictionary.first_seen(s, "artist", "song_id")), "artist"))
+    return out.union(named(counted, "word"))
+
+
+@query("feat_names", "SELECT DISTINCT album, 'album_' || regexp_replace(trim(album), '\\s+', '_', 'g') AS feature FROM songs")
+def feat_names(v: Views) -> DataFrame:
+    return v.songs.select("album").distinct().select("album", text.feature_name("album", "album").alias("feature"))
+
+
+@query("name_regexed", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[[:punct:]]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM documents")
+def name_regexed(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", text.normalized_name("text").alias("name"))
+
+
+@query("duration_sec", "SELECT song_id, CAST(floor(duration * 1000 / 60) AS BIGINT) // 1000 AS seconds FROM songs")
+def duration_sec(v: Views) -> DataFrame:
+    """Whole seconds of a duration in milliseconds."""
+    ms = F.floor(F.col("duration") * 1000 / 60).cast("long")
+    return v.songs.select("song_id", F.floor(ms / 1000).cast("long").alias("seconds"))
+
+
+FOLD = f"list_transform(regexp_extract_all(text, '\\p{{Lu}}+\\p{{Ll}}*|\\p{{Ll}}+|[0-9]+'), lambda t: translate(lower(t), '{text.FOLD_FROM}', '{text.FOLD_TO}'))"
+
+
+@query("tokenize", f"SELECT conv_id, turn, {FOLD} AS tokens FROM conversations")
+def tokenize(v: Views) -> DataFrame:
+    return v.table("conversations").select("conv_id", "turn", text.tokens("text").alias("tokens"))
+
+
+@query(
+    "char_ngrams",
+    "t AS (SELECT song_id, unnest(regexp_split_to_array(track_name, ' ')) AS w FROM songs), n AS (SELECT song_id, w, unnest([2, 3]) AS n FROM t) SELECT song_id, w AS word, n AS size, substr(w, i, n) AS gram, i FROM (SELECT *, unnest(range(1, length(w) - n + 2)) AS i FROM n)",
+)
+def char_ngrams(v: Views) -> DataFrame:
+    words = v.songs.select("song_id", F.explode(F.split("track_name", " ")).alias("word"))
+    sized = words.select("song_id", "word", F.explode(F.array(F.lit(2), F.lit(3))).alias("size"))
+    grams = sized.withColumn("g", F.when(F.col("size") == 2, text.char_ngrams(F.array("word"), 2, 2)).otherwise(text.char_ngrams(F.array("word"), 3, 3)))
+    return grams.select("song_id", "word", "size", F.posexplode("g").alias("p", "gram")).select("song_id", "word", "size", "gram", (F.col("p") + 1).cast("long").alias("i"))
+
+
+@query("attr_join", "SELECT playlist_id, song_id, artist, album, duration, name, n_tracks FROM occ JOIN songs USING (song_id) LEFT JOIN pl USING (playlist_id)")
+def attr_join(v: Views) -> DataFrame:
+    pl = v.playlists.select("playlist_id", "name", F.col("n_tracks").cast("long").alias("n_tracks"))
+    return v.occurrences.join(v.songs, "song_id").join(pl, "playlist_id", "left").select("playlist_id", "song_id", "artist", "album", "duration", "name", "n_tracks")
