@@ -1 +1,253 @@
-"""Queries."""
+"""Queries of factorisations and of the second stage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.operators import coo, dictionary, latent, stage2
+from weftline.plans.features import audio_table
+from weftline.plans.ranking import BLEND, HID, UU, blended, hidden, uu
+from weftline.plans.registry import query, r6
+from weftline.plans.views import Views
+from weftline.sources.scratch import saved
+
+ALS1 = """h AS (SELECT song_id, v[1] AS h FROM vf), g AS (SELECT sum(h * h) AS g FROM h WHERE song_id IN (SELECT col_id FROM train))
+SELECT row_id AS playlist_id, round(sum(h * (1 + 10 * value)) / (any_value(g) + 10 * sum(value * h * h) + 0.1), 6) AS u FROM train JOIN h ON col_id = song_id, g GROUP BY 1"""
+
+
+@query("als_rank1_step", ALS1)
+def als_rank1_step(v: Views) -> DataFrame:
+    """A half-step of rank one, with the first place of the songs' factors fixed."""
+    one = v.song_factors().select(F.col("song_id").alias("id"), F.slice("v", 1, 1).alias("features"))
+    one = saved(one.join(v.train.select(F.col("col_id").alias("id")).distinct(), "id", "left_semi"), "rank1")
+    step = latent.als_half_step(v.train, one, 1, 10, 0.1)
+    return step.select(F.col("id").alias("playlist_id"), F.round(F.get("features", F.lit(0)), 6).alias("u"))
+
+
+@query("als_fit")
+def als_fit(v: Views) -> DataFrame:
+    u, w = latent.als(v.train, rank=8, iterations=2, alpha=100, lam=0.001)
+    named = lambda df, side: df.select(F.lit(side).alias("side"), "id", "features")
+    return named(u, "playlist").unionByName(named(w, "song"))
+
+
+def stacked(v: Views, kind: str) -> DataFrame:
+    """One-hot rows of songs above the sums of the songs of each playlist; columns are albums or artists."""
+    ids = saved(dictionary.first_seen(v.songs, kind, "song_id"), "dictionary")
+    own = dictionary.category_feature(v.songs, "song_id", kind, ids)
+    members = v.train.select(F.col("row_id").alias("playlist_id"), F.col("col_id").alias("song_id")).join(v.songs, "song_id")
+    n_songs = v.songs.agg(F.max("song_id") + 1).first()[0]
+    return coo.below(own, dictionary.bag_feature(members, "playlist_id", kind, ids), n_songs)
+
+
+def _stacked_sql(kind: str) -> str:
+    return f"""d AS (SELECT {kind}, row_number() OVER (ORDER BY min(song_id)) - 1 AS idx FROM songs GROUP BY 1), m AS (
+SELECT song_id AS row_id, idx AS col_id, CAST(1 AS DOUBLE) AS value FROM songs JOIN d USING ({kind})
+UNION ALL SELECT row_id + (SELECT max(song_id) + 1 FROM songs), idx, CAST(count(*) AS DOUBLE) FROM train JOIN songs ON col_id = song_id JOIN d USING ({kind}) GROUP BY ALL)"""
+
+
+@query("svd_input_album", f"{_stacked_sql('album')} SELECT * FROM m")
+def svd_input_album(v: Views) -> DataFrame:
+    return stacked(v, "album")
+
+
+@query("svd_input_artist", f"{_stacked_sql('artist')} SELECT * FROM m")
+def svd_input_artist(v: Views) -> DataFrame:
+    return stacked(v, "artist")
+
+
+@query(
+    "svd_input_name",
+    """d AS (SELECT name, row_number() OVER (ORDER BY min(playlist_id)) - 1 AS idx FROM pl GROUP BY 1)
+SELECT col_id AS row_id, idx AS col_id, CAST(count(*) AS DOUBLE) AS value FROM train JOIN pl ON row_id = playlist_id JOIN d USING (name) GROUP BY ALL
+UNION ALL SELECT playlist_id + (SELECT max(song_id) + 1 FROM songs), idx, 1.0 FROM pl JOIN d USING (name)""",
+)
+def svd_input_name(v: Views) -> DataFrame:
+    """Names of the playlists a song is in, above each playlist's own name."""
+    ids = saved(dictionary.first_seen(v.playlists, "name", "playlist_id"), "dictionary")
+    inside = v.train.join(v.playlists.select(F.col("playlist_id").alias("row_id"), "name"), "row_id")
+    own = dictionary.category_feature(v.playlists, "playlist_id", "name", ids)
+    return coo.below(dictionary.bag_feature(inside, "col_id", "name", ids), own, v.songs.agg(F.max("song_id") + 1).first()[0])
+
+
+POWER = f"""{_stacked_sql('album')}, y1 AS (SELECT row_id, sum(value) AS y FROM m GROUP BY 1), z1 AS (SELECT col_id, sum(value * y) AS z FROM m JOIN y1 USING (row_id) GROUP BY 1),
+x1 AS (SELECT col_id, z / sqrt(sum(z * z) OVER ()) AS x FROM z1), y2 AS (SELECT row_id, sum(value * x) AS y FROM m JOIN x1 USING (col_id) GROUP BY 1), z2 AS (SELECT col_id, sum(value * y) AS z FROM m JOIN y2 USING (row_id) GROUP BY 1)
+SELECT col_id, round(z / sqrt(sum(z * z) OVER ()), 6) AS x FROM z2"""
+
+
+@query("svd_power1", POWER)
+def svd_power1(v: Views) -> DataFrame:
+    """Two power steps to the first right singular vector of the album matrix."""
+    m = saved(stacked(v, "album"), "album")
+    x = m.select(F.col("col_id").alias("id")).distinct().withColumn("value", F.lit(1.0))
+    for _ in range(2):
+        y = coo.times_vector(m, x).withColumnRenamed("row_id", "id")
+        z = saved(coo.vector_times(y, m), "power")
+        norm = z.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0]
+        x = z.select(F.col("col_id").alias("id"), (F.col("value") / norm).alias("value"))
+    return x.select(F.col("id").alias("col_id"), r6("value", "x"))
+
+
+@query("svd_fit")
+def svd_fit(v: Views) -> DataFrame:
+    """Factors of artists and their singular values."""
+    _, s, right = latent.svd(stacked(v, "artist"), rank=8, iterations=3)
+    return right.select("id", "features", F.array(*map(F.lit, s)).alias("singular"))
+
+
+def members(v: Views) -> DataFrame:
+    return v.train.select(F.col("row_id").alias("playlist_id"), F.col("col_id").alias("song_id"))
+
+
+PC = """mem AS (SELECT row_id AS playlist_id, col_id AS song_id, artist, album, duration FROM train JOIN songs ON col_id = song_id),
+pc AS (SELECT 'song' AS kind, CAST(song_id AS VARCHAR) AS key, count(DISTINCT playlist_id) AS n FROM mem GROUP BY ALL UNION ALL SELECT 'artist', artist, count(DISTINCT playlist_id) FROM mem GROUP BY ALL
+  UNION ALL SELECT 'album', album, count(DISTINCT playlist_id) FROM mem GROUP BY ALL),
+sp AS (SELECT s.*, coalesce(a.n, 0) AS song_pop, coalesce(b.n, 0) AS artist_pop, coalesce(c.n, 0) AS album_pop FROM songs s LEFT JOIN pc a ON a.kind = 'song' AND a.key = CAST(song_id AS VARCHAR)
+  LEFT JOIN pc b ON b.kind = 'artist' AND b.key = artist LEFT JOIN pc c ON c.kind = 'album' AND c.key = album)"""
+PS = f"""{PC}, ps AS (SELECT m.playlist_id, sum(song_pop) / count(*) AS song_pop, sum(artist_pop) / count(*) AS artist_pop, sum(album_pop) / count(*) AS album_pop, sum(sp.duration) / count(*) AS duration,
+  sum(list_inner_product(u, v)) / count(*) AS uv, sum(list_inner_product(u[1:32], v[1:32])) / count(*) AS name_uv, count(DISTINCT sp.artist) / count(*) AS artists, count(DISTINCT sp.album) / count(*) AS albums, count(*) AS n
+  FROM mem m JOIN sp USING (song_id) JOIN uf ON uf.playlist_id = m.playlist_id JOIN vf USING (song_id) GROUP BY 1)"""
+SAMPLE = "smp AS (SELECT col_id AS song_id, row_id AS playlist_id FROM train QUALIFY row_number() OVER (PARTITION BY col_id ORDER BY md5(concat_ws('#', 'song', col_id, row_id)), row_id) <= 20)"
+SS = f"{SAMPLE}, ss AS (SELECT song_id, avg(n_tracks) AS n_tracks, avg(list_inner_product(u, v)) AS uv, avg(list_inner_product(u[1:32], v[1:32])) AS name_uv FROM smp JOIN pl USING (playlist_id) JOIN uf USING (playlist_id) JOIN vf USING (song_id) GROUP BY 1)"
+
+
+def counted(v: Views) -> DataFrame:
+    return stage2.popularity_counts(members(v).join(v.songs, "song_id"))
+
+
+def rounded(df: DataFrame, *keys: str) -> DataFrame:
+    """Doubles to six places."""
+    return df.select(*keys, *[r6(c, c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
+
+
+@query("pop_stats", f"{PC} SELECT kind, key, n FROM pc")
+def pop_stats(v: Views) -> DataFrame:
+    return counted(v)
+
+
+PS_COLUMNS = "song_pop artist_pop album_pop duration uv name_uv artists albums".split()
+
+
+@query("playlist_stats", f"{PS} SELECT playlist_id, {', '.join(f'round({c}, 6) AS {c}' for c in PS_COLUMNS)}, n FROM ps")
+def playlist_stats(v: Views) -> DataFrame:
+    songs = stage2.with_popularity(v.songs, saved(counted(v), "counts"))
+    return rounded(stage2.playlist_stats(members(v), songs, v.playlist_factors(), v.song_factors()), "playlist_id")
+
+
+@query(
+    "playlist_albums",
+    "b AS (SELECT row_id AS playlist_id, album, CAST(count(*) AS DOUBLE) AS value FROM train JOIN songs ON col_id = song_id GROUP BY ALL) SELECT playlist_id, album, value FROM b WHERE album IN (SELECT album FROM b GROUP BY 1 HAVING count(*) > 20)",
+)
+def playlist_albums(v: Views) -> DataFrame:
+    """Albums of playlists, if more than twenty playlists have them."""
+    ids = saved(dictionary.first_seen(v.songs, "album", "song_id"), "dictionary")
+    bags = dictionary.bag_feature(members(v).join(v.songs, "song_id"), "playlist_id", "album", ids)
+    kept = coo.counts(bags, "col_id").filter("nnz > 20").select("col_id")
+    named = bags.join(kept, "col_id", "left_semi").join(ids, F.col("col_id") == F.col("idx"))
+    return named.select(F.col("row_id").alias("playlist_id"), "album", "value")
+
+
+@query("song_stats", f"{SS} SELECT song_id, round(n_tracks, 6) AS n_tracks, round(uv, 6) AS uv, round(name_uv, 6) AS name_uv FROM ss")
+def song_stats(v: Views) -> DataFrame:
+    return rounded(stage2.song_stats(stage2.sampled(members(v), 20), v.playlists, v.playlist_factors(), v.song_factors()), "song_id")
+
+
+@query("feat_song", f"{PC}, {SS} SELECT song_id, sp.duration, round(coalesce(n_tracks, 0), 6) AS n_tracks, round(coalesce(uv, 0), 6) AS uv, round(coalesce(name_uv, 0), 6) AS name_uv, song_pop, artist_pop, album_pop FROM sp LEFT JOIN ss USING (song_id)")
+def feat_song(v: Views) -> DataFrame:
+    songs = stage2.with_popularity(v.songs, saved(counted(v), "counts"))
+    stats = stage2.song_stats(stage2.sampled(members(v), 20), v.playlists, v.playlist_factors(), v.song_factors())
+    zero = [r6(F.coalesce(c, F.lit(0.0)), c) for c in ("n_tracks", "uv", "name_uv")]
+    return songs.join(stats, "song_id", "left").select("song_id", "duration", *zero, "song_pop", "artist_pop", "album_pop")
+
+
+@query(
+    "feat_playlist",
+    f"{PS}, d AS (SELECT name, row_number() OVER (ORDER BY min(playlist_id)) - 1 AS idx FROM pl GROUP BY 1) SELECT playlist_id, CAST(n_tracks AS BIGINT) AS n_tracks, idx AS name_index, {', '.join(f'round({c}, 6) AS {c}' for c in PS_COLUMNS)}, n FROM ps JOIN pl USING (playlist_id) JOIN d USING (name)",
+)
+def feat_playlist(v: Views) -> DataFrame:
+    """Statistics, the number of tracks, and the name's id as a number (0 without a name)."""
+    songs = stage2.with_popularity(v.songs, saved(counted(v), "counts"))
+    stats = rounded(stage2.playlist_stats(members(v), songs, v.playlist_factors(), v.song_factors()), "playlist_id")
+    named = v.playlists.join(saved(dictionary.first_seen(v.playlists, "name", "playlist_id"), "dictionary"), "name", "left")
+    own = named.select("playlist_id", F.col("n_tracks").cast("long").alias("n_tracks"), F.coalesce("idx", F.lit(0).cast("long")).alias("name_index"))
+    return stats.join(own, "playlist_id").select("playlist_id", "n_tracks", "name_index", *PS_COLUMNS, "n")
+
+
+PAIR = f"{UU}, m2 AS (SELECT row_id AS playlist_id, col_id AS member FROM train)"
+
+
+@query(
+    "feat_pair_song",
+    f"""{PAIR} SELECT playlist_id, u.song_id, round(avg(CASE WHEN a.artist = b.artist THEN 1.0 ELSE 0.0 END), 6) AS same_artist, round(avg(CASE WHEN a.album = b.album THEN 1.0 ELSE 0.0 END), 6) AS same_album,
+  round(avg(a.duration - b.duration), 6) AS d_duration, round(avg(list_inner_product(x.v, y.v)), 6) AS vv, round(avg(list_inner_product(x.v[1:32], y.v[1:32])), 6) AS name_vv
+  FROM uu u JOIN m2 USING (playlist_id) JOIN songs a ON a.song_id = u.song_id JOIN songs b ON b.song_id = member JOIN vf x ON x.song_id = u.song_id JOIN vf y ON y.song_id = member GROUP BY ALL""",
+)
+def feat_pair_song(v: Views) -> DataFrame:
+    return rounded(stage2.pair_song(uu(v), members(v), v.songs, v.song_factors()), "playlist_id", "song_id")
+
+
+@query(
+    "feat_pair_playlist",
+    f"""{UU}, {SAMPLE} SELECT q.playlist_id, q.song_id, round(avg(CASE WHEN a.name = b.name THEN 1.0 ELSE 0.0 END), 6) AS same_name, round(avg(a.n_tracks - b.n_tracks), 6) AS d_tracks,
+  round(avg(list_inner_product(x.u, y.u)), 6) AS uu, round(avg(list_inner_product(x.u[1:32], y.u[1:32])), 6) AS name_uu
+  FROM uu q JOIN smp s ON s.song_id = q.song_id JOIN pl a ON a.playlist_id = q.playlist_id JOIN pl b ON b.playlist_id = s.playlist_id JOIN uf x ON x.playlist_id = q.playlist_id JOIN uf y ON y.playlist_id = s.playlist_id GROUP BY ALL""",
+)
+def feat_pair_playlist(v: Views) -> DataFrame:
+    return rounded(stage2.pair_playlist(uu(v), stage2.sampled(members(v), 20), v.playlists, v.playlist_factors()), "playlist_id", "song_id")
+
+
+AUDIO_SQL = ", ".join(f"round(avg(coalesce(a.features[{k + 1}] - b.features[{k + 1}], 0)), 6) AS d_{c}" for k, c in enumerate(stage2.AUDIO_MEANS))
+
+
+@query(
+    "feat_pair_audio",
+    f"""{PAIR}, au AS (SELECT f.id AS song_id, features, label FROM f JOIN embeddings ON vec_id = id JOIN songs ON song_id = id)
+SELECT playlist_id, u.song_id, {AUDIO_SQL}, round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) AS same_key
+  FROM uu u JOIN m2 USING (playlist_id) LEFT JOIN au a ON a.song_id = u.song_id LEFT JOIN au b ON b.song_id = member GROUP BY ALL""",
+)
+def feat_pair_audio(v: Views) -> DataFrame:
+    return rounded(stage2.pair_audio(uu(v), members(v), audio_table(v).drop("uri")), "playlist_id", "song_id")
+
+
+LAB = f"{BLEND}, {HID}, lb AS (SELECT bl.*, CASE WHEN tr.song_id IS NULL THEN 0 ELSE 1 END AS label FROM bl LEFT JOIN tr ON tr.playlist_id = bl.playlist_id AND tr.song_id = bl.song_id)"
+SAMPLED = f"{LAB}, sm AS (SELECT * FROM lb QUALIFY row_number() OVER (PARTITION BY playlist_id, label ORDER BY md5(concat_ws('#', 's2', playlist_id, song_id)), song_id) <= 20)"
+
+
+def labelled(v: Views) -> DataFrame:
+    return stage2.labelled(blended(v), hidden(v))
+
+
+@query("label_candidates", f"{LAB} SELECT playlist_id, song_id, rank, CAST(label AS BIGINT) AS label FROM lb")
+def label_candidates(v: Views) -> DataFrame:
+    return labelled(v).select("playlist_id", "song_id", "rank", "label")
+
+
+@query("sample_pos_neg", f"{SAMPLED} SELECT playlist_id, song_id, CAST(label AS BIGINT) AS label FROM sm")
+def sample_pos_neg(v: Views) -> DataFrame:
+    return stage2.samples(labelled(v)).select("playlist_id", "song_id", "label")
+
+
+@query("stage2_samples", f"{SAMPLED} SELECT playlist_id, song_id, CAST(label AS BIGINT) AS label, uu, latent, ii, score FROM sm WHERE playlist_id IN (SELECT playlist_id FROM sm WHERE label = 1)")
+def stage2_samples(v: Views) -> DataFrame:
+    """Samples with the scores of the first stage; playlists without a positive are left out."""
+    rows = saved(stage2.samples(labelled(v)), "samples")
+    return stage2.with_positives(rows).select("playlist_id", "song_id", "label", "uu", "latent", "ii", "score")
+
+
+SCORES = ["uu", "latent", "ii", "score"]
+
+
+def _model(v: Views):
+    rows = saved(stage2_samples(v).select("label", *SCORES), "training")
+    return stage2.train_trees(rows, SCORES, rounds=10, depth=4)
+
+
+@query("gbdt_fit")
+def gbdt_fit(v: Views) -> DataFrame:
+    return stage2.importance(_model(v), SCORES, v.spark)
+
+
+@query("rerank")
+def rerank(v: Views) -> DataFrame:
+    return stage2.reranked(_model(v), blended(v), 100)
