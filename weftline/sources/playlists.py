@@ -28,8 +28,8 @@ def tracks_of(playlists: DataFrame) -> DataFrame:
 
 def read_audio(spark: SparkSession, path: str) -> DataFrame:
     """(uri, feature, value, category) from a JSON array; elements that are null or have no uri are skipped, and so are absent fields. key is a category."""
-    fields = [T.StructField("uri", T.StringType()), T.StructField("key", T.IntegerType()), *[T.StructField(a, T.DoubleType()) for a in AUDIO]]
-    rows = spark.read.schema(T.StructType(fields)).option("multiLine", True).json(path).filter("uri is not null")
+    fields = ", ".join(["uri: string", "key: int", *[f"{a}: double" for a in AUDIO]])
+    rows = spark.read.text(path, wholetext=True).select(F.inline(F.filter(F.from_json("value", f"array<struct<{fields}>>"), lambda x: x["uri"].isNotNull())))
     return long_audio(rows)
 
 
