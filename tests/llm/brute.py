@@ -22,7 +22,8 @@ def sha(x: str | bytes) -> str:
 
 def covered(texts: list, width: int) -> list[list[bool]]:
     """Places of each sequence that lie in a window found twice or more in all of them."""
-    windows = [[tuple(t[k : k + width]) for k in range(len(t) - width + 1)] for t in texts]
+    cut = lambda t, k: t[k : k + width] if isinstance(t, bytes) else tuple(t[k : k + width])
+    windows = [[cut(t, k) for k in range(len(t) - width + 1)] for t in texts]
     counts = Counter(w for own in windows for w in own)
     out = []
     for t, own in zip(texts, windows):

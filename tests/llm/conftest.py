@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 PASSAGE = " ".join(f"p{k}" for k in range(80))
-LONG = " ".join(f"long{k % 5000}x{k // 5000}" for k in range(60_000))
+LONG = " ".join(f"long{k % 5000}x{k // 5000}" for k in range(12_000))
 
 #: Null, empty and blank texts, a very long one, copies, near copies, ties, repeated rows, and passages that texts share.
 TEXTS = [

@@ -166,12 +166,6 @@ def test_declarations_and_hosts_decide_where_text_is_silent(spark):
     assert got[99]["text_lang"] is None and got[99]["lang"] == "xde"
 
 
-def test_common_keeps_rows(spark, docs):
-    from weftline.llm.common import keep_rows
-
-    assert keep_rows(docs.withColumn("keep", F.col("doc_id") < 5), "keep", ["doc_id", "text"]).count() == 4
-
-
 @pytest.mark.parametrize("which", [0, 1])
 def test_pipeline(spark, docs_dir, which):
     import brute

@@ -51,11 +51,3 @@ class Scratch:
             at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-
-def keep_rows(df: DataFrame, keep: str, columns: list[str]) -> DataFrame:
-    """Rows for which the boolean column ``keep`` is true.
-
-    A plain filter on a costly computed column would be pushed below the projection
-    that computes it, and all of it would be computed twice; a generator is a barrier.
-    """
-    return df.select(F.inline(F.when(F.col(keep), F.array(F.struct(*[F.col(f"`{c}`") for c in columns])))))
