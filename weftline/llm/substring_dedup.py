@@ -55,18 +55,29 @@ class FingerprintIndex:
         self.merges = 0
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Take in docs (doc_id, text); the blocks of them that an earlier batch holds, as (key, a, n)."""
+        """Take in docs (doc_id, text); the blocks of them (key, a, n, verified) whose fingerprint earlier batches hold.
+
+        verified: a whole block is equal; of the others ``repeated`` tells which windows are.
+        """
         k = len(self.batches)
         batch = self.scratch.save(self.windows.blocks(docs.select(key().alias("key"), F.col("text").cast("binary").alias("text"))), f"batch{k}")
         history = list(self.runs)
         self.batches.append(batch)
         self.runs.append(self.scratch.save(self.windows.summary(batch).sortWithinPartitions("anchor", "block"), f"run{k}"))
-        seen = batch.limit(0).select("key", "a", "n")
-        for run in history:
-            seen = seen.unionByName(batch.join(run.select("anchor", "block").hint("merge"), ["anchor", "block"]).select("key", "a", "n"))
+        seen = self._met(batch, history) if history else batch.limit(0).select("key", "a", "n", F.lit(False).alias("verified"))
         if len(self.runs) >= self.fan_in:
             self.compact()
-        return seen.distinct()
+        return seen
+
+    @staticmethod
+    def _met(batch: DataFrame, history: list[DataFrame]) -> DataFrame:
+        """Merge join of a batch with past runs on the fingerprint; the hash of the whole block verifies."""
+        past = history[0].select("anchor", "block")
+        for run in history[1:]:
+            past = past.unionByName(run.select("anchor", "block"))
+        candidates = batch.join(past.select("anchor").distinct().hint("merge"), "anchor", "left_semi")
+        whole = past.distinct().withColumn("verified", F.lit(True)).hint("merge")
+        return candidates.join(whole, ["anchor", "block"], "left").select("key", "a", "n", F.coalesce("verified", F.lit(False)).alias("verified"))
 
     def compact(self) -> DataFrame:
         """Merge all runs into one."""
