@@ -27,7 +27,7 @@ def _json(v: Views, test: bool) -> str:
     one = F.struct(F.col("playlist_id").cast("string").alias("pid"), "name", F.col("n_tracks").cast("int").alias("num_tracks"), "tracks")
     slices = pl.groupBy(F.floor(F.col("playlist_id") / 1000).alias("slice")).agg(F.sort_array(F.collect_list(F.struct("playlist_id", one.alias("one")))).alias("p"))
     path = folder(v.spark, "slices")
-    slices.select(F.to_json(F.struct(F.col("p.one").alias("playlists")))).write.text(path)
+    slices.select(F.to_json(F.struct(F.col("p.one").alias("playlists")))).write.option("maxRecordsPerFile", 1).text(path)  # one object a file
     return path
 
 
