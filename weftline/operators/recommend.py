@@ -14,9 +14,8 @@ from weftline.operators import coo, rank
 
 def popularity(train: DataFrame) -> DataFrame:
     """(song_id, popularity): each song's share of all values."""
-    total = train.agg(F.sum("value").alias("all"))
-    each = coo.sums(train, "col_id").withColumnRenamed("col_id", "song_id")
-    return each.join(F.broadcast(total)).select("song_id", (F.col("total") / F.col("all")).alias("popularity"))  # total: one row
+    total = train.agg(F.sum("value")).first()[0]
+    return coo.sums(train, "col_id").select(F.col("col_id").alias("song_id"), (F.col("total") / F.lit(total)).alias("popularity"))
 
 
 def with_names(train: DataFrame, names: DataFrame) -> DataFrame:
@@ -100,11 +99,12 @@ def latent_topn(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, use
 
 
 def cold_start(cold: DataFrame, named: DataFrame, popular: DataFrame, n: int) -> DataFrame:
-    """Lists for playlists without seeds: those ranked by name from named (playlist_id, song_id, rank), the others the popular songs (song_id, rank).
+    """Lists for playlists without seeds: what named (playlist_id, song_id, rank) ranks for their name, for the others the n most popular songs.
 
-    popular has n rows, so every nameless playlist takes n.
+    popular (song_id, popularity) is cut to n rows, which are all that the plan carries.
     """
     by_name = named.join(cold.select("playlist_id"), "playlist_id", "left_semi").filter(F.col("rank") <= n).select("playlist_id", "song_id", "rank")
     rest = cold.select("playlist_id").join(named.select("playlist_id").distinct(), "playlist_id", "left_anti")
-    return by_name.unionByName(rest.join(F.broadcast(popular.filter(F.col("rank") <= n))).select("playlist_id", "song_id", "rank"))
-
+    top = [r["song_id"] for r in popular.orderBy(F.desc("popularity"), "song_id").limit(n).collect()]
+    same = rest.select("playlist_id", F.posexplode(F.array(*map(F.lit, top))).alias("at", "song_id")) if top else by_name.limit(0).withColumn("at", F.lit(0))
+    return by_name.unionByName(same.select("playlist_id", "song_id", (F.col("at") + 1).cast("long").alias("rank")))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from weftline.operators import coo, dictionary, latent, stage2
 from weftline.plans.features import audio_table
-from weftline.plans.ranking import BLEND, HID, UU, blended, hidden, uu
+from weftline.plans.ranking import BLEND, HID, UU, blended, cold_start, hidden, uu
 from weftline.plans.registry import query, r6
 from weftline.plans.views import Views
+from weftline.sources.playlists import submission_lines
 from weftline.sources.scratch import saved
 
 ALS1 = """h AS (SELECT song_id, v[1] AS h FROM vf), g AS (SELECT sum(h * h) AS g FROM h WHERE song_id IN (SELECT col_id FROM train))
@@ -251,3 +252,10 @@ def gbdt_fit(v: Views) -> DataFrame:
 @query("rerank")
 def rerank(v: Views) -> DataFrame:
     return stage2.reranked(_model(v), blended(v), 100)
+
+
+@query("challenge_submission")
+def challenge_submission(v: Views) -> DataFrame:
+    """The whole course: candidates, blend, trained re-ranking, cold start, and one line for each challenge playlist."""
+    ranked = stage2.reranked(_model(v), blended(v), 100).select("playlist_id", "song_id", "rank").unionByName(cold_start(v))
+    return submission_lines(ranked.select(F.col("playlist_id").alias("pid"), "rank", F.concat(F.lit("x:track:"), "song_id").alias("uri")))

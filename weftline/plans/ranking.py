@@ -244,6 +244,4 @@ def cold_start(v: Views) -> DataFrame:
     cold = cold_start_rows(v).join(v.playlists.select("playlist_id", "name"), "playlist_id")
     mates = v.playlists.select("name", F.col("playlist_id").alias("row_id"))
     scored = cold.filter("playlist_id % 20 = 0").join(mates, "name").join(v.train, "row_id").groupBy("playlist_id", F.col("col_id").alias("song_id")).agg(F.round(F.sum("value"), 6).alias("score"))
-    popular = popularity(v).orderBy(F.desc("popularity"), "song_id").limit(100)
-    popular = popular.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("popularity"), "song_id")).cast("long"))  # of 100 rows
-    return recommend.cold_start(cold, rank.topn(scored, 100), popular, 100)
+    return recommend.cold_start(cold, rank.topn(scored, 100), popularity(v), 100)
