@@ -12,6 +12,7 @@ detection to judge. Lines of fewer than ``min_tokens`` tokens stay.
 
 Everything is DataFrame expressions. Only leaves that recur have their lines looked at; counts are
 pre-aggregated, and what a line leads to goes back to texts by joins of freshly read tables, in which Spark splits skewed keys.
+The two joins that move text are merge joins whatever the size of their other side, as that grows with the corpus.
 
 Defined results: null texts stay null, empty ones empty; equal texts get equal results whatever their doc_id; an
 empty table gives no rows; other columns pass through ``deduplicate``.
@@ -42,7 +43,7 @@ def recurring(texts: DataFrame, min_texts: int = 5, depth: int = 3, min_tokens:
     lines = scratch.save(_lines(texts.filter("text is not null"), depth, min_tokens), "lines")
     leaves = lines.select("leaf", "txt").distinct().groupBy("leaf").count().filter(F.col("count") >= min_texts).select("leaf")
     leaves = scratch.save(leaves, "leaves")
-    shared = scratch.save(lines.join(leaves, "leaf"), "shared")
+    shared = scratch.save(lines.join(leaves.hint("merge"), "leaf"), "shared")
     scratch.drop("lines")
     by_line = shared.select("leaf", "line_id", "line", "txt").distinct().groupBy("leaf", "line_id", "line").agg(F.count("*").alias("texts"))
     by_line = scratch.save(by_line, "by-line")
@@ -66,7 +67,7 @@ def deduplicate(docs: DataFrame, max_loss: float = 0.5, scratch: Scratch | None
     """docs with their recurring lines dropped from text, and n_lines and n_dropped beside."""
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     drop = recurring(docs.select("text"), scratch=scratch, **options)
-    df = docs.withColumn("_txt", F.xxhash64("text")).join(drop.withColumnRenamed("txt", "_txt").withColumnRenamed("nos", "_nos"), "_txt", "left")
+    df = docs.withColumn("_txt", F.xxhash64("text")).join(drop.withColumnRenamed("txt", "_txt").withColumnRenamed("nos", "_nos").hint("merge"), "_txt", "left")
     df = df.withColumn("_lines", F.split("text", "\n"))
     df = df.withColumn("_kept", F.when(F.col("_nos").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda _, k: ~F.array_contains("_nos", k))))
     count = lambda lines: F.size(words_of(F.array_join(lines, "\n")))
