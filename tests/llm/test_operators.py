@@ -128,6 +128,14 @@ def test_model_is_a_distribution(spark, docs):
     assert sum(c.values()) == model.tokens and np.isclose((model.within - model.unknown).sum(), model.tokens)
 
 
+def test_unknown_words_are_less_likely_than_known_ones(spark, sf_dir):
+    train = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.lit(False).alias("held_out"))
+    strange = train.filter("text is not null").withColumn("text", F.regexp_replace("text", r"[^\x20\x09-\x0D]+", "\u00a7$0q"))
+    per = lambda docs: model.score(docs, Scratch(spark, "t")).agg(F.sum("open_score") / F.sum("n_tokens")).first()[0]
+    model = brown_lm.fit(train.select("text"), Scratch(spark, "t"))
+    assert per(strange) < per(train) - 0.5
+
+
 def test_tokens_of_batches_equal_split():
     import pyarrow as pa
 
