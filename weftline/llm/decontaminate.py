@@ -10,9 +10,9 @@ all windows; a match is then verified word by word against the window. The set i
 broadcast while its measured size is under ``broadcast_bytes`` and joined by a shuffle beyond.
 Everything is DataFrame expressions; documents are never shuffled, only hits are.
 
-Defined results: null and empty texts have no words and no hits; rows with equal
-doc_id count as one document for the hits (each row keeps its own n_words); an empty benchmark hits
-nothing; columns of the input other than those named are not read by ``report`` and pass
+Defined results: null and empty texts have no words and no hits; every row is judged by its own text,
+as hits go back to rows by doc_id and the text's hash, with a null doc_id as good as any; items without item_id hit
+but are not counted or named; an empty benchmark hits nothing; columns of the input other than those named are not read by ``report`` and pass
 through ``decontaminate``.
 """
 
@@ -63,7 +63,7 @@ def _blocks(length: int) -> Column:
 
 
 def hits(docs: DataFrame, windows: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """(doc_id, start, l, window): where windows occur, start counted in words from 0."""
+    """(doc_id, txt, start, l, window): where windows occur, start counted in words from 0; txt is the text's hash."""
     distinct = windows.select("window", "l").distinct()
     size, lengths = distinct.agg(F.coalesce(F.sum((F.length("window") + 48) * F.col("l")), F.lit(0)), F.sort_array(F.collect_set("l"))).first()
     grams = distinct.withColumns({"_w": F.split("window", " "), "b": F.floor((F.col("l") + 1) / 2).cast("int")})
@@ -71,21 +71,21 @@ def hits(docs: DataFrame, windows: DataFrame, broadcast_bytes: int = 64 << 20) -
     grams = grams.select("window", "l", "o", _key("_w", F.col("o"), F.col("b")).alias("key"))
     if size <= broadcast_bytes:
         grams = F.broadcast(grams)
-    tokens = docs.select("doc_id", _words("text").alias("_w"))
+    tokens = docs.select("doc_id", F.xxhash64("text").alias("txt"), _words("text").alias("_w"))
     blocks = [_blocks(length) for length in lengths]  # at most n different lengths
     if not blocks:
-        return docs.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("l"), F.lit("").alias("window")).limit(0)
+        return docs.select("doc_id", F.xxhash64("text").alias("txt"), F.lit(0).alias("start"), F.lit(0).alias("l"), F.lit("").alias("window")).limit(0)
     blocks = reduce(lambda a, b: F.concat(a, b), blocks)
     # explode_outer: for explode Spark adds a filter on the exploded column, which would compute all of it twice
-    found = tokens.withColumn("_b", blocks).select("doc_id", "_w", F.explode_outer("_b").alias("_b")).select("doc_id", "_w", F.col("_b.l").alias("l"), F.col("_b.at").alias("at"), F.col("_b.key").alias("key"))
+    found = tokens.withColumn("_b", blocks).select("doc_id", "txt", "_w", F.explode_outer("_b").alias("_b")).select("doc_id", "txt", "_w", F.col("_b.l").alias("l"), F.col("_b.at").alias("at"), F.col("_b.key").alias("key"))
     found = found.join(grams, ["l", "key"]).withColumn("start", F.col("at") - F.col("o"))
     found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("l") <= F.size("_w")))
-    return found.filter(_joined("_w", F.greatest("start", F.lit(0)), F.col("l")) == F.col("window")).select("doc_id", "start", "l", "window").distinct()
+    return found.filter(_joined("_w", F.greatest("start", F.lit(0)), F.col("l")) == F.col("window")).select("doc_id", "txt", "start", "l", "window").distinct()
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """(doc_id, spans, n_hit): the windows' places in each document in order, and the words they cover."""
-    per = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "l"))).alias("spans"))
+    """(doc_id, txt, spans, n_hit): the windows' places in each document in order, and the words they cover."""
+    per = found.groupBy("doc_id", "txt").agg(F.sort_array(F.collect_set(F.struct("start", "l"))).alias("spans"))
     return per.withColumn(
         "n_hit",
         F.aggregate(
@@ -100,6 +100,13 @@ def spans(found: DataFrame) -> DataFrame:
     )
 
 
+def _rejoin(rows: DataFrame, txt: Column, marks: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with marks (doc_id, txt, ...) of their doc_id, which may be null, and their text."""
+    marks = marks.withColumnsRenamed({"doc_id": "_mark_id", "txt": "_mark_txt"})
+    out = rows.join(marks, rows["doc_id"].eqNullSafe(marks["_mark_id"]) & (txt == marks["_mark_txt"]), how)
+    return out.drop("_mark_id", "_mark_txt")
+
+
 def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
@@ -109,8 +116,11 @@ def report(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
     windows = item_windows(items, n)
     found = hits(docs, windows)
     owners = windows.select("window", F.col("item_id").cast("string").alias("item"))
-    per_item = found.select("doc_id", "window").distinct().join(owners, "window").groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = docs.select("doc_id", F.size(_words("text")).cast("long").alias("n_words")).join(spans(found).join(per_item, "doc_id", "left"), "doc_id", "left")
+    per_item = found.select("doc_id", "txt", "window").distinct().join(owners, "window").groupBy("doc_id", "txt").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    per = spans(found)
+    per = _rejoin(per, per["txt"], per_item, "left")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_txt"), F.size(_words("text")).cast("long").alias("n_words"))
+    out = _rejoin(rows, rows["_txt"], per, "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", contaminated().alias("contaminated"))
 
@@ -123,12 +133,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, remove: str =
     found = hits(docs, item_windows(items, n))
     marks = spans(found).withColumnRenamed("spans", "_spans").withColumnRenamed("n_hit", "_n_hit")
     if remove == "documents":
-        words = docs.select("doc_id", "text").join(marks, "doc_id").select("doc_id", F.size(_words("text")).alias("n_words"), F.col("_n_hit").alias("n_hit"))
-        return docs.join(words.filter(contaminated()).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+        rows = docs.select("doc_id", "text", F.xxhash64("text").alias("txt"))
+        words = _rejoin(rows, rows["txt"], marks).select("doc_id", "txt", F.size(_words("text")).alias("n_words"), F.col("_n_hit").alias("n_hit"))
+        return _rejoin(docs, F.xxhash64(docs["text"]), words.filter(contaminated()).select("doc_id", "txt").distinct(), "left_anti")
     pieces = F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))
     rest = F.regexp_extract("text", SEPARATORS + "$", 0)
     cut = F.filter(pieces, lambda _, k: ~F.exists("_spans", lambda x: (k >= x["start"]) & (k < x["start"] + x["l"])))
-    out = docs.join(marks, "doc_id", "left")
+    out = _rejoin(docs, F.xxhash64(docs["text"]), marks, "left")
     return out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(cut, ""), rest))).select(docs.columns)
 
 
