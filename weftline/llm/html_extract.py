@@ -4,8 +4,9 @@ Every text block passes points for its length and its commas to its ancestors, a
 half to the grandparent, less further up. A container's points are discounted by the share of its
 text that is inside links; the best container wins, widened to the article around it, and siblings with a
 fair share of its points, headings and link-free paragraphs beside it are kept with it. Elements that are never main text
-(menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles, hidden parts) are
-not entered at all.
+(menus, headers, footers, forms, scripts, styles, hidden parts) are not entered at all. A class or id that names such a part
+(a sidebar, an advert, comments) halves its element's score; if nothing else stands in the name, the element goes, unless it holds
+over half of the page's points.
 
 Pages are independent, so this is one pass without a shuffle: Arrow batches in, Arrow batches out; the work
 per page is one regular-expression scan and a tree of its blocks.
@@ -45,15 +46,18 @@ MARKS = frozenset(
     " sidebar sidenav aside nav navbar navigation menu topbar breadcrumb breadcrumbs footer footnav header masthead comment comments commentlist disqus respond replies reply share sharing social"
     " related recommended newsletter subscribe subscription signup login widget pagination pager toolbar skip tags".split()
 )
+#: Words beside a mark that say where or what form it is; before it, only PLACE.
+PLACE = frozenset("site main global left right top bottom primary secondary sticky fixed".split())
+FORM = PLACE | frozenset("area bar block body box button buttons container content footer form group header icons inner item items links list outer panel row section slot title unit wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "points", "chars", "link_chars", "drop", "direct")
+    __slots__ = ("name", "parent", "points", "chars", "link_chars", "drop", "direct", "mark", "held")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool):
-        self.name, self.parent, self.drop = name, parent, drop
+    def __init__(self, name: str, parent: Node | None, drop: bool, mark: int = 0):
+        self.name, self.parent, self.drop, self.mark, self.held = name, parent, drop, mark, 0.0
         self.points, self.chars, self.link_chars, self.direct = 0.0, 0, 0, 0
 
 
@@ -68,11 +72,25 @@ def _never(name: str, attrs: str, inside_article: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and not MARKS.isdisjoint(WORD.findall(value)):
-            return True
     return False
 
 
+def _mark(name: str, attrs: str) -> int:
+    """2 if a token of the class or id is a mark and nothing else, 1 if one begins with a mark, else 0."""
+    if not attrs or "=" not in attrs or name in ("html", "body", "article", "main"):
+        return 0
+    out = 0
+    for m in ATTR.finditer(attrs):
+        if m[1].lower() in ("class", "id"):
+            for token in (m[2] or m[3] or m[4] or "").lower().split():
+                words = WORD.findall(token)
+                while len(words) > 1 and words[0] in PLACE:
+                    words = words[1:]
+                if words and words[0] in MARKS:
+                    out = max(out, 2 if all(w in MARKS or w in FORM for w in words) else 1)
+    return out
+
+
 def _blocks(page: str) -> list[tuple[str, Node, int]]:
     """(text, innermost node, characters in links) of every block, in page order, dropped parts left out."""
     root = Node("#", None, False)
@@ -134,9 +152,9 @@ def _blocks(page: str) -> list[tuple[str, Node, int]]:
             inside, up = False, node
             while up is not None and not inside:
                 inside, up = up.name in ("article", "main"), up.parent
-            node = Node(name, node, node.drop or _never(name, m["attrs"], inside))
+            node = Node(name, node, node.drop or _never(name, m["attrs"], inside), _mark(name, m["attrs"]))
             skip.clear()
-        elif name not in VOID and (skip or _never(name, m["attrs"], True)):
+        elif name not in VOID and (skip or _never(name, m["attrs"], True) or _mark(name, m["attrs"]) == 2):
             skip.append(name)
     say(page[at:])
     flush()
@@ -147,12 +165,38 @@ def _density(node: Node) -> float:
     return node.link_chars / node.chars if node.chars else 0.0
 
 
+def _points(text: str, linked: int) -> float:
+    return (1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+
+
+def _unmarked(blocks: list[tuple[str, Node, int]]) -> list[tuple[str, Node, int]]:
+    """The blocks without those in marked elements that hold at most half of the page's points."""
+    marked: dict[int, list[Node]] = {}  # of a node: the elements marked 2 around it
+
+    def around(node: Node) -> list[Node]:
+        path, up = [], node
+        while up is not None and id(up) not in marked:
+            path.append(up)
+            up = up.parent
+        for n in reversed(path):
+            above = marked[id(n.parent)] if n.parent is not None else []
+            marked[id(n)] = [*above, n] if n.mark == 2 else above
+        return marked[id(node)]
+
+    total = 0.0
+    for text, node, linked in blocks:
+        points = _points(text, linked)
+        total += points
+        for up in around(node):
+            up.held += points
+    return [b for b in blocks if all(2 * up.held > total for up in marked[id(b[1])])]
+
+
 def main_text(page: str | None) -> str:
-    blocks = _blocks(page or "")
+    blocks = _unmarked(_blocks(page or ""))
     nodes: dict[int, Node] = {}
     for text, node, linked in blocks:
-        points = 1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) / 100, 3)
-        points *= 1 - linked / len(text)
+        points = _points(text, linked)
         holder = node.parent if node.parent is not None and (node.name == "p" or node.name in HEADINGS or node.name == "pre") else node
         up, level = holder, 0
         while up is not None:
@@ -165,7 +209,7 @@ def main_text(page: str | None) -> str:
             up = up.parent
     if not blocks:
         return ""
-    score = lambda n: n.points * (1 - _density(n))
+    score = lambda n: n.points * (1 - _density(n)) * (0.5 if n.mark else 1)
     best = max(nodes.values(), key=score)  # the first of equals
     up = best
     while up is not None and up.name not in ("article", "main"):
