@@ -7,8 +7,8 @@ the text alone suggests. Host priors are smoothed hierarchically, host into doma
 vote taken out. The sum of logarithms is normalised to posteriors.
 
 Every page is read once; counts are grouped aggregations of (value, language) with pre-aggregation, so a host with a third of all
-pages is a few rows. The trigram model comes from at most ``max_train`` labelled documents (those with the smallest hashes)
-and has a fixed size.
+pages is a few rows. The trigram model knows all languages of the labelled documents, each from its own sample by hashes
+of about ``max_train`` documents (all, if it has no more), and grows with the number of languages only.
 
 Defined results: pages without html have no text evidence and rest on the others; a null url is the host ''; without labelled
 documents lang is null; repeated rows count each time and get equal results; an empty table gives no rows.
@@ -43,9 +43,13 @@ def gram_counts(text: str) -> np.ndarray:
     return np.bincount((codes * np.uint32(2654435761)) >> np.uint32(18), minlength=GRAMS)
 
 
-def learn(docs: DataFrame, max_train: int = 4000, max_langs: int = 64) -> tuple[list[str], np.ndarray]:
-    """The languages (the most frequent max_langs) and log P(trigram | language) from labelled documents (text, lang)."""
-    sample = docs.filter("lang is not null and text is not null").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(max_train)
+def learn(docs: DataFrame, max_train: int = 4000) -> tuple[list[str], np.ndarray]:
+    """The languages and log P(trigram | language) from labelled documents (text, lang)."""
+    docs = docs.filter("lang is not null and text is not null")
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("size"))
+    langs = sorted(r["lang"] for r in sizes.collect())
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33) / (1 << 31)
+    sample = docs.join(F.broadcast(sizes), "lang").filter(place * F.col("size") < max_train)  # a row a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -58,7 +62,6 @@ def learn(docs: DataFrame, max_train: int = 4000, max_langs: int = 64) -> tuple[
             yield pa.record_batch([pa.array([lang] * len(some)), pa.array(some), pa.array(counts[some])], names=["lang", "gram", "n"])
 
     counts = sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts.groupby("lang")["n"].sum().sort_values(ascending=False, kind="stable").index[:max_langs])
     out = np.full((len(langs), GRAMS), 0.5)
     for k, lang in enumerate(langs):
         own = counts[counts["lang"] == lang]
