@@ -13,6 +13,7 @@ TEXTS = [
     (1, None), (2, ""), (3, " \n\t\x0b "), (4, LONG), (5, f"start {PASSAGE} end"), (6, f"other {PASSAGE}"), (7, f"start {PASSAGE} end"), (7, f"start {PASSAGE} end"),
     (8, "be " * 200), (9, "One two three.\nOne two three.\nfour"), (10, "é ü ß É x Äpfel Straße " * 8), (11, PASSAGE[:150] + " cut " + PASSAGE[150:]), (12, "x" * 3000), (13, "a"),
     (14, f"{PASSAGE} {PASSAGE}"), (15, "Line seven of 12 apples\nunique words here now"), (16, "tail tail\r\nmixed \x0c white"),
+    (5, "no word of this text stands in any other one, " * 2 + " ".join(f"z{k}" for k in range(120))), (4, None), (17, " ".join(f"z{k}x" for k in range(150))), (17, "a <|endoftext|> b<|endoftext|>"),
 ]
 
 

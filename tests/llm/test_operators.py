@@ -4,23 +4,42 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import brown_lm, decontaminate, html_extract, language_id, line_dedup, packing, quality_rules, simhash, windows
+from weftline.llm import brown_lm, decontaminate, html_extract, language_id, line_dedup, packing, quality_rules, simhash, substring_dedup, windows
 from weftline.llm.common import Scratch
-from weftline.llm.substring_dedup import FingerprintIndex
+from weftline.llm.substring_dedup import FingerprintIndex, key
 
 
 def test_index_takes_batches(spark):
-    p = " ".join(f"w{k}" for k in range(60))
-    rows = spark.createDataFrame([(1, f"a {p} b"), (2, "nothing here " * 3), (3, f"c {p}")], "doc_id long, text string")
-    index = FingerprintIndex(Scratch(spark, "t"), fan_in=2)
-    assert index.add(rows.filter("doc_id = 1")).count() == 0
-    assert index.add(rows.filter("doc_id = 2")).count() == 0 and len(index.runs) == 1  # compacted
-    seen = index.add(rows.filter("doc_id = 3")).collect()
-    assert seen and {r["key"] for r in seen} == {3} and not any(r["verified"] for r in seen)  # the blocks differ at the passage's ends
-    again = index.add(rows.filter("doc_id = 1").withColumn("doc_id", F.lit(4).cast("long"))).collect()
-    assert all(r["verified"] for r in again)
-    rows = rows.unionByName(rows.filter("doc_id = 1").withColumn("doc_id", F.lit(4).cast("long")))
-    assert {r["key"] for r in index.repeated(rows).collect()} == {1, 3, 4}
+    p = " ".join(f"w{k}" for k in range(160))
+    rows = [(1, f"a {p} b"), (2, "nothing here " * 3), (3, f"c {p}"), (4, f"a {p} b"), (5, f"c {p}")]
+    make = lambda *ids: spark.createDataFrame([r for r in rows if r[0] in ids], "doc_id long, text string").withColumn("key", key())
+    name = {r["key"]: r["doc_id"] for r in make(1, 2, 3, 4, 5).collect()}
+    ids = lambda df: {name[r["key"]] for r in df.collect()}
+    index = FingerprintIndex(Scratch(spark, "t"), make(1, 2, 3, 4, 5), fan_in=2)
+    assert index.add(make(1)).count() == 0
+    assert index.add(make(2)).count() == 0 and len(index.runs) == 1 and index.merges == 1
+    inner = ids(index.add(make(3)))  # blocks inside the passage are equal; those at its ends are in doubt until compaction
+    assert inner == {1, 3} and index.merges == 2
+    words = lambda df: {d: {w for r in df.collect() if name[r["key"]] == d for w in range(r["a"], r["a"] + r["n"] - 1 + 35)} for d in (1, 3)}
+    assert words(index.spans()) == {1: set(range(1, 161)), 3: set(range(1, 161))}
+    assert ids(index.add(make(4, 5))) == {1, 3, 4, 5}
+    covers = words(index.spans())
+    assert covers == {1: set(range(162)), 3: set(range(161))}
+
+
+def test_runs_are_merge_joined_where_they_lie(spark):
+    rows = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 80))) for k in range(0, 400, 20)], "doc_id long, text string")
+    index = FingerprintIndex(Scratch(spark, "t"), rows, fan_in=9)
+    for k in range(3):
+        index.add(rows.filter(F.col("doc_id") % 60 == 20 * k))
+    plan = index._met(index.runs.pop())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("batches, fan_in", [(1, 4), (3, 2), (5, 4)])
+def test_batches_and_compactions_do_not_change_the_result(spark, docs, batches, fan_in):
+    want = sorted(map(tuple, substring_dedup.deduplicate(docs).collect()), key=repr)
+    assert sorted(map(tuple, substring_dedup.deduplicate(docs, batches=batches, fan_in=fan_in).collect()), key=repr) == want
 
 
 def test_every_window_has_one_block():

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.scratch import Scratch
+
+__all__ = ["SPACE", "Scratch", "table", "words_of"]
+
 #: ASCII white space, as Java and Python regular expressions read it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,35 +20,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words_of(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
-
-
-class Scratch:
-    """Written tables that cut lineage, in the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Such a table survives the loss of executors, and it is read as often as needed
-    without being computed again. Where the setting is missing (tests, one
-    machine) a temporary folder is taken and set.
-    """
-
-    def __init__(self, spark: SparkSession, kind: str):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.path = f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write once, read back; zstd, as these tables are large and short-lived."""
-        path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        self.spark.sparkContext._jvm.System.gc()  # the driver then lets executors delete the shuffle files of the step
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Free the disk of tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-

@@ -1,22 +1,26 @@
 """Substring deduplication with a log-structured index of window fingerprints.
 
 The index takes batches of documents. Each batch becomes a *run*: an immutable table of the fingerprints of its
-blocks (see ``windows``: every 35-word window belongs to one block, and equal windows to blocks with
-one trigger fingerprint), sorted by fingerprint. A new batch is merge-joined with the runs of the
-past on the fingerprint and verified with an independent hash of the whole block. When ``fan_in`` runs have
-gathered they are compacted: merged on the fingerprint into one run with summed counts. So a batch costs what it holds itself and
-one pass over sorted runs; documents of the past are never read again to take in a new batch.
-
-``repeated`` answers for the whole history: the words that some window covers which also starts elsewhere.
-
-Defined results: null and empty texts have no words; a text shorter than a window loses nothing; rows that repeat
-a doc_id with the same text are occurrences of each other; a row without doc_id is known by its text; an empty table gives
-no rows; other columns are not read.
+blocks (see ``windows``: every 35-word window belongs to one block, and equal windows to blocks with one trigger
+fingerprint), with how often each is found and one place of it. Runs are bucketed and sorted by fingerprint, so
+that a new run is merge-joined with the runs of the past without moving any of them.
+
+``add``. What the merge join meets is verified by an independent hash of the whole block, and gives the words to
+remove at once: in the batch, and in the one earlier document whose block was alone until now.
+``compact``. When ``fan_in`` runs have gathered they are merged on the fingerprint into one run. Blocks that share
+a trigger with another block, one of them new since the last compaction, but equal none are in doubt; they are verified window by window,
+for which the texts of the documents that hold them are read from ``store``.
+``spans`` gives all of it. A document without a block in doubt is never read again once it has been added.
+
+Defined results: null and empty texts have no words; a text shorter than a window loses nothing; a row is known by
+its doc_id and its text together, so rows with one doc_id or with none are judged each by its own text, and equal rows are
+occurrences of each other; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -27,11 +31,16 @@ from pyspark.sql import functions as F
 from weftline.llm.common import Scratch, table
 from weftline.llm.windows import Windows, split_words, word_symbols
 
+FINGERPRINT = ("anchor", "block")
 
 
 def key() -> Column:
-    """What a document is known by in the index."""
-    return F.coalesce("doc_id", F.xxhash64("text"))
+    """What a row of documents is known by."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(key().alias("key"), F.col("text").cast("binary").alias("text"))
 
 
 def covered(length: int, width: int, a: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -47,64 +56,66 @@ def spans_by_key(repeated: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    def __init__(self, scratch: Scratch, width: int = 35, gram: int = 8, fan_in: int = 4):
-        self.scratch, self.fan_in = scratch, fan_in
+    def __init__(self, scratch: Scratch, store: DataFrame, width: int = 35, gram: int = 8, fan_in: int = 4):
+        """store: the documents (doc_id, text) that have been or will be added; may be set anew as it grows."""
+        self.scratch, self.store, self.fan_in = scratch, store, fan_in
         self.windows = Windows(width, gram, word_symbols)
-        self.batches: list[DataFrame] = []
         self.runs: list[DataFrame] = []
-        self.merges = 0
+        self.found: list[DataFrame] = []
+        self.old = 0  # runs that a compaction has made
+        self.batches = self.merges = 0
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Take in docs (doc_id, text); the blocks of them (key, a, n, verified) whose fingerprint earlier batches hold.
-
-        verified: a whole block is equal; of the others ``repeated`` tells which windows are.
-        """
-        k = len(self.batches)
-        batch = self.scratch.save(self.windows.blocks(docs.select(key().alias("key"), F.col("text").cast("binary").alias("text"))), f"batch{k}")
-        history = list(self.runs)
-        self.batches.append(batch)
-        self.runs.append(self.scratch.save(self.windows.summary(batch).sortWithinPartitions("anchor", "block"), f"run{k}"))
-        seen = self._met(batch, history) if history else batch.limit(0).select("key", "a", "n", F.lit(False).alias("verified"))
+        """Take in docs (doc_id, text); (key, a, n): the runs of n repeated windows from word a that whole blocks show, in the batch or in earlier ones."""
+        k, self.batches = self.batches, self.batches + 1
+        batch = self.scratch.save(self.windows.blocks(keyed(docs)), f"batch{k}")
+        run = self.scratch.save_sorted(self.windows.summary(batch), FINGERPRINT, f"run{k}")
+        met = self.scratch.save(self._met(run), f"met{k}")
+        here = self.scratch.save(batch.join(met.select(*FINGERPRINT), list(FINGERPRINT)).select("key", "a", "n"), f"here{k}")
+        self.scratch.drop(f"batch{k}")
+        self.runs.append(run)
+        seen = here.unionByName(met.filter("before = 1").select("one.key", "one.a", "one.n"))
+        self.found.append(seen)
         if len(self.runs) >= self.fan_in:
             self.compact()
         return seen
 
-    @staticmethod
-    def _met(batch: DataFrame, history: list[DataFrame]) -> DataFrame:
-        """Merge join of a batch with past runs on the fingerprint; the hash of the whole block verifies."""
-        past = history[0].select("anchor", "block")
-        for run in history[1:]:
-            past = past.unionByName(run.select("anchor", "block"))
-        candidates = batch.join(past.select("anchor").distinct().hint("merge"), "anchor", "left_semi")
-        whole = past.distinct().withColumn("verified", F.lit(True)).hint("merge")
-        return candidates.join(whole, ["anchor", "block"], "left").select("key", "a", "n", F.coalesce("verified", F.lit(False)).alias("verified"))
-
-    def compact(self) -> DataFrame:
-        """Merge all runs into one."""
-        if len(self.runs) > 1:
-            all_runs = self.runs[0]
-            for run in self.runs[1:]:
-                all_runs = all_runs.unionByName(run)
-            self.runs = [self.scratch.save(self.windows.merged(all_runs).sortWithinPartitions("anchor", "block"), f"compacted{self.merges}")]
-            self.merges += 1
-        return self.runs[0]
-
-    def repeated(self, docs: DataFrame) -> DataFrame:
-        """(key, a, n): runs of n repeated windows from word a, over all batches; docs holds the documents of all of them."""
-        blocks = self.batches[0]
-        for batch in self.batches[1:]:
-            blocks = blocks.unionByName(batch)
-        docs = docs.select(key().alias("key"), F.col("text").cast("binary").alias("text"))
-        return self.windows.repeated(docs, blocks, self.compact(), self.scratch)
-
-
-def deduplicate(docs: DataFrame, batches: int = 2, width: int = 35, scratch: Scratch | None = None) -> DataFrame:
+    def _met(self, run: DataFrame) -> DataFrame:
+        """(anchor, block, before, one): the blocks of a run that are found again, in it or in past runs; how often before, and one place there."""
+        out, before, places = run.select(*FINGERPRINT, "times"), F.lit(0), []
+        for k, past in enumerate(self.runs):
+            past = past.select(*FINGERPRINT, F.col("times").alias(f"times{k}"), F.col("one").alias(f"one{k}"))
+            out = out.join(past.hint("merge"), list(FINGERPRINT), "left")
+            before, places = before + F.coalesce(f"times{k}", F.lit(0)), [*places, f"one{k}"]
+        one = F.coalesce(*places) if places else F.lit(None).cast(run.schema["one"].dataType)
+        return out.select(*FINGERPRINT, "times", before.cast("long").alias("before"), one.alias("one")).filter("times > 1 or before > 0").drop("times")
+
+    def compact(self) -> None:
+        """Merge all runs into one and settle what is in doubt since the last time."""
+        if len(self.runs) <= self.old:
+            return
+        marked = [run.select(*FINGERPRINT, "times", "one", F.lit(k >= self.old).alias("fresh")) for k, run in enumerate(self.runs)]
+        merged = reduce(DataFrame.unionByName, marked).groupBy(*FINGERPRINT).agg(F.sum("times").alias("times"), F.min("one").alias("one"), F.max("fresh").alias("fresh"))
+        merged = self.scratch.save_sorted(merged, FINGERPRINT, f"compacted{self.merges}")
+        name = f"doubt{self.merges}"
+        close = self.windows.doubtful(merged, self.scratch, name)
+        self.found.append(self.windows.partly(keyed(self.store), close, self.scratch, name))
+        self.runs, self.old, self.merges = [merged], 1, self.merges + 1
+
+    def spans(self) -> DataFrame:
+        """(key, a, n): runs of n repeated windows from word a, over all batches."""
+        self.compact()
+        return reduce(DataFrame.unionByName, self.found)
+
+
+def deduplicate(docs: DataFrame, batches: int = 4, width: int = 35, fan_in: int = 4, scratch: Scratch | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
     scratch = scratch or Scratch(docs.sparkSession, "substring")
-    index = FingerprintIndex(scratch, width)
+    docs = docs.select("doc_id", "text")
+    index = FingerprintIndex(scratch, docs, width, fan_in=fan_in)
     for k in range(batches):
-        index.add(docs.filter(F.pmod(F.xxhash64(key()), F.lit(batches)) == k))
-    spans = spans_by_key(index.repeated(docs))
+        index.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+    spans = scratch.save(spans_by_key(index.spans()), "spans")
     joined = docs.select("doc_id", key().alias("key"), F.col("text").cast("binary").alias("text")).join(spans, "key", "left")
     none = F.array().cast("array<int>")
 

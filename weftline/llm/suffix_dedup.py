@@ -10,9 +10,9 @@ and a hash order is dealt out evenly where an order by bytes gives one task all
 Phrases of exact and near copies collapse into one dictionary entry where they are read,
 which is what makes the method cheap on highly repetitive text.
 
-Defined results: null and empty texts have no bytes; a text shorter than 400 bytes loses nothing; rows that
-repeat a doc_id with the same text are occurrences of each other; a row without doc_id is known by its text; an empty
-table gives no rows; other columns are not read.
+Defined results: null and empty texts have no bytes; a text shorter than 400 bytes loses nothing; a row is known by its
+doc_id and its text together, so rows with one doc_id or with none are judged each by its own text, and equal rows
+are occurrences of each other; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,11 @@ def deduplicate(docs: DataFrame, width: int = 400, gram: int = 200, scratch: Scr
     texts = docs.select("doc_id", key().alias("key"), F.col("text").cast("binary").alias("text"))
     parse = scratch.save(windows.blocks(texts), "parse")
     dictionary = scratch.save(windows.summary(parse), "dictionary")
-    spans = spans_by_key(windows.repeated(texts.select("key", "text"), parse, dictionary, scratch))
+    again = scratch.save(dictionary.filter("times > 1").select("anchor", "block"), "again")
+    whole = scratch.save(parse.join(again, ["anchor", "block"]).select("key", "a", "n"), "covered")
+    close = windows.doubtful(dictionary, scratch)
+    scratch.drop("parse", "again", "dictionary")
+    spans = scratch.save(spans_by_key(whole.unionByName(windows.partly(texts.select("key", "text"), close, scratch))), "spans")
     none = F.array().cast("array<int>")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,7 @@ U = np.uint64
 HIGH, LOW = U(0xFFFFFFFF00000000), U(0xFFFFFFFF)
 BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
+KEPT_POWERS = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -51,9 +52,11 @@ class Rolling:
         n = len(symbols)
         have = _powers.get(family)
         if have is None or len(have[0]) <= n:
-            size = max(n + 1, 1 << 14) * 2
+            size = max(n + 1, KEPT_POWERS)
             inverse = U(pow(int(BASES[family]), -1, 1 << 64))
-            have = _powers[family] = tuple(np.cumprod(np.concatenate((np.ones(1, U), np.full(size, x)))) for x in (BASES[family], inverse))
+            have = tuple(np.cumprod(np.concatenate((np.ones(1, U), np.full(size, x)))) for x in (BASES[family], inverse))
+            if size == KEPT_POWERS:  # those of longer texts go with the text
+                _powers[family] = have
         self.back = have[1]
         self.sums = np.concatenate((np.zeros(1, U), np.cumsum(symbols * have[0][:n])))
 
@@ -150,28 +153,32 @@ class Windows:
         return blocks.groupBy("anchor", "block").agg(F.count("*").alias("times"), F.min(F.struct("key", "p", "a", "n")).alias("one"))
 
     @staticmethod
-    def merged(summaries: DataFrame) -> DataFrame:
-        return summaries.groupBy("anchor", "block").agg(F.sum("times").alias("times"), F.min("one").alias("one"))
-
-    def repeated(self, docs: DataFrame, blocks: DataFrame, summary: DataFrame, scratch: Scratch) -> DataFrame:
-        """(key, a, n): the runs of n windows from a, of every text, that are found elsewhere too."""
-        again = scratch.save(summary.filter("times > 1").select("anchor", "block"), "again")
-        covered = [scratch.save(blocks.join(again, ["anchor", "block"]).select("key", "a", "n"), "covered")]
-        close = _mixed(summary.withColumn("open", F.col("times") == 1), "anchor", scratch, "close")
-        marks = close.groupBy("key").agg(F.collect_list(F.struct("p", "a", "n", "open")).alias("marks"))
-        contexts = scratch.save(self._contexts(docs.join(marks, "key")), "contexts")
+    def doubtful(summary: DataFrame, scratch: Scratch, name: str = "close") -> DataFrame:
+        """(key, p, a, n, open): one occurrence of each block that shares its anchor with others, where one of them is found once (open) and one is new.
+
+        summary may say which blocks are new by a column ``fresh``; else all are.
+        """
+        fresh = F.col("fresh") if "fresh" in summary.columns else F.lit(True)
+        return _mixed(summary.withColumns({"open": F.col("times") == 1, "fresh": fresh}), "anchor", scratch, name)
+
+    def partly(self, docs: DataFrame, close: DataFrame, scratch: Scratch, name: str = "partly") -> DataFrame:
+        """(key, a, n): the runs of n repeated windows from a in the open ones of the doubtful blocks; their texts are read from docs."""
+        marks = scratch.save(close.groupBy("key").agg(F.collect_list(F.struct("p", "a", "n", "open")).alias("marks")), f"{name}-marks")
+        contexts = scratch.save(self._contexts(docs.join(marks, "key")), f"{name}-contexts")
         rows = contexts.select("key", "p", "first", "a", "n", "open", "context")
+        covered = []
         for k, size in enumerate(self.steps):
-            runs = scratch.save(self._runs(rows, size), f"runs{k}")
+            runs = scratch.save(self._runs(rows, size), f"{name}-runs{k}")
             found = scratch.save(
-                runs.groupBy("core", "span").agg(F.count("*").alias("times"), F.max("open").alias("any_open"), F.min(F.struct("key", "p", "a", "n")).alias("one")), f"found{k}"
+                runs.groupBy("core", "span").agg(F.count("*").alias("times"), F.max("open").alias("any_open"), F.min(F.struct("key", "p", "a", "n")).alias("one")), f"{name}-found{k}"
             )
-            again = scratch.save(found.filter("times > 1 and any_open").select("core", "span"), f"again{k}")
-            covered.append(scratch.save(runs.filter("open").join(again, ["core", "span"]).select("key", "a", "n"), f"covered{k}"))
-            scratch.drop(f"runs{k}")
+            again = scratch.save(found.filter("times > 1 and any_open").select("core", "span"), f"{name}-again{k}")
+            covered.append(scratch.save(runs.filter("open").join(again, ["core", "span"]).select("key", "a", "n"), f"{name}-covered{k}"))
+            scratch.drop(f"{name}-runs{k}")
             if size > 1:
-                left = _mixed(found.withColumn("open", (F.col("times") == 1) & F.col("any_open")), "core", scratch, f"left{k}")
+                left = _mixed(found.withColumns({"open": (F.col("times") == 1) & F.col("any_open"), "fresh": F.lit(True)}), "core", scratch, f"{name}-left{k}")
                 rows = left.join(contexts.select("key", "p", "first", "context"), ["key", "p"]).select("key", "p", "first", "a", "n", "open", "context")
+        scratch.drop(f"{name}-contexts", f"{name}-marks")
         out = covered[0]
         for more in covered[1:]:
             out = out.unionByName(more)
@@ -214,7 +221,7 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def _mixed(found: DataFrame, by: str, scratch: Scratch, name: str) -> DataFrame:
-    """One occurrence (key, p, a, n, open) of each row of found whose ``by`` other rows share and some of these are open."""
-    shared = found.groupBy(by).agg(F.count("*").alias("rows"), F.max("open").alias("some")).filter("rows > 1 and some").select(by)
+    """One occurrence (key, p, a, n, open) of each row of found whose ``by`` other rows share, some of these being open and some fresh."""
+    shared = found.groupBy(by).agg(F.count("*").alias("rows"), F.max("open").alias("some"), F.max("fresh").alias("new")).filter("rows > 1 and some and new").select(by)
     shared = scratch.save(shared, f"{name}-shared")
     return scratch.save(found.join(shared, by).select("one.*", "open"), name)
