@@ -3,19 +3,19 @@
 The tree has a fixed depth: a line goes down by its number of tokens and then by its first ``depth`` tokens, a token
 that holds a digit counting as a variable field. Lines in one leaf are generalised together: at
 each place a token stays if lines of ``min_texts`` texts or more have it there, else it is a variable field; a line of which less
-than ``min_constant`` would stay is its own template. Templates found in ``min_texts`` texts or
-more are recurring, and their lines are dropped.
+than ``min_constant`` would stay is its own template.
 
-Equal texts count once, so a text is never dropped for having exact copies; and a text that would lose more
-than ``max_loss`` of its words is a copy rather than a carrier of boilerplate, and is left whole for near-duplicate
-detection to judge. Lines of fewer than ``min_tokens`` tokens stay.
+A template found in ``min_texts`` texts or more is a candidate. A text that owes at most half of its words to candidates is a
+*carrier*: it has something of its own. Candidates found in ``min_texts`` carriers or more are recurring, and their lines are dropped from
+every text, whatever is left of it. So what only near copies of one text share is not taken for boilerplate, as none of
+them is a carrier; they are left to near-duplicate detection. Equal texts count once.
 
 Everything is DataFrame expressions. Only leaves that recur have their lines looked at; counts are
 pre-aggregated, and what a line leads to goes back to texts by joins of freshly read tables, in which Spark splits skewed keys.
 The two joins that move text are merge joins whatever the size of their other side, as that grows with the corpus.
 
-Defined results: null texts stay null, empty ones empty; equal texts get equal results whatever their doc_id; an
-empty table gives no rows; other columns pass through ``deduplicate``.
+Defined results: null texts stay null, empty ones empty; blank lines stay; equal texts get equal results whatever their
+doc_id; an empty table gives no rows; other columns pass through ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -28,19 +28,21 @@ from weftline.llm.common import Scratch, table, words_of
 FIELD = "<*>"
 
 
-def _lines(texts: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(txt, no, line_id, leaf, line) of the lines that have min_tokens tokens or more."""
-    rows = texts.select(F.xxhash64("text").alias("txt"), F.posexplode_outer(F.split("text", "\n")).alias("no", "line"))
-    rows = rows.withColumn("tokens", words_of(F.col("line"))).filter(F.size("tokens") >= min_tokens)
+def _lines(texts: DataFrame, depth: int) -> DataFrame:
+    """(txt, no, line_id, leaf, line, n, total) of the lines with a token; n: the line's tokens, total: the text's."""
+    cut = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("line"), words_of(line).alias("tokens")))
+    rows = texts.select(F.xxhash64("text").alias("txt"), cut.alias("cut"))
+    rows = rows.select("txt", F.aggregate("cut", F.lit(0), lambda a, x: a + F.size(x["tokens"])).alias("total"), F.posexplode_outer("cut").alias("no", "at"))
+    rows = rows.select("txt", "total", "no", "at.line", "at.tokens").filter(F.size("tokens") > 0)
     lead = F.transform(F.slice("tokens", 1, depth), lambda t: F.when(F.regexp_like(t, F.lit("[0-9]")), FIELD).otherwise(t))
     leaf = F.xxhash64(F.size("tokens"), F.array_join(lead, " "))
-    return rows.select("txt", "no", leaf.alias("leaf"), F.xxhash64("line").alias("line_id"), "line")
+    return rows.select("txt", "no", leaf.alias("leaf"), F.xxhash64("line").alias("line_id"), "line", F.size("tokens").alias("n"), "total")
 
 
-def recurring(texts: DataFrame, min_texts: int = 5, depth: int = 3, min_tokens: int = 3, min_constant: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
+def recurring(texts: DataFrame, min_texts: int = 5, depth: int = 3, min_constant: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
     """(txt, nos): numbers of the lines of each text (by its hash) whose template recurs."""
     scratch = scratch or Scratch(texts.sparkSession, "lines")
-    lines = scratch.save(_lines(texts.filter("text is not null"), depth, min_tokens), "lines")
+    lines = scratch.save(_lines(texts.filter("text is not null"), depth), "lines")
     leaves = lines.select("leaf", "txt").distinct().groupBy("leaf").count().filter(F.col("count") >= min_texts).select("leaf")
     leaves = scratch.save(leaves, "leaves")
     shared = scratch.save(lines.join(leaves.hint("merge"), "leaf"), "shared")
@@ -57,27 +59,35 @@ def recurring(texts: DataFrame, min_texts: int = 5, depth: int = 3, min_tokens:
     )
     template = F.when(F.col("share") >= min_constant, F.xxhash64("leaf", F.array_join("parts.token", " "))).otherwise(F.xxhash64("leaf", "line_id"))
     templates = scratch.save(made.select("line_id", template.alias("template")), "templates")
-    told = scratch.save(shared.select("txt", "no", "line_id").join(templates, "line_id").select("txt", "no", "template"), "told")
-    often = told.select("template", "txt").distinct().groupBy("template").count().filter(F.col("count") >= min_texts).select("template")
-    often = scratch.save(often, "often")
-    return scratch.save(told.join(often, "template").groupBy("txt").agg(F.collect_set("no").alias("nos")), "dropped")
+    scratch.drop("by-line", "tokens", "constants", "leaves")
+    told = scratch.save(shared.select("txt", "no", "line_id", "n", "total").join(templates, "line_id").select("template", "txt", "no", "n", "total").distinct(), "told")
+    scratch.drop("shared", "templates")
 
+    def common(rows: DataFrame, name: str) -> DataFrame:
+        often = rows.select("template", "txt").distinct().groupBy("template").count().filter(F.col("count") >= min_texts)
+        return scratch.save(often.select("template"), name)
 
-def deduplicate(docs: DataFrame, max_loss: float = 0.5, scratch: Scratch | None = None, **options) -> DataFrame:
+    candidates = scratch.save(told.join(common(told, "often"), "template"), "candidates")
+    scratch.drop("told")
+    carriers = candidates.groupBy("txt").agg(F.sum("n").alias("owed"), F.min("total").alias("total")).filter("2 * owed <= total").select("txt")
+    carried = candidates.join(scratch.save(carriers, "carriers"), "txt")
+    gone = candidates.select("template", "txt", "no").join(common(carried, "recurring"), "template")
+    return scratch.save(gone.groupBy("txt").agg(F.collect_set("no").alias("nos")), "dropped")
+
+
+def deduplicate(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
     """docs with their recurring lines dropped from text, and n_lines and n_dropped beside."""
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     drop = recurring(docs.select("text"), scratch=scratch, **options)
     df = docs.withColumn("_txt", F.xxhash64("text")).join(drop.withColumnRenamed("txt", "_txt").withColumnRenamed("nos", "_nos").hint("merge"), "_txt", "left")
     df = df.withColumn("_lines", F.split("text", "\n"))
-    df = df.withColumn("_kept", F.when(F.col("_nos").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda _, k: ~F.array_contains("_nos", k))))
-    count = lambda lines: F.size(words_of(F.array_join(lines, "\n")))
-    whole = F.col("_nos").isNull() | (count("_kept") < (1 - max_loss) * count("_lines"))
-    df = df.withColumn("_whole", whole)
+    df = df.withColumn("_kept", F.filter("_lines", lambda _, k: ~F.array_contains("_nos", k)))
+    none = F.col("_nos").isNull()
     return df.select(
         *[F.col(f"`{c}`") for c in names],
-        F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text"),
+        F.when(none, F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("_whole"), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
+        F.when(none, 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
     )
 
 
@@ -89,7 +99,7 @@ SQL = r"""
 WITH t AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM t),
 k AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS tokens FROM l),
-m AS (SELECT *, len(tokens) || ' ' || array_to_string(list_transform(tokens[1:3], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS leaf FROM k WHERE len(tokens) >= 3),
+m AS (SELECT *, len(tokens) || ' ' || array_to_string(list_transform(tokens[1:3], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS leaf FROM k WHERE len(tokens) > 0),
 shared AS (SELECT * FROM m WHERE leaf IN (SELECT leaf FROM m GROUP BY leaf HAVING count(DISTINCT text) >= 5)),
 by_line AS (SELECT leaf, line, any_value(tokens) AS tokens, count(DISTINCT text) AS texts FROM shared GROUP BY leaf, line),
 tok AS (SELECT leaf, line, texts, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM by_line),
@@ -97,12 +107,15 @@ stays AS (SELECT leaf, pos, token FROM tok GROUP BY leaf, pos, token HAVING sum(
 made AS (SELECT t.leaf, t.line, avg(CASE WHEN s.token IS NULL THEN 0.0 ELSE 1.0 END) AS share,
     string_agg(CASE WHEN s.token IS NULL THEN '<*>' ELSE t.token END, ' ' ORDER BY t.pos) AS parts
   FROM tok t LEFT JOIN stays s ON s.leaf = t.leaf AND s.pos = t.pos AND s.token = t.token GROUP BY t.leaf, t.line),
-told AS (SELECT s.text, s.no, CASE WHEN m.share >= 0.5 THEN 'T' || s.leaf || '/' || m.parts ELSE 'L' || s.line END AS template
+told AS (SELECT s.text, s.no, len(s.tokens) AS n, CASE WHEN m.share >= 0.5 THEN 'T' || s.leaf || '/' || m.parts ELSE 'L' || s.line END AS template
   FROM shared s JOIN made m ON m.leaf = s.leaf AND m.line = s.line),
-gone AS (SELECT text, list(DISTINCT no) AS nos FROM told WHERE template IN (SELECT template FROM told GROUP BY template HAVING count(DISTINCT text) >= 5) GROUP BY text),
-cut AS (SELECT d.doc_id, d.text, g.nos, string_split(d.text, chr(10)) AS ls FROM documents d LEFT JOIN gone g ON g.text = d.text),
-cut2 AS (SELECT *, CASE WHEN nos IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(nos, i - 1)), chr(10)) END AS rest FROM cut),
-cut3 AS (SELECT *, nos IS NULL OR len(regexp_extract_all(rest, '[^\x20\x09-\x0D]+')) < 0.5 * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS whole FROM cut2)
+candidates AS (SELECT * FROM told WHERE template IN (SELECT template FROM told GROUP BY template HAVING count(DISTINCT text) >= 5)),
+totals AS (SELECT text, sum(len(tokens)) AS total FROM k GROUP BY text),
+carriers AS (SELECT c.text FROM candidates c JOIN totals t ON t.text = c.text GROUP BY c.text, t.total HAVING 2 * sum(c.n) <= t.total),
+recurring AS (SELECT template FROM candidates WHERE text IN (SELECT text FROM carriers) GROUP BY template HAVING count(DISTINCT text) >= 5),
+gone AS (SELECT text, list(DISTINCT no) AS nos FROM candidates WHERE template IN (SELECT template FROM recurring) GROUP BY text),
+cut AS (SELECT d.doc_id, d.text, g.nos, string_split(d.text, chr(10)) AS ls FROM documents d LEFT JOIN gone g ON g.text = d.text)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE CAST(len(ls) AS BIGINT) END AS n_lines,
-  CASE WHEN whole THEN 0 ELSE CAST(len(nos) AS BIGINT) END AS n_dropped, CASE WHEN whole THEN text ELSE rest END AS text FROM cut3
+  CASE WHEN nos IS NULL THEN 0 ELSE CAST(len(nos) AS BIGINT) END AS n_dropped,
+  CASE WHEN nos IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(nos, i - 1)), chr(10)) END AS text FROM cut
 """
