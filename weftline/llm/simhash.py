@@ -31,6 +31,8 @@ from weftline.llm.common import Scratch, table
 from weftline.llm.components import components
 
 BITS = 3
+#: Most bits by which a large part is dealt out again.
+WIDEST = 16
 CHUNK = 1 << 16
 
 
@@ -176,18 +178,17 @@ def links(fps: DataFrame, scratch: Scratch, split_above: int = 1 << 16) -> DataF
     # the quarter's bits, counted from the highest, are what the rotation brings to the front
     block = F.expr("shiftrightunsigned(fp, 48 - 16 * quarter) & 65535")
     rows = quarters.select("fp", "quarter", (F.col("quarter") * 65536 + block).alias("part"))
-    sizes = rows.groupBy("part").count().filter(F.col("count") > 1)
-    large = sizes.filter(F.col("count") > split_above).withColumn("bits", F.least(F.lit(16), F.ceil(F.log2(F.col("count") / split_above))).cast("int") + 1)
-    wide = large.collect()  # at most 4 * N / split_above subtrees; their parts are dealt out by lower nodes
-    if wide:
-        cases = None
-        for r in wide:
-            lower = F.expr(f"shiftrightunsigned((fp << (16 * quarter)) | (shiftrightunsigned(fp, (64 - 16 * quarter) % 64) * cast(quarter > 0 as long)), {48 - r['bits']}) & {(1 << r['bits']) - 1}")
-            other = F.transform(F.array(*[F.lit(x) for x in _balls(r["bits"], BITS)]), lambda x, lower=lower: lower.bitwiseXOR(x))
-            pair = F.transform(other, lambda o, lower=lower: F.least(lower, o) * (1 << 17) + F.greatest(lower, o))
-            cases = F.when(F.col("part") == r["part"], pair) if cases is None else cases.when(F.col("part") == r["part"], pair)
-        rows = rows.withColumn("lower", F.explode(cases.otherwise(F.array(F.lit(0).cast("long")))))
-        rows = rows.withColumn("part", F.col("lower") * (1 << 18) + F.col("part"))
+    sizes = rows.groupBy("part").count().filter(F.col("count") > split_above)
+    bits = F.least(F.lit(WIDEST), F.ceil(F.log2(F.col("count") / split_above)).cast("int") + 1)
+    large = scratch.save(sizes.select("part", bits.alias("bits")), "large")  # 4 * 65536 rows at most, as there are no more parts
+    rows = rows.join(F.broadcast(large), "part", "left")
+    # a large part is dealt out by pairs of its lower nodes: the next bits below the quarter, and those within the budget of them
+    turned = "shiftleft(fp, 16 * quarter) | if(quarter > 0, shiftrightunsigned(fp, (64 - 16 * quarter) % 64), 0L)"
+    rows = rows.withColumn("lower", F.expr(f"shiftrightunsigned({turned}, 48 - bits) & (shiftleft(1L, bits) - 1)"))
+    masks = F.filter(F.array(*map(F.lit, _balls(WIDEST, BITS))), lambda x: x < F.expr("shiftleft(1L, bits)"))
+    pairs = F.transform(masks, lambda x: F.least("lower", F.col("lower").bitwiseXOR(x)) * (1 << 17) + F.greatest("lower", F.col("lower").bitwiseXOR(x)))
+    pairs = F.when(F.col("bits").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
+    rows = rows.select("fp", "quarter", "part", F.explode_outer(pairs).alias("pair")).withColumn("part", F.col("pair") * (1 << 18) + F.col("part"))
     rows = rows.select(F.col("part").cast("long"), "fp", F.col("quarter").cast("int"))
     dealt = rows.repartition("part").sortWithinPartitions("part")
     return scratch.save(dealt.mapInArrow(_forest, "u long, v long").distinct(), "forest")
