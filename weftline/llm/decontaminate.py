@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import Scratch, table
 
 #: Everything in ASCII that is neither letter nor digit separates words; A-Z count as a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -111,10 +111,11 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def report(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, n: int = 13, scratch: Scratch | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items (sorted as strings), spans, contaminated."""
+    scratch = scratch or Scratch(docs.sparkSession, "decontamination")
     windows = item_windows(items, n)
-    found = hits(docs, windows)
+    found = scratch.save(hits(docs, windows), "hits")  # read twice
     owners = windows.select("window", F.col("item_id").cast("string").alias("item"))
     per_item = found.select("doc_id", "txt", "window").distinct().join(owners, "window").groupBy("doc_id", "txt").agg(F.sort_array(F.collect_set("item")).alias("items"))
     per = spans(found)
