@@ -9,7 +9,7 @@ sources' own shares, so all queues end together and the mixture holds from the f
 With integer earnings the schedule has a closed form: after j rounds queue q has been served
 min(T_q, slot * floor(j * Q_q / slot)) tokens. So the place of any slot follows from the queues' totals
 alone, and deficits carry over partitions without any task waiting for another:
-documents are tokenised once, take their place in their queue by a two-level prefix sum
+documents are tokenised once, get a number each that spreads them evenly whatever their doc_id, take their place in their queue by a two-level prefix sum
 (in chunks, then over chunk totals), and each task cuts its own documents.
 
 The ``max_queues`` - 1 largest sources have a queue each and the others share one, which bounds
@@ -21,7 +21,7 @@ table gives no pieces; other columns are not read.
 from __future__ import annotations
 
 import base64
-import zlib
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,28 +39,39 @@ UNIT = 1 << 16
 
 @lru_cache(2)
 def _encoder(name: str):
-    """The tokenizer as ranks: the ids of the ``tokenizers`` file of that name, several times faster."""
+    """Ids of a text, as the ``tokenizers`` file ``name`` gives them, by ``tiktoken`` over the same ranks, several times faster.
+
+    A special token's string in a text is that token, as ``tokenizers`` reads it unless told otherwise.
+    """
     import public_tokenizers
     import tiktoken
 
-    with open(public_tokenizers.path(name), "rb") as f:
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> list[int]:
+        return own.encode(text, allowed_special="all") if any(x in text for x in special) else own.encode_ordinary(text)
+
+    return encode
 
 
-def tokenised(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """(doc_id, source, n, ids): ids are little-endian unsigned 16-bit numbers, the end token last."""
+def tokenised(docs: DataFrame, tokenizer: str = "byte_bpe_50k") -> DataFrame:
+    """(row, doc_id, source, n, ids): row is a number of its own; ids are little-endian unsigned 16-bit numbers, the end token last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encode = _encoder(tokenizer)
         for b in batches:
-            ids = [np.array([*encode(x.as_py() or ""), END], "<u2") for x in b.column(2)]
+            ids = [np.array([*encode(x.as_py() or ""), END], "<u2") for x in b.column(3)]
             yield pa.record_batch(
-                [b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                names=["doc_id", "source", "n", "ids"],
+                [*b.columns[:3], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                names=["row", "doc_id", "source", "n", "ids"],
             )
 
-    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").mapInArrow(run, "doc_id long, source string, n long, ids binary")
+    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text")
+    return named.mapInArrow(run, "row long, doc_id long, source string, n long, ids binary")
 
 
 class Schedule:
@@ -108,7 +119,7 @@ class Schedule:
         return row[own], start[own] + x - at[own], y - x, s, x - s * self.sequence
 
 
-def pack(docs: DataFrame, sequence: int = 2048, slot: int = 256, weights: dict[str, float] | None = None, max_queues: int = 4096, chunk_tokens: int = 1 << 17, tokenizer: str = "byte_bpe_50k.tiktoken", scratch: Scratch | None = None) -> DataFrame:
+def pack(docs: DataFrame, sequence: int = 2048, slot: int = 256, weights: dict[str, float] | None = None, max_queues: int = 4096, chunk_tokens: int = 1 << 17, tokenizer: str = "byte_bpe_50k", scratch: Scratch | None = None) -> DataFrame:
     """Pieces: doc_id, source, start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset.
 
     weights: target share of each source in a sequence; sources without one share what their tokens are of all.
@@ -124,10 +135,10 @@ def pack(docs: DataFrame, sequence: int = 2048, slot: int = 256, weights: dict[s
     spark = docs.sparkSession
     queues = F.broadcast(spark.createDataFrame([(r["source"], k) for k, r in enumerate(named)], "source string, queue int"))  # max_queues rows at most
     chunks = int(min(max(total // chunk_tokens, 1), 1 << 16))
-    placed = tokens.join(queues, "source", "left").withColumns({"queue": F.coalesce("queue", F.lit(len(named))), "chunk": F.pmod(F.xxhash64("doc_id"), F.lit(chunks))})
+    placed = tokens.join(queues, "source", "left").withColumns({"queue": F.coalesce("queue", F.lit(len(named))), "chunk": F.pmod(F.xxhash64("doc_id", "row"), F.lit(chunks))})
     ends = placed.groupBy("queue", "chunk").agg(F.sum("n").alias("chunk_total"))
     ends = ends.withColumn("chunk_first", F.sum("chunk_total").over(Window.partitionBy("queue").orderBy("chunk")) - F.col("chunk_total")).drop("chunk_total")
-    order = Window.partitionBy("queue", "chunk").orderBy("doc_id", "n", F.crc32("ids"))
+    order = Window.partitionBy("queue", "chunk").orderBy("doc_id", "row")
     placed = placed.withColumn("in_chunk", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     placed = placed.join(ends, ["queue", "chunk"]).select("doc_id", "source", "queue", (F.col("chunk_first") + F.col("in_chunk")).alias("first"), "n", "ids")
 
