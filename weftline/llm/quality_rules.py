@@ -218,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **options) ->
     """Learn the list from labels (doc_id, quality 0 or 1); at most max_rows labelled rows are read.
 
     The rows with the smallest hashes of doc_id are taken. Rows that fail the base
-    rules teach nothing new and are left out. A doc_id labelled more than once counts as its worst label.
+    rules teach nothing new and are left out. A doc_id labelled more than once counts as its worst label; of
+    different texts with one doc_id the one with the smallest hash is taken.
     """
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
@@ -228,11 +229,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **options) ->
         .limit(max_rows)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows bounds what is broadcast
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # max_rows rows at most
     stats = with_stats(texts).select("doc_id", "quality", "n_words", "n_repeat_words", *FEATURES).withColumn("third", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("prune")), F.lit(3)))
-    # max_rows rows, more only if documents repeat an id; the base rules are applied here, as a filter would compute every statistic twice
+    # the base rules are applied here, as a filter would compute every statistic twice
     rows = [
         {f: float(r[f]) for f in FEATURES} | {"bad": int(r["quality"] == 0), "prune": r["third"] == 0}
-        for r in sorted(stats.limit(2 * max_rows).collect(), key=lambda r: (r["doc_id"], r["n_words"]))
+        for r in sorted(stats.collect(), key=lambda r: r["doc_id"])
         if r["n_words"] >= 20 and 100 * r["n_repeat_words"] <= 30 * r["n_words"]
     ]
     return learn(rows, **options)
