@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -91,3 +92,38 @@ def components(prints: dict[int, int], bits: int = 3) -> dict[int, int]:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: find(d) for d in ids}
+
+
+def near_groups(texts: list, least: float = 0.8, words: int = 5) -> list[int]:
+    """For each text the first one of its group, by links between texts whose word shingles have a Jaccard similarity of ``least`` or more."""
+    sets = []
+    for t in texts:
+        w = low(t).encode().split()
+        sets.append({tuple(w[k : k + words]) for k in range(max(len(w) - words + 1, 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            b = sets[j]
+            if texts[i] == texts[j] or not (a or b) or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and len(a & b) >= least * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(k) for k in range(len(texts))]
+
+
+def class_score(tokens: list[str], model, words: dict, class_before, unknown_class) -> float:
+    """log10 probability of tokens (None: the end) by the tables of a class model; words: token -> (count, class)."""
+    total, before = 0.0, 0
+    room = model.tokens + model.types + 1
+    for t in tokens:
+        count, k = words.get(t) or (0, unknown_class(t))
+        own = count if count else model.unknown[k] / model.unseen[k]
+        base = (count + 1) / room / (1 if count else sum(model.unseen))
+        total += math.log10(model.share * model.step[before][k] * own / model.within[k] + (1 - model.share) * base)
+        before = 0 if t is None else class_before(t)
+    return total

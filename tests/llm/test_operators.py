@@ -1,5 +1,6 @@
 """What the operators do beyond their queries."""
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,15 @@ def test_templates_with_variable_fields_recur(spark):
     assert all(r["n_dropped"] == 0 for r in line_dedup.deduplicate(copies).collect())
 
 
+def test_recurring_lines_go_from_short_texts_too_but_near_copies_are_no_carriers(spark):
+    own = lambda k, n: " ".join(f"own{chr(97 + k)}{chr(97 + j)}" for j in range(n))
+    licence = "This text is free to use, to copy and to change for all."
+    rows = [(k, f"{own(k, 30)}\n{licence}\nok") for k in range(6)] + [(6, f"hi\n{licence}")]
+    near = [(10 + k, f"{own(20, 30)}\n{own(21, 25)} {own(k, 1)}\nsigned {own(k, 2)}") for k in range(8)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(spark.createDataFrame(rows + near, "doc_id long, text string")).collect()}
+    assert out == {k: own(k, 30) for k in range(6)} | {6: "hi"} | dict(near)
+
+
 def test_packing_keeps_to_targets(spark):
     rows = [(k, "a" if k % 4 else "b", "word " * 300) for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
@@ -122,11 +132,21 @@ def test_rules_are_learned_and_pruned():
     assert quality_rules.learn([]).rules == [] and quality_rules.learn([x | {"bad": 0} for x in rows]).rules == []
 
 
-def test_quality_model_separates_given_labels(spark, sf_dir):
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    out = quality_rules.fit(docs, labels).score(docs).join(labels, "doc_id").select("quality", "kept").collect()
-    good = [r["kept"] for r in out if r["quality"] == 1]
-    assert sum(good) > 0.9 * len(good)
+def test_quality_model_separates_given_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.fit(docs, labels)
+    out = rules.score(docs).join(labels, "doc_id").select("quality", "kept", "rule", *quality_rules.FEATURES).collect()
+    good, bad = ([r["kept"] for r in out if r["quality"] == q] for q in (1, 0))
+    assert rules.rules and sum(good) > 0.9 * len(good) and sum(bad) < 0.2 * len(bad)
+    for r in out:
+        assert r["rule"] == next((k for k, rule in enumerate(rules.rules, 1) if rule.holds(r.asDict())), 0)
+
+
+def test_rules_take_one_text_of_a_repeated_id(spark):
+    rows = [(1, f"text number {k} " * 9) for k in range(50)] + [(None, "nobody " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 0)], "doc_id long, quality int")
+    assert quality_rules.fit(docs, labels).rules == []  # a single row to learn from
 
 
 def test_exchange_finds_two_languages():
@@ -140,21 +160,90 @@ def test_exchange_finds_two_languages():
     assert len(set(own[:10])) == 1 and len(set(own[10:])) == 1 and own[0] != own[10]
 
 
+def test_a_sweep_equals_plain_exchange():
+    rng = np.random.default_rng(6)
+    classes, n = 5, 40
+    own = rng.integers(1, classes, n)
+    text = rng.integers(0, n, 3000)
+    text = text[np.concatenate(([True], text[1:] != text[:-1]))]
+    big = np.zeros((classes, classes))
+    np.add.at(big, (own[text[:-1]], own[text[1:]]), 1)
+    rows = {}
+    for a, b in zip(text[:-1], text[1:]):
+        for key in ((b, own[a]), (a, classes + own[b])):
+            rows[key] = rows.get(key, 0) + 1
+    keys = sorted(rows)
+    h, code, count = np.array([k[0] for k in keys]) + 10, np.array([k[1] for k in keys]), np.array([rows[k] for k in keys])
+    words, best, by_row = brown_lm.Sweep(big, np.array([12], np.uint64))(h.astype(np.int64), own[h - 10], code, count)
+
+    def likelihood(c):
+        t = np.zeros((classes, classes))
+        np.add.at(t, (c[text[:-1]], c[text[1:]]), 1)
+        x = lambda v: (v * np.log(np.maximum(v, 1e-12))).sum()
+        return x(t) - x(t.sum(0)) - x(t.sum(1))
+
+    for w, k in zip(words - 10, best):
+        tried = [likelihood(np.where(np.arange(n) == w, c, own)) if c else -np.inf for c in range(classes)]
+        assert k == own[w] if w == 2 else tried[k] >= max(tried) - 1e-3
+    assert (by_row == best[np.searchsorted(words, h)]).all()
+
+
 def test_model_is_a_distribution(spark, docs):
     model = brown_lm.fit(docs.select("text"), Scratch(spark, "t"), classes=8, frequent=50)
     assert np.allclose(model.step.sum(1), 1)
-    c = {r["h"]: r["c"] for r in model.words.collect()}
-    assert sum(c.values()) == model.tokens and np.isclose((model.within - model.unknown).sum(), model.tokens)
+    rows = model.words.collect()
+    assert sum(r["c"] for r in rows) == model.tokens
+    count = np.bincount([r["cls"] for r in rows], [r["c"] for r in rows], 8)
+    assert np.allclose(count + model.unknown, model.within, atol=1e-6)
+    base = sum((r["c"] + 1) / (model.tokens + model.types + 1) for r in rows) + 1 / (model.tokens + model.types + 1)
+    assert np.isclose(base, 1)
+
+
+@pytest.mark.parametrize("head", [1 << 18, 40])
+def test_scores_equal_plain_ones(spark, docs, head):
+    train = docs.filter("doc_id % 3 > 0").select("text")
+    model = brown_lm.fit(train, Scratch(spark, "t"), classes=6, frequent=20, head=head, sweeps=2)
+    import pyarrow as pa
+
+    names, buckets = {}, {}
+    for t in [r["text"] for r in docs.select("text").collect()]:
+        tokens = [*brute.WORD.findall(brute.low(t)), None]
+        h, bucket, _ = brown_lm.tokens_of(pa.array([(t or "").encode()], pa.binary()), model.buckets)
+        names |= dict(zip(tokens, h.tolist()))
+        buckets |= dict(zip(tokens, bucket.tolist()))
+    by_hash = {r["h"] % (1 << 64): (r["c"], r["cls"]) for r in model.words.collect()}
+    words = {t: by_hash[h] for t, h in names.items() if h in by_hash}
+    before = lambda t: int(model.before(np.array([names[t]], np.uint64), np.array([buckets[t]]))[0])
+    unknown = lambda t: int(model.of_bucket[buckets[t]])
+    want = [round(brute.class_score([*brute.WORD.findall(brute.low(r["text"])), None], model, words, before, unknown), 6) for r in docs.collect()]
+    got = [round(r["score"], 6) for r in model.score(docs.select("doc_id", "text", F.lit(True).alias("held_out")), Scratch(spark, "t")).collect()]
+    assert sorted(got) == pytest.approx(sorted(want), abs=1e-5)
+
+
+def test_head_is_bounded(spark):
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate([5000, 5001, 9, 9, 9, 3, 1, 1])], "h long, c long")
+    for most, want in ((8, 8), (7, 6), (5, 5), (4, 2), (2, 2), (1, 0)):
+        h, c = brown_lm.head_of(rows, most)
+        assert len(h) == want and sorted(c, reverse=True) == [5001, 5000, 9, 9, 9, 3, 1, 1][:want]
 
 
 def test_unknown_words_are_less_likely_than_known_ones(spark, sf_dir):
     train = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.lit(False).alias("held_out"))
     strange = train.filter("text is not null").withColumn("text", F.regexp_replace("text", r"[^\x20\x09-\x0D]+", "\u00a7$0q"))
-    per = lambda docs: model.score(docs, Scratch(spark, "t")).agg(F.sum("open_score") / F.sum("n_tokens")).first()[0]
+    per = lambda docs: model.score(docs, Scratch(spark, "t")).agg(F.sum("score") / F.sum("n_tokens")).first()[0]
     model = brown_lm.fit(train.select("text"), Scratch(spark, "t"))
     assert per(strange) < per(train) - 0.5
 
 
+def test_texts_are_taken_by_bytes():
+    import pyarrow as pa
+
+    texts = pa.array([b"a" * n for n in (10, brown_lm.SLICE_BYTES, 5, 7, 2 * brown_lm.SLICE_BYTES, 1)], pa.large_binary())
+    got = list(brown_lm.slices(texts))
+    assert [x for k, n in got for x in range(k, k + n)] == list(range(6)) and (4, 1) in got
+    assert brown_lm.tokens_of(texts, 16)[2].tolist() == [k for k in range(6) for _ in range(2)]
+
+
 def test_tokens_of_batches_equal_split():
     import pyarrow as pa
 
@@ -197,9 +286,12 @@ def test_declarations_and_hosts_decide_where_text_is_silent(spark):
     assert got[99]["text_lang"] is None and got[99]["lang"] == "xde"
 
 
+def hash_of(spark, text):
+    return spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
+
+
 @pytest.mark.parametrize("which", [0, 1])
 def test_pipeline(spark, docs_dir, which):
-    import brute
     import corpus_pipeline
 
     folder = docs_dir[which]
@@ -210,8 +302,14 @@ def test_pipeline(spark, docs_dir, which):
         assert out.columns == docs.columns
         assert {r["doc_id"] for r in out.select("doc_id").collect()} <= {r["doc_id"] for r in before.select("doc_id").collect()}
         if name == "simhash_dedup":
-            prints = {r["doc_id"]: brute.simhash(r["text"]) for r in before.collect()}
-            assert {r["doc_id"] for r in out.collect()} == set(brute.components(prints).values())
+            rows = sorted(((r["doc_id"], r["text"]) for r in before.collect()), key=lambda r: (r[0], hash_of(spark, r[1])))
+            want = [rows[k] for k, g in enumerate(brute.near_groups([t for _, t in rows])) if k == g]
+            assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+        if name == "decontamination":
+            items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+            plain = lambda t: brute.contamination({0: t}, items)[0]
+            dirty = [t for t in {r["text"] for r in before.collect()} if (p := plain(t))[1] and 20 * p[1] >= p[0]]
+            assert sorted((r["text"] or "" for r in out.collect())) == sorted(r["text"] or "" for r in before.collect() if r["text"] not in dirty)
         if name == "quality_rules":
             assert not any(brute.quality(r["text"])[5] for r in out.collect())
     pieces = corpus_pipeline.run(spark, folder).collect()

@@ -1,17 +1,20 @@
 """Scoring texts with a class-based bigram model over Brown classes.
 
-Words and counts. Every word of the training texts is counted by the 64-bit hash of its bytes. The ``frequent`` most frequent
-words are clustered by exchange: one word at a time moves to the class in which the likelihood of the class bigrams is
-highest, until no word moves. All other words get a class as well: those with
-the same beginning and ending share a bucket, and each bucket is exchanged by its words' contexts over the whole corpus.
-
-Model. P(w | before) = share * P(class of w | class of before) * P(w | class) + (1 - share) * base(w). In a class, a known word has
-its count and the unknown ones have the count of the class's words found once. All of it sums to one, over
-known words and an unknown one of each class: ``score`` takes all unknown words for one, as ``base_score`` does. ``open_score`` gives each of
-them an even part instead, as many unseen words being expected as were found once; it ranks texts by perplexity, as a text of unknown words is then unlikely.
-
-The counts of words never leave Spark: the ``head`` most frequent words, a bounded table, are looked up where the
-texts are read, the others are joined. What goes to the driver is bounded by parameters alone: bigrams of
+Words and counts. Every word of the training texts is counted by the 64-bit hash of its bytes.
+
+Classes, by exchange clustering. The ``frequent`` most frequent words are exchanged one at a time: a word moves to the class in which the
+likelihood of the class bigrams is highest, until no word moves. Every other word begins in the class that suits the words with the same
+beginning and ending, its bucket. Then come ``sweeps`` of parallel exchange over all words as a Spark job: the contexts of each word (the classes
+before and after it, over the whole corpus) are gathered, and each word moves on its own to the class of the highest
+likelihood, with the class bigrams as they were before the sweep. Frequent words keep their place there.
+
+Model. P(w | before) = share * P(class of w | class of before) * P(w | class) + (1 - share) * base(w). In a class, a known word has its
+count, and the unknown ones together that of the class's words found once, dealt evenly to as many unseen words; an unknown word has the class of its
+bucket. The word before counts by the class it had when the contexts were gathered. All of it sums to one over known and unseen words. ``score`` is the
+logarithm of it, so a text of unknown words scores low.
+
+The counts and classes of words never leave Spark: those of the ``head``, a bounded table of the most frequent words, are looked up where the
+texts are read, the others are joined. What goes to the driver is bounded by parameters alone: the head, bigrams of
 frequent words, contexts of buckets, bigrams of classes.
 
 Defined results: null and empty texts are the end token alone; a row without doc_id is training text; repeated rows
@@ -25,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +37,10 @@ from weftline.llm.windows import Rolling, mix
 
 U = np.uint64
 END = U(1)
-#: Texts that are split and hashed at once.
-SLICE = 500
+#: Texts that are split and hashed at once, and bytes of them, but for a text that is longer itself.
+SLICE, SLICE_BYTES = 500, (1 << 20) - 1
+#: Tokens whose counts are gathered before they are handed on.
+HELD = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
@@ -47,6 +53,7 @@ def tokens_of(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np
 
     Whole batches at a time: words are found, hashed and put into buckets without a loop over them.
     """
+    texts = texts.cast(pa.binary())  # whatever width of offsets Arrow hands over
     offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
     raw = LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
     offsets = offsets - offsets[0]
@@ -74,6 +81,17 @@ def tokens_of(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np
     return out, bucket, np.repeat(np.arange(len(texts)), counts + 1)
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of stretches of texts to be taken at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    k = 0
+    while k < len(texts):
+        most = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + SLICE_BYTES, side="right"))
+        n = min(max(most - k, 1), SLICE)
+        yield k, n
+        k += n
+
+
 @dataclass
 class Classes:
     """The class of every word: by its hash if frequent, else by its bucket. The end token has class 0."""
@@ -151,8 +169,8 @@ def _counted(docs: DataFrame, size: int, codes: Callable[..., np.ndarray], bucke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for k in range(0, b.num_rows, SLICE):
-                total += np.bincount(codes(*tokens_of(b.column(0).slice(k, SLICE), buckets)), minlength=size)
+            for k, n in slices(b.column(0)):
+                total += np.bincount(codes(*tokens_of(b.column(0).slice(k, n), buckets)), minlength=size)
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["code", "n"])
 
@@ -171,78 +189,229 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def head_of(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most frequent words: all of the counts above a cut that at most ``most`` words pass.
+
+    The cut follows from how many words have each count, counts of over 4,096 in steps of a 64th of a power of two.
+    """
+    step = F.when(F.col("c") < 4096, F.col("c").cast("double")).otherwise(3328 + F.floor(F.log2("c") * 64))
+    kinds = sorted(((r["step"], r["n"]) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    cut, taken = float("inf"), 0
+    for at, n in kinds:
+        if taken + n > most:
+            break
+        cut, taken = at, taken + n
+    got = words.filter(step >= cut).select("h", "c").toArrow()
+    hashes, counts = got.column(0).to_numpy().view(U), got.column(1).to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order].astype(float)
+
+
+class Sweep:
+    """One sweep of parallel exchange. big[a, b] counts class b after class a."""
+
+    MANY, LONG = 8, 256  # counts whose terms are looked up
+
+    def __init__(self, big: np.ndarray, fixed: np.ndarray):
+        """fixed: hashes, sorted, of words that stay where they are."""
+        self.big, self.fixed, self.classes = big, fixed, len(big)
+        self.sides = np.concatenate((big, big.T))  # [class before] and then [class after] by the word's own class
+        self.gain = np.stack([(_xlogx(self.sides + n) - _xlogx(self.sides)).astype(np.float32) for n in range(1, self.MANY + 1)])
+        self.sums = np.stack((big.sum(0), big.sum(1)))  # of a class as what follows, as what goes before
+        self.margin = np.stack([_xlogx(self.sums + n) - _xlogx(self.sums) for n in range(self.LONG + 1)])
+
+    def __call__(self, h: np.ndarray, own: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, class, class by row) for rows (word, its class, context, count) in order of words. A context is a class before, or ``classes`` and a class after."""
+        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        words, k0 = h[start], own[start].astype(np.int64)
+        row = np.repeat(np.arange(len(start)), np.diff(np.concatenate((start, [len(h)]))))
+        gain = np.zeros((len(start), self.classes))
+        for a in range(0, len(h), 1 << 14):
+            s = slice(a, a + (1 << 14))
+            few = self.gain[np.minimum(n[s], self.MANY) - 1, code[s]].astype(float)
+            many = np.flatnonzero(n[s] > self.MANY)
+            at = self.sides[code[s][many]]
+            few[many] = _xlogx(at + n[s][many][:, None]) - _xlogx(at)
+            first = np.flatnonzero(np.concatenate(([True], row[s][1:] != row[s][:-1])))
+            gain[row[s][first]] += np.add.reduceat(few, first)
+        here = self.sides[code, own]
+        stay = np.bincount(row, _xlogx(here) - _xlogx(np.maximum(here - n, 0)), len(start))
+        for side in (0, 1):
+            total = np.bincount(row, n * (code >= self.classes if side else code < self.classes), len(start)).astype(np.int64)
+            lost = self.margin[np.minimum(total, self.LONG), side]
+            long = np.flatnonzero(total > self.LONG)
+            lost[long] = _xlogx(self.sums[side] + total[long][:, None]) - _xlogx(self.sums[side])
+            gain -= lost
+            mine = self.sums[side, k0]
+            stay -= _xlogx(mine) - _xlogx(np.maximum(mine - total, 0))
+        counts = np.zeros((2, len(start), self.classes))
+        counts[code // self.classes, row, code % self.classes] = n
+        d = np.diagonal(self.big)
+        w, k = np.nonzero((counts > 0).all(0))  # a class on both sides of a word meets itself in one cell
+        left, right = counts[:, w, k]
+        gain[w, k] += _xlogx(d[k] + left + right) + _xlogx(d[k]) - _xlogx(d[k] + left) - _xlogx(d[k] + right)
+        left, right = counts[:, np.arange(len(start)), k0]
+        for side, mine in ((0, right), (1, left)):  # leaving its class, a word takes from the cells of this and another class what it then brings to them
+            w, k = np.nonzero((counts[side] > 0) & (mine[:, None] > 0) & (np.arange(self.classes) != k0[:, None]))
+            at, less, more = self.big[(k, k0[w]) if side == 0 else (k0[w], k)], counts[side, w, k], mine[w]
+            x = lambda v: _xlogx(np.maximum(v, 0))
+            gain[w, k] += x(at - less + more) - x(at + more) - x(at - less) + x(at)
+        less = lambda x: _xlogx(np.maximum(d[k0] - x, 0))
+        stay += less(left) + less(right) - less(0) - less(left + right)
+        gain[:, 0] = -np.inf
+        gain[np.arange(len(start)), k0] = stay
+        best = gain.argmax(1)
+        best = np.where(gain[np.arange(len(start)), best] > stay + 1e-6, best, k0)
+        best = np.where(lookup(self.fixed, words.view(U))[1] | (words.view(U) == END), k0, best)
+        return words, best, best[row]
+
+
 @dataclass
 class BrownModel:
-    classes: Classes
+    before: Classes  # of the word before
+    head: np.ndarray  # hashes of the head, sorted
+    head_counts: np.ndarray
+    head_classes: np.ndarray
+    of_bucket: np.ndarray  # class of an unknown word
     step: np.ndarray  # P(class | class before)
     within: np.ndarray  # count of each class, unknown words included
     unknown: np.ndarray  # count set aside for the unknown words of each class
     unseen: np.ndarray  # number of unknown words expected in each class
-    words: DataFrame  # (h, bucket, c)
+    words: DataFrame  # (h, c, cls)
     tokens: int
     types: int
     buckets: int
     share: float
 
-    def score(self, docs: DataFrame, scratch: Scratch, head: int = 1 << 18) -> DataFrame:
-        """Per row of docs (doc_id, text, held_out): n_tokens, n_known, base_score, score, open_score."""
-        top = self.words.orderBy(F.desc("c"), "h").limit(head).select("h", "c").toArrow()
-        hashes, counts = top.column(0).to_numpy().view(U), top.column(1).to_numpy()
-        order = np.argsort(hashes)
-        hashes, counts = hashes[order], counts[order].astype(float)
-        whole = self.types <= head
-        classes, buckets, within, unknown, share = self.classes, self.buckets, self.within, self.unknown, self.share
-        each = unknown / self.unseen
-        step, room = self.step, float(self.tokens + self.types + 1)
+    def chances(self, before: np.ndarray, cls: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of base and model for words of count c and class cls after a class."""
+        room = float(self.tokens + self.types + 1)
+        base = (c + 1) / room
+        known = c > 0
+        own = np.where(known, c, self.unknown[cls] / self.unseen[cls])
+        rest = np.where(known, base, base / self.unseen.sum())
+        return np.log10(base), np.log10(self.share * self.step[before, cls] * own / self.within[cls] + (1 - self.share) * rest)
+
+    def score(self, docs: DataFrame, scratch: Scratch) -> DataFrame:
+        """Per row of docs (doc_id, text, held_out): n_tokens, n_known, base_score, score."""
+        words, tokens = self.words, self.tokens
+        self.words = None  # the tasks need the tables alone
+        local = BrownModel(**vars(self))
+        self.words = words
+        whole = self.types <= len(self.head)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for k in range(0, b.num_rows, SLICE):
-                    part = b.slice(k, SLICE)
-                    h, bucket, doc = tokens_of(part.column(3), buckets)
-                    c = classes(h, bucket)
-                    before = np.concatenate(([0], c[:-1]))  # a text begins after an end
-                    a = share * step[before, c] / within[c]
-                    at, found = lookup(hashes, h)
-                    n = np.where(found, counts[at] if len(counts) else 0, 0.0)
-                    sure = found | whole
-                    base = np.log10((n + 1) / room)
-                    p, q = (np.log10(a * np.where(n > 0, n, u[c]) + (1 - share) * (n + 1) / room) for u in (unknown, each))
+                for k, many in slices(b.column(3)):
+                    part = b.slice(k, many)
+                    h, bucket, doc = tokens_of(part.column(3), local.buckets)
+                    before = np.concatenate(([0], local.before(h, bucket)[:-1]))  # a text begins after an end
+                    at, found = lookup(local.head, h)
+                    cls = np.where(found, local.head_classes[at] if len(local.head) else 0, local.of_bucket[bucket])
+                    cls[h == END] = 0
+                    sure = found | whole | (h == END)
+                    n = np.where(found, local.head_counts[at] if len(local.head) else 0, 0.0)
+                    base, p = local.chances(before[sure], cls[sure], n[sure])
                     size = part.num_rows
-                    add = lambda x: np.bincount(doc[sure], weights=x[sure], minlength=size)  # noqa: E731, B023
+                    add = lambda x: np.bincount(doc[sure], weights=x, minlength=size)  # noqa: E731, B023
                     row, tail = part.column(0), ~sure
-                    none = pa.nulls(size, pa.int64())
+                    none = [pa.nulls(size, t) for t in (pa.int64(), pa.int16(), pa.int16())]
                     yield pa.record_batch(
-                        [row, part.column(1), part.column(2), pa.array(np.bincount(doc, minlength=size)), pa.array(add((n > 0).astype(float)).astype(np.int64)), pa.array(add(base)), pa.array(add(p)), pa.array(add(q)), none, *[pa.nulls(size, pa.float64())] * 3],
+                        [row, part.column(1), part.column(2), pa.array(np.bincount(doc, minlength=size)), pa.array(add((n[sure] > 0).astype(float)).astype(np.int64)), pa.array(add(base)), pa.array(add(p)), *none],
                         names=NAMES,
                     )
                     size = int(tail.sum())
-                    none = [pa.nulls(size, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())]
-                    yield pa.record_batch([row.take(pa.array(doc[tail])), *none, pa.array(h[tail].view(np.int64)), pa.array(a[tail]), pa.array(unknown[c[tail]]), pa.array(each[c[tail]])], names=NAMES)
+                    none = [pa.nulls(size, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    yield pa.record_batch([row.take(pa.array(doc[tail])), *none, pa.array(h[tail].view(np.int64)), pa.array(before[tail].astype(np.int16)), pa.array(cls[tail].astype(np.int16))], names=NAMES)
+
+        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                row, before, cls, c = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+                base, p = local.chances(before.astype(np.int64), cls.astype(np.int64), c.astype(float))
+                rows, first = np.unique(row, return_inverse=True)
+                add = lambda x: np.bincount(first, weights=x, minlength=len(rows))  # noqa: E731, B023
+                yield pa.record_batch([pa.array(rows), pa.array(add((c > 0).astype(float)).astype(np.int64)), pa.array(add(base)), pa.array(add(p))], names=["row", "n_known", "base_score", "score"])
 
         given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-        parts = scratch.save(given.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, open_score double, h long, a double, u double, v double"), "scored")
-        tail = parts.filter("h is not null").select("row", "h", "a", "u", "v").join(self.words.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)).cast("double"))
-        chance = lambda unknown: F.log10(F.col("a") * F.when(F.col("c") > 0, F.col("c")).otherwise(F.col(unknown)) + (1 - share) * (F.col("c") + 1) / room)
-        rare = tail.select(
-            "row",
-            F.lit(None).cast("long").alias("doc_id"),
-            F.lit(None).cast("boolean").alias("held_out"),
-            F.lit(0).cast("long").alias("n_tokens"),
-            (F.col("c") > 0).cast("long").alias("n_known"),
-            F.log10((F.col("c") + 1) / room).alias("base_score"),
-            chance("u").alias("score"),
-            chance("v").alias("open_score"),
-        )
-        per = parts.filter("h is null").drop("h", "a", "u", "v").unionByName(rare).groupBy("row")
-        out = per.agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "open_score")])
-        return out.withColumn("train_tokens", F.lit(self.tokens).cast("long")).drop("row")
-
-
-NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "open_score", "h", "a", "u", "v"]
-
-
-def fit(train: DataFrame, scratch: Scratch, classes: int = 128, frequent: int = 1024, buckets: int = 1 << 14, share: float = 0.95) -> BrownModel:
+        parts = scratch.save(given.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, h long, before short, cls short"), "scored")
+        tail = parts.filter("h is not null").select("row", "h", "before", F.col("cls").alias("other")).join(words.select("h", "c", "cls"), "h", "left")
+        tail = tail.select("row", "before", F.coalesce("cls", "other").cast("short").alias("cls"), F.coalesce("c", F.lit(0)).alias("c"))
+        tail = tail.mapInArrow(rare, "row long, n_known long, base_score double, score double")
+        none = {"doc_id": F.lit(None).cast("long"), "held_out": F.lit(None).cast("boolean"), "n_tokens": F.lit(0).cast("long")}
+        per = parts.filter("h is null").drop("h", "before", "cls").unionByName(tail.withColumns(none)).groupBy("row")
+        out = per.agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+        return out.withColumn("train_tokens", F.lit(tokens).cast("long")).drop("row")
+
+
+NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "h", "before", "cls"]
+
+
+def _contexts(texts: DataFrame, known: Classes, buckets: int, classes: int) -> DataFrame:
+    """(h, own, code, n): how often each word, of class own, stands in each context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def counts() -> pa.RecordBatch:
+            h, c, before, after = map(np.concatenate, zip(*held))
+            held.clear()
+            words, word = np.unique(h, return_inverse=True)
+            own = np.zeros(len(words), np.int16)
+            own[word] = c
+            inner = after >= 0
+            codes, n = np.unique(np.concatenate((word * 2 * classes + before, word[inner] * 2 * classes + classes + after[inner])), return_counts=True)
+            word = codes // (2 * classes)
+            return pa.record_batch([pa.array(words[word].view(np.int64)), pa.array(own[word]), pa.array((codes % (2 * classes)).astype(np.int16)), pa.array(n)], names=["h", "own", "code", "n"])
+
+        for b in batches:
+            for k, n in slices(b.column(0)):
+                h, bucket, _ = tokens_of(b.column(0).slice(k, n), buckets)
+                c = known(h, bucket)
+                after = np.concatenate((c[1:], [0]))
+                after[h == END] = -1
+                held.append((h, c, np.concatenate(([0], c[:-1])), after))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield counts()
+        if held:
+            yield counts()
+
+    return texts.mapInArrow(run, "h long, own short, code short, n long").groupBy("h", "own", "code").agg(F.sum("n").alias("n"))
+
+
+def _swept(contexts: DataFrame, sweep: Sweep) -> DataFrame:
+    """(h, cls, code, n): the class of each word, and in rows of their own, by code, how often a class comes after a class before."""
+    classes = sweep.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        big, held = np.zeros(classes * classes), []
+
+        def move(rows: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal big
+            h, own, code, n = rows
+            words, cls, by_row = sweep(h, own, code, n)
+            left = code < classes
+            big += np.bincount(code[left].astype(np.int64) * classes + by_row[left], n[left], classes * classes)
+            none = pa.nulls(len(words), pa.int64())
+            return pa.record_batch([pa.array(words), pa.array(cls.astype(np.int16)), none, none], names=["h", "cls", "code", "n"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
+                if sum(len(x[0]) for x in held) >= 1 << 15:
+                    rows = [np.concatenate(x) for x in zip(*held)]
+                    cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last word may go on in the next batch
+                    if cut:
+                        yield move([x[:cut] for x in rows])
+                    held = [[x[cut:] for x in rows]]
+        if held:
+            yield move([np.concatenate(x) for x in zip(*held)])
+        some = np.flatnonzero(big)
+        yield pa.record_batch([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int16()), pa.array(some), pa.array(big[some].astype(np.int64))], names=["h", "cls", "code", "n"])
+
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, cls short, code long, n long")
+
+
+def fit(train: DataFrame, scratch: Scratch, classes: int = 128, frequent: int = 1024, buckets: int = 1 << 14, head: int = 1 << 18, sweeps: int = 1, share: float = 0.95) -> BrownModel:
     """Learn from all texts of train (text)."""
     texts = train.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
@@ -256,20 +425,21 @@ def fit(train: DataFrame, scratch: Scratch, classes: int = 128, frequent: int =
             return pa.record_batch([pa.array(own.view(np.int64)), pa.array(bucket[at]), pa.array(n)], names=["h", "bucket", "c"])
 
         for b in batches:
-            for k in range(0, b.num_rows, SLICE):
-                held.append(tokens_of(b.column(0).slice(k, SLICE), buckets)[:2])
-                if sum(len(x[0]) for x in held) > 1 << 21:
+            for k, n in slices(b.column(0)):
+                held.append(tokens_of(b.column(0).slice(k, n), buckets)[:2])
+                if sum(len(x[0]) for x in held) > 2 * HELD:
                     yield counts()
         if held:
             yield counts()
 
     words = scratch.save(texts.mapInArrow(count, "h long, bucket int, c long").groupBy("h").agg(F.min("bucket").alias("bucket"), F.sum("c").alias("c")), "words")
     tokens, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.filter(F.col("h") != int(END)).orderBy(F.desc("c"), "h").limit(frequent).toArrow()
-    ranked = top.column(0).to_numpy().view(U)
-    order = np.argsort(ranked)
-    hashes, place = ranked[order], order
-    n = len(ranked)
+    tops, counts = head_of(words, head)
+    inner = tops != END
+    order = np.lexsort((tops[inner], -counts[inner]))[:frequent]
+    ranked = tops[inner][order]
+    by_hash = np.argsort(ranked)
+    hashes, place, n = ranked[by_hash], by_hash, len(ranked)
 
     def pair_codes(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
         at, found = lookup(hashes, h)
@@ -285,39 +455,48 @@ def fit(train: DataFrame, scratch: Scratch, classes: int = 128, frequent: int =
     all_own = np.concatenate((own, [0]))
     np.add.at(big, (all_own[:, None].repeat(n + 1, 1), all_own[None, :].repeat(n + 1, 0)), pairs)
 
-    def context_codes(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def bucket_codes(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
         c = known(h, bucket)
         before, after = np.concatenate(([0], c[:-1])), np.concatenate((c[1:], [0]))
         left, right = (c < 0) & (before >= 0), (c < 0) & (after >= 0)
         return np.concatenate(((bucket[left].astype(np.int64) * 2) * classes + before[left], (bucket[right].astype(np.int64) * 2 + 1) * classes + after[right]))
 
-    contexts = _dense(_counted(texts, buckets * 2 * classes, context_codes, buckets), buckets, 2, classes)
+    around = _dense(_counted(texts, buckets * 2 * classes, bucket_codes, buckets), buckets, 2, classes)
     smooth = big + 0.5
     rows, cols = np.log(smooth.sum(1)), np.log(smooth.sum(0))
     logs = np.log(smooth)
-    fits = contexts[:, 0] @ (logs - cols[None, :]) + contexts[:, 1] @ (logs - rows[:, None]).T
+    fits = around[:, 0] @ (logs - cols[None, :]) + around[:, 1] @ (logs - rows[:, None]).T
     fits[:, 0] = -np.inf
-    every = Classes(known.hashes, known.of_hash, fits.argmax(1))
-
-    def class_codes(h: np.ndarray, bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        c = every(h, bucket)
-        return np.concatenate(([0], c[:-1])) * classes + c
-
-    big = _dense(_counted(texts, classes * classes, class_codes, buckets), classes, classes)
-    once = words.filter((F.col("c") == 1) & (F.col("h") != int(END))).groupBy("bucket").agg(F.count("*").alias("n"))
+    of_bucket = fits.argmax(1)
+    before = Classes(known.hashes, known.of_hash, of_bucket)
+    for k in range(sweeps):
+        contexts = scratch.save(_contexts(texts, before, buckets, classes), f"contexts{k}")
+        own_pairs = contexts.filter(F.col("code") < classes).groupBy((F.col("code").cast("long") * classes + F.col("own")).alias("code")).agg(F.sum("n").alias("n"))
+        swept = scratch.save(_swept(contexts, Sweep(_dense(own_pairs, classes, classes), hashes)), f"swept{k}")
+        scratch.drop(f"contexts{k}")
+        big = _dense(swept.filter("code is not null").groupBy("code").agg(F.sum("n").alias("n")), classes, classes)
+        placed = swept.filter("h is not null").select("h", "cls")
+        found = words.join(placed, "h")
+        own_words = scratch.save(found.select("h", "bucket", "c", "cls"), f"classes{k}")
+        mine = own_words.join(F.broadcast(texts.sparkSession.createDataFrame(pa.table({"h": tops.view(np.int64)}))), "h").select("h", "cls").toArrow()  # head rows at most
+        at = np.argsort(mine.column(0).to_numpy().view(U))
+        head_classes = mine.column(1).to_numpy().astype(np.int64)[at]
+        if k + 1 < sweeps:
+            before = Classes(tops, head_classes, of_bucket)
+    once = own_words.filter((F.col("c") == 1) & (F.col("h") != int(END))).groupBy("bucket").agg(F.count("*").alias("n"))
     unknown = np.full(classes, 0.5)
-    np.add.at(unknown, every.of_bucket, _dense(once, buckets))
+    np.add.at(unknown, of_bucket, _dense(once, buckets))
     unseen = unknown + 0.5
-    unknown[0] = 0
+    unknown[0], unseen[0] = 0, 1e-9  # the end is always known
     whole = big.sum(0)
     prior = (whole + 0.5) / (whole + 0.5).sum()
     kinds = 3 * np.maximum((big > 0).sum(1, keepdims=True), 1)  # the more different followers, the more for others
     step = (big + kinds * prior) / (big.sum(1, keepdims=True) + kinds)
-    return BrownModel(every, step, np.maximum(whole + unknown, 1e-9), unknown, unseen, words, int(tokens), int(types), buckets, share)
+    return BrownModel(before, tops, counts, head_classes, of_bucket, step, np.maximum(whole + unknown, 1e-9), unknown, unseen, own_words.select("h", "c", "cls"), int(tokens), int(types), buckets, share)
 
 
 def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
     scratch = Scratch(spark, "brown")
     model = fit(docs.filter(~F.col("held_out")), scratch)
-    return model.score(docs, scratch).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "open_score")
+    return model.score(docs, scratch).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -35,7 +35,7 @@ U = np.uint64
 HIGH, LOW = U(0xFFFFFFFF00000000), U(0xFFFFFFFF)
 BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-KEPT_POWERS = 1 << 18
+KEPT_POWERS = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
