@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +22,24 @@ def standardize(df: DataFrame, clip: float = 5.0) -> DataFrame:
     return long.join(F.broadcast(stats), "pos").select("id", "pos", F.greatest(F.lit(-clip), F.least(F.lit(clip), z)).alias("value"))  # one row a place
 
 
+def matrix(column: pa.Array, size: int) -> np.ndarray:
+    """The first ``size`` places of an Arrow column of arrays, a row each."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)[:, :size]
+
+
 def gram(df: DataFrame, size: int) -> DataFrame:
-    """(i, j, value) of the Gram matrix: size * size sums in one pass, pre-aggregated in every task."""
-    cell = lambda i, j: F.sum(F.get("features", F.lit(i)) * F.get("features", F.lit(j)))
-    cells = df.agg(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), cell(i, j).alias("value")) for i in range(size) for j in range(size)]).alias("c"))
-    return cells.select(F.inline("c"))
+    """(i, j, value) of the Gram matrix of the first ``size`` places: every task adds up its own rows, and size * size sums are all that leaves it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column(0), size)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices((size, size), np.int32)
+            yield pa.record_batch([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "value"])
+
+    parts = df.filter("features is not null").select("features").mapInArrow(run, "i int, j int, value double")
+    return parts.groupBy("i", "j").agg(F.sum("value").alias("value"))

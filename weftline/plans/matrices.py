@@ -204,6 +204,6 @@ def dense_dot(v: Views) -> DataFrame:
     return t.join(v.playlist_factors(), "playlist_id").join(v.song_factors(), "song_id").select("playlist_id", "song_id", r6(dense.dot("u", "v"), "score"))
 
 
-@query("gram", "x AS (SELECT id, unnest(features[1:8]) AS value, generate_subscripts(features[1:8], 1) - 1 AS i FROM f) SELECT CAST(a.i AS BIGINT) AS i, CAST(b.i AS BIGINT) AS j, round(sum(a.value * b.value), 6) AS value FROM x a JOIN x b USING (id) GROUP BY ALL")
+@query("gram", "x AS (SELECT id, unnest(features) AS value, generate_subscripts(features, 1) - 1 AS i FROM f) SELECT CAST(a.i AS BIGINT) AS i, CAST(b.i AS BIGINT) AS j, round(sum(a.value * b.value), 6) AS value FROM x a JOIN x b USING (id) GROUP BY ALL")
 def gram(v: Views) -> DataFrame:
-    return dense.gram(v.factors, 8).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("value", "value"))
+    return dense.gram(v.factors, 64).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("value", "value"))
