@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import coo, rank
+from weftline.sources.scratch import saved
 
 
 def popularity(train: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def with_names(train: DataFrame, names: DataFrame) -> DataFrame:
 def neighbours(train: DataFrame, names: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """(playlist_id, other, sim): the k playlists closest to each target, itself included, over songs and names."""
     x = with_names(train, names).withColumnRenamed("key", "col_id")
-    x = coo.normalize(coo.normalize(x, "row_id"), "col_id", least=1e-10)
+    x = saved(coo.normalize(coo.normalize(x, "row_id"), "col_id", least=1e-10), "normalised")  # it meets itself
     own = x.join(targets.select(F.col("playlist_id").alias("row_id")), "row_id", "left_semi")
     left = own.select(F.col("row_id").alias("playlist_id"), "col_id", F.col("value").alias("a"))
     sim = left.join(x.select(F.col("row_id").alias("other"), "col_id", "value"), "col_id").groupBy("playlist_id", "other").agg(F.round(F.sum(F.col("a") * F.col("value")), 6).alias("sim"))

@@ -13,11 +13,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of Views; sql begins with SELECT or with further common table expressions."""
+def query(name: str, sql: str | None = None, hold: bool = False):
+    """Register a function of Views; sql begins with SELECT or with further common table expressions.
+
+    hold: the query reads interactions, playlists or train more than once, so they are written first.
+    """
 
     def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir).hold() if hold else Views(spark, sf_dir))
         if sql:
             QUERIES[name].__doc__ = f.__doc__
             SQL[name] = f"WITH {BASE}{' ' if sql.lstrip().upper().startswith('SELECT') else ', '}{sql}"

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import coo
+from weftline.sources.scratch import saved
 
 SEEDS = (0, 1, 5, 10, 25)
 SECONDS = "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {})"
@@ -20,7 +21,14 @@ SECONDS = "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {})"
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.held = spark, sf_dir, False
+
+    def hold(self) -> Views:
+        """Write what a query reads more than once: interactions, playlists and train."""
+        for name in ("interactions", "playlists", "train"):
+            self.__dict__[name] = saved(getattr(self, name), name)
+            self.held = True
+        return self
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -55,7 +63,10 @@ class Views:
     def playlists(self) -> DataFrame:
         """(playlist_id, name, n_tracks, is_test, seeds); n_tracks is 0 for playlists without tracks."""
         c = self.table("customer").join(F.broadcast(self.table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # nation: 25 rows by definition
-        n = self.occurrences.groupBy("playlist_id").agg(F.count("*").alias("n_tracks"))
+        if self.held:
+            n = self.interactions.groupBy(F.col("row_id").alias("playlist_id")).agg(F.sum("value").cast("long").alias("n_tracks"))
+        else:
+            n = self.occurrences.groupBy("playlist_id").agg(F.count("*").alias("n_tracks"))
         test = F.col("playlist_id") % 10 == 0
         seeds = F.element_at(F.array(*map(F.lit, SEEDS)), (F.floor(F.col("playlist_id") / 10) % 5 + 1).cast("int"))
         named = c.select(F.col("c_custkey").alias("playlist_id"), F.concat_ws(" ", "n_name", "c_mktsegment").alias("name"))
@@ -87,15 +98,23 @@ class Views:
         return self.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
 
     def playlist_factors(self) -> DataFrame:
-        """(playlist_id, u): factors dealt to playlists."""
+        """(playlist_id, u, name_u, album_u, artist_u): factors dealt to playlists, parts of which stand for the factors of a kind."""
         n = self.factors.count()
         key = self.playlists.select("playlist_id", ((F.col("playlist_id") * 7 + 3) % n).alias("id"))
-        return key.join(self.factors, "id").select("playlist_id", F.col("features").alias("u"))
+        return key.join(self.factors, "id").select("playlist_id", F.col("features").alias("u"), *kinds("u"))
 
     def song_factors(self) -> DataFrame:
-        """(song_id, v): factors dealt to songs."""
+        """(song_id, v, name_v, album_v, artist_v): factors dealt to songs."""
         n = self.factors.count()
-        return self.songs.select("song_id", (F.col("song_id") % n).alias("id")).join(self.factors, "id").select("song_id", F.col("features").alias("v"))
+        return self.songs.select("song_id", (F.col("song_id") % n).alias("id")).join(self.factors, "id").select("song_id", F.col("features").alias("v"), *kinds("v"))
+
+
+#: Kinds of factors beside the main ones, and where they stand in a dealt one: first place and length.
+KINDS = {"name": (1, 32), "album": (33, 16), "artist": (49, 16)}
+
+
+def kinds(side: str) -> list[Column]:
+    return [F.slice("features", at, n).alias(f"{kind}_{side}") for kind, (at, n) in KINDS.items()]
 
 
 #: The same views in DuckDB's SQL.
