@@ -47,6 +47,13 @@ def sample_ids(ids: DataFrame, col: str, n: int, seed: str) -> DataFrame:
     return ids.select(col).distinct().orderBy(hashed_order(seed, col), col).limit(n)
 
 
+def filled_ids(ids: DataFrame, spare: DataFrame, col: str, n: int, seed: str) -> DataFrame:
+    """n distinct ids: of ids in hash order, and where these are fewer, of spare as well."""
+    first = ids.select(col).distinct().withColumn("_src", F.lit(0))
+    rest = spare.select(col).distinct().join(first.select(col), col, "left_anti").withColumn("_src", F.lit(1))
+    return first.unionByName(rest).orderBy("_src", hashed_order(seed, col), col).limit(n).select(col)
+
+
 def sizes_met(wanted: DataFrame, pool: DataFrame) -> DataFrame:
     """For each size wanted: how many playlists of the pool have it (equal) or more (larger). Only distinct sizes meet."""
     by_size = pool.groupBy(F.col("size").alias("pool_size")).agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,13 @@ def diff(a: Column, b: Column) -> Column:
     return F.coalesce((a - b).cast("double"), F.lit(0.0))
 
 
-def half(x: str) -> Column:
-    """The part of a factor that stands for the name space."""
-    return F.slice(x, 1, 32)
+#: Kinds of factors beside the main ones u and v; a table of them has name_u, album_u, ... or name_v, ...
+KINDS = ("name", "album", "artist")
+
+
+def complete(ids: DataFrame, factors: DataFrame, key: str, sizes: dict[str, int]) -> DataFrame:
+    """factors for every id: zeros of a column's size where there are none."""
+    return ids.join(factors, key, "left").select(key, *[F.coalesce(c, F.array_repeat(F.lit(0.0), n)).alias(c) for c, n in sizes.items()])
 
 
 def popularity_counts(members: DataFrame) -> DataFrame:
@@ -46,7 +52,7 @@ def playlist_stats(members: DataFrame, songs: DataFrame, u: DataFrame, v: DataFr
     return rows.groupBy("playlist_id").agg(
         *[(F.sum(c) / n).alias(c) for c in ("song_pop", "artist_pop", "album_pop", "duration")],
         (F.sum(dense.dot("u", "v")) / n).alias("uv"),
-        (F.sum(dense.dot(half("u"), half("v"))) / n).alias("name_uv"),
+        (F.sum(dense.dot("name_u", "name_v")) / n).alias("name_uv"),
         (F.countDistinct("artist") / n).alias("artists"),
         (F.countDistinct("album") / n).alias("albums"),
         n.alias("n"),
@@ -61,35 +67,36 @@ def sampled(members: DataFrame, n: int) -> DataFrame:
 
 def song_stats(sample: DataFrame, playlists: DataFrame, u: DataFrame, v: DataFrame) -> DataFrame:
     rows = sample.join(playlists.select("playlist_id", "n_tracks"), "playlist_id").join(u, "playlist_id").join(v, "song_id")
-    return rows.groupBy("song_id").agg(F.avg("n_tracks").alias("n_tracks"), F.avg(dense.dot("u", "v")).alias("uv"), F.avg(dense.dot(half("u"), half("v"))).alias("name_uv"))
+    return rows.groupBy("song_id").agg(F.avg("n_tracks").alias("n_tracks"), F.avg(dense.dot("u", "v")).alias("uv"), F.avg(dense.dot("name_u", "name_v")).alias("name_uv"))
 
 
-def pair_song(pairs: DataFrame, members: DataFrame, songs: DataFrame, v: DataFrame) -> DataFrame:
-    """Means over the playlist's songs of what they have in common with the candidate."""
-    side = songs.join(v, "song_id")
-    mine = pairs.select("playlist_id", "song_id").join(side.select("song_id", "artist", "album", "duration", "v"), "song_id")
-    other = members.select("playlist_id", F.col("song_id").alias("member")).join(
-        side.select(F.col("song_id").alias("member"), F.col("artist").alias("m_artist"), F.col("album").alias("m_album"), F.col("duration").alias("m_duration"), F.col("v").alias("m_v")), "member"
-    )
-    return mine.join(other, "playlist_id").groupBy("playlist_id", "song_id").agg(
+def pair_song(pairs: DataFrame, members: DataFrame, songs: DataFrame, u: DataFrame, v: DataFrame) -> DataFrame:
+    """Ten numbers of each pair: means over the playlist's songs of what they have in common with the candidate, and products of the two's own factors by kind."""
+    factors = ["v", *[f"{kind}_v" for kind in KINDS]]
+    side = songs.join(v, "song_id").select("song_id", "artist", "album", "duration", *factors)
+    mine = pairs.select("playlist_id", "song_id").join(side, "song_id")
+    other = members.select("playlist_id", F.col("song_id").alias("member")).join(side.select(F.col("song_id").alias("member"), *[F.col(c).alias(f"m_{c}") for c in ("artist", "album", "duration", *factors)]), "member")
+    means = mine.join(other, "playlist_id").groupBy("playlist_id", "song_id").agg(
         F.avg(same(F.col("artist"), F.col("m_artist"))).alias("same_artist"),
         F.avg(same(F.col("album"), F.col("m_album"))).alias("same_album"),
         F.avg(diff(F.col("duration"), F.col("m_duration"))).alias("d_duration"),
         F.avg(dense.dot("v", "m_v")).alias("vv"),
-        F.avg(dense.dot(half("v"), half("m_v"))).alias("name_vv"),
+        *[F.avg(dense.dot(f"{kind}_v", f"m_{kind}_v")).alias(f"{kind}_vv") for kind in KINDS],
     )
+    both = means.join(u.select("playlist_id", *[f"{kind}_u" for kind in KINDS]), "playlist_id").join(v.select("song_id", *factors[1:]), "song_id")
+    return both.select(*means.columns, *[dense.dot(f"{kind}_u", f"{kind}_v").alias(f"{kind}_uv") for kind in KINDS])
 
 
 def pair_playlist(pairs: DataFrame, sample: DataFrame, playlists: DataFrame, u: DataFrame) -> DataFrame:
     """Means over sampled playlists of the candidate of what they have in common with the playlist."""
-    side = playlists.select("playlist_id", "name", "n_tracks").join(u, "playlist_id")
+    side = playlists.select("playlist_id", "name", "n_tracks").join(u, "playlist_id").select("playlist_id", "name", "n_tracks", "u", "name_u")
     mine = pairs.select("playlist_id", "song_id").join(side, "playlist_id")
-    other = sample.join(side, "playlist_id").select("song_id", F.col("name").alias("o_name"), F.col("n_tracks").alias("o_tracks"), F.col("u").alias("o_u"))
+    other = sample.join(side, "playlist_id").select("song_id", F.col("name").alias("o_name"), F.col("n_tracks").alias("o_tracks"), F.col("u").alias("o_u"), F.col("name_u").alias("o_name_u"))
     return mine.join(other, "song_id").groupBy("playlist_id", "song_id").agg(
         F.avg(same(F.col("name"), F.col("o_name"))).alias("same_name"),
         F.avg(diff(F.col("n_tracks"), F.col("o_tracks"))).alias("d_tracks"),
         F.avg(dense.dot("u", "o_u")).alias("uu"),
-        F.avg(dense.dot(half("u"), half("o_u"))).alias("name_uu"),
+        F.avg(dense.dot("name_u", "o_name_u")).alias("name_uu"),
     )
 
 
@@ -117,14 +124,47 @@ def with_positives(rows: DataFrame) -> DataFrame:
     return rows.join(rows.filter("label = 1").select("playlist_id").distinct(), "playlist_id", "left_semi")
 
 
-def train_trees(rows: DataFrame, columns: list[str], rounds: int = 20, depth: int = 5, step: float = 0.1, share: str = "0.6"):
-    """Gradient-boosted trees on the label. The pairwise ranking loss over one group is close to the AUC, for which the logistic loss stands here."""
+def album_bags(playlists: DataFrame, bags: DataFrame, kept: DataFrame) -> tuple[DataFrame, int]:
+    """(playlist_id, album_bag vector) of playlists, from bags (playlist_id, idx, value) over the albums of kept (idx), and the vector's length.
+
+    kept are the albums of many playlists, so they are few; their ids are as far apart as in the dictionary, places in the vector are not.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    ids = sorted(r["idx"] for r in kept.collect())
+    places = kept.sparkSession.createDataFrame(list(zip(ids, range(len(ids)))), "idx long, place int")
+    cells = bags.join(F.broadcast(places), "idx").groupBy("playlist_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"))
+    size = max(len(ids), 1)
+    bag = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    return playlists.select("playlist_id").join(cells, "playlist_id", "left").select("playlist_id", array_to_vector(bag).alias("album_bag")), size
+
+
+def train_trees(rows: DataFrame, columns: list[str], rounds: int = 150, depth: int = 10, step: float = 0.1, share: str = "0.6", vectors: dict[str, int] | None = None):
+    """Gradient-boosted trees on the label over numbers and vectors (with their lengths). The pairwise ranking loss over one group is close to the AUC, for which the logistic loss stands here."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 
+    hints = [VectorSizeHint(inputCol=c, size=n, handleInvalid="optimistic") for c, n in (vectors or {}).items()]
     trees = GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=step, featureSubsetStrategy=share, seed=1)
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), trees]).fit(rows)
+    return Pipeline(stages=[*hints, VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), trees]).fit(rows)
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def auc(model, rows: DataFrame) -> float:
+    """Area under the ROC curve of a fitted pipeline on labelled rows."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    return BinaryClassificationEvaluator(labelCol="label").evaluate(model.transform(rows))
 
 
 def reranked(model, rows: DataFrame, n: int) -> DataFrame:
@@ -138,10 +178,11 @@ def reranked(model, rows: DataFrame, n: int) -> DataFrame:
 def importance(model, columns: list[str], spark) -> DataFrame:
     """(feature, importance, splits) of a fitted pipeline: the gain's share and how many nodes split on it."""
     trees = model.stages[-1]
-    splits = dict.fromkeys(range(len(columns)), 0)
+    splits = Counter()
     for tree in trees.trees:
         for line in tree.toDebugString.splitlines():
             if line.strip().startswith("If (feature "):
                 splits[int(line.split("feature ")[1].split()[0])] += 1
     gain = trees.featureImportances.toArray()
+    columns = [*columns, *[f"{columns[-1]}_{k}" for k in range(1, len(gain) - len(columns) + 1)]]  # the last column may be a vector
     return spark.createDataFrame([(c, float(gain[k]), splits[k]) for k, c in enumerate(columns)], "feature string, importance double, splits long")

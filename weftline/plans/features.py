@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text
 from weftline.operators import coo, dictionary
 from weftline.plans.registry import query, r6
-from weftline.plans.views import Views
+from weftline.plans.views import SECONDS, Views
 from weftline.sources import playlists as src
 from weftline.sources.scratch import folder
 
@@ -119,6 +119,15 @@ def coo_to_csv(v: Views) -> DataFrame:
     return v.spark.read.schema("row_id long, col_id long, value double").csv(path).select("row_id", "col_id", r6("value", "value"))
 
 
+@query("csv_triples", "SELECT row_id, col_id, round(value, 6) AS value, date FROM e")
+def csv_triples(v: Views) -> DataFrame:
+    """Events written as delimited lines with columns out of order, and read by column numbers."""
+    path = folder(v.spark, "triples")
+    seconds = F.expr(SECONDS.format("ts"))
+    v.table("events").select(seconds, F.get_json_object("props", "$.k"), "event_type", "value", "user_id").write.option("sep", ";").csv(path)
+    return src.read_triples(v.spark, path, row=4, col=1, value=3, date=0, sep=";").select("row_id", "col_id", r6("value", "value"), "date")
+
+
 @query("dense_csv", "SELECT list_transform(features, lambda x: round(x, 5)) AS features FROM f")
 def dense_csv(v: Views) -> DataFrame:
     """Written with five decimals and read again."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
-from weftline.operators import dense, evaluate, rank, recommend
+from weftline.operators import dense, evaluate, rank, recommend, split
 from weftline.plans.registry import query, r6
 from weftline.plans.views import Views
 from weftline.sources.playlists import submission_lines
@@ -25,8 +25,8 @@ UU = f"""{NEAR}, vote AS (SELECT playlist_id, col_id AS song_id, round(sum(sim *
 uu AS (SELECT *, row_number() OVER (PARTITION BY playlist_id ORDER BY score DESC, song_id) AS rank FROM vote v WHERE NOT EXISTS (FROM train WHERE row_id = v.playlist_id AND col_id = v.song_id) QUALIFY rank <= {CANDIDATES})"""
 II = f"""{UU}, pn AS (SELECT row_id, sqrt(sum(value * value)) AS n FROM train GROUP BY 1), y1 AS (SELECT col_id AS song, row_id AS p, value / n AS value FROM train JOIN pn USING (row_id)),
 sn AS (SELECT song, sqrt(sum(value * value)) AS n FROM y1 GROUP BY 1), y2 AS (SELECT song, p, value / n AS value FROM y1 JOIN sn USING (song)),
-mem AS (SELECT row_id AS playlist_id, col_id AS song FROM train WHERE row_id IN (SELECT playlist_id FROM uu)), mc AS (SELECT playlist_id, count(*) AS c FROM mem GROUP BY 1),
-prof AS (SELECT playlist_id, p, sum(value) / any_value(c) AS value FROM mem JOIN y2 USING (song) JOIN mc USING (playlist_id) GROUP BY ALL),
+lm AS (SELECT row_id AS playlist_id, col_id AS song FROM train WHERE row_id IN (SELECT playlist_id FROM uu)), mc AS (SELECT playlist_id, count(*) AS c FROM lm GROUP BY 1),
+prof AS (SELECT playlist_id, p, sum(value) / any_value(c) AS value FROM lm JOIN y2 USING (song) JOIN mc USING (playlist_id) GROUP BY ALL),
 ii AS (SELECT u.playlist_id, u.song_id, round(coalesce(sum(f2.value * t.value), 0) * pow(any_value(popularity), -0.4), 6) AS score
   FROM uu u JOIN pop USING (song_id) JOIN train t ON t.col_id = u.song_id LEFT JOIN prof f2 ON f2.playlist_id = u.playlist_id AND f2.p = t.row_id GROUP BY ALL)"""
 SC = f"{II}, sc AS (SELECT u.playlist_id, u.song_id, u.score AS uu, round(list_inner_product(uf.u, v), 6) AS latent, ii.score AS ii FROM uu u JOIN ii USING (playlist_id, song_id) JOIN uf USING (playlist_id) JOIN vf USING (song_id))"
@@ -44,21 +44,24 @@ def near(v: Views) -> DataFrame:
     return recommend.neighbours(v.train, v.playlists, targets(v), NEIGHBOURS)
 
 
-def uu(v: Views) -> DataFrame:
-    return recommend.user_user(v.train, near(v), CANDIDATES)
+def uu(v: Views, candidates: int = CANDIDATES) -> DataFrame:
+    return recommend.user_user(v.train, near(v), candidates)
 
 
-def scores(v: Views) -> DataFrame:
-    """Every candidate with its user-user, latent and item-item score; the candidates are written once, as three joins read them."""
-    found = saved(uu(v), "candidates")
+def scores(v: Views, u: DataFrame | None = None, w: DataFrame | None = None, candidates: int = CANDIDATES) -> DataFrame:
+    """Every candidate with its user-user, latent and item-item score; the candidates are written once, as three joins read them.
+
+    u, w: factors of playlists and of songs; the dealt ones if not given.
+    """
+    found = saved(uu(v, candidates), "candidates")
     ii = recommend.item_item(v.train, found).select("playlist_id", "song_id", F.round("score", 6).alias("ii"))
     both = found.select("playlist_id", "song_id", F.col("score").alias("uu")).join(ii, ["playlist_id", "song_id"])
-    both = both.join(v.playlist_factors(), "playlist_id").join(v.song_factors(), "song_id")
+    both = both.join((u or v.playlist_factors()).select("playlist_id", "u"), "playlist_id").join((w or v.song_factors()).select("song_id", "v"), "song_id")
     return both.select("playlist_id", "song_id", "uu", r6(dense.dot("u", "v"), "latent"), "ii")
 
 
-def blended(v: Views) -> DataFrame:
-    return recommend.blend(scores(v).withColumn("latent2", F.col("latent")), STORED).drop("latent2")
+def blended(v: Views, u: DataFrame | None = None, w: DataFrame | None = None, candidates: int = CANDIDATES, stored: int = STORED) -> DataFrame:
+    return recommend.blend(scores(v, u, w, candidates).withColumn("latent2", F.col("latent")), stored).drop("latent2")
 
 
 def hidden(v: Views) -> DataFrame:
@@ -75,32 +78,32 @@ def popular_topk(v: Views) -> DataFrame:
     return popularity(v).orderBy(F.desc("popularity"), "song_id").limit(500)
 
 
-@query("target_rows", f"{TARGETS} SELECT playlist_id FROM tg")
+@query("target_rows", f"{TARGETS} SELECT playlist_id FROM tg", hold=True)
 def target_rows(v: Views) -> DataFrame:
     return targets(v)
 
 
-@query("cold_start_rows", "SELECT playlist_id FROM pl WHERE is_test AND playlist_id NOT IN (SELECT row_id FROM train)")
+@query("cold_start_rows", "SELECT playlist_id FROM pl WHERE is_test AND playlist_id NOT IN (SELECT row_id FROM train)", hold=True)
 def cold_start_rows(v: Views) -> DataFrame:
     return v.playlists.filter("is_test").select("playlist_id").join(v.train.select(F.col("row_id").alias("playlist_id")), "playlist_id", "left_anti")
 
 
-@query("uu_neighbors", f"{NEAR} SELECT playlist_id, other, sim FROM near")
+@query("uu_neighbors", f"{NEAR} SELECT playlist_id, other, sim FROM near", hold=True)
 def uu_neighbors(v: Views) -> DataFrame:
     return near(v)
 
 
-@query("user_user", f"{UU} SELECT playlist_id, song_id, score, rank FROM uu")
+@query("user_user", f"{UU} SELECT playlist_id, song_id, score, rank FROM uu", hold=True)
 def user_user(v: Views) -> DataFrame:
     return uu(v).select("playlist_id", "song_id", "score", "rank")
 
 
-@query("item_item", f"{II} SELECT playlist_id, song_id, score FROM ii")
+@query("item_item", f"{II} SELECT playlist_id, song_id, score FROM ii", hold=True)
 def item_item(v: Views) -> DataFrame:
     return recommend.item_item(v.train, saved(uu(v), "candidates")).select("playlist_id", "song_id", r6("score", "score"))
 
 
-@query("latent_score", f"{UU} SELECT playlist_id, song_id, round(list_inner_product(u, v), 6) AS score FROM uu JOIN uf USING (playlist_id) JOIN vf USING (song_id)")
+@query("latent_score", f"{UU} SELECT playlist_id, song_id, round(list_inner_product(u, v), 6) AS score FROM uu JOIN uf USING (playlist_id) JOIN vf USING (song_id)", hold=True)
 def latent_score(v: Views) -> DataFrame:
     both = uu(v).select("playlist_id", "song_id").join(v.playlist_factors(), "playlist_id").join(v.song_factors(), "song_id")
     return both.select("playlist_id", "song_id", r6(dense.dot("u", "v"), "score"))
@@ -115,12 +118,12 @@ def latent_lists(v: Views) -> DataFrame:
     return recommend.latent_topn(v.playlist_factors().join(targets(v), "playlist_id", "left_semi"), v.song_factors(), seen, STORED)
 
 
-@query("latent_topn", f"{LATENT_TOP} SELECT playlist_id, song_id, score, rank FROM lr")
+@query("latent_topn", f"{LATENT_TOP} SELECT playlist_id, song_id, score, rank FROM lr", hold=True)
 def latent_topn(v: Views) -> DataFrame:
     return latent_lists(v).select("playlist_id", "song_id", "score", "rank")
 
 
-@query("blend", f"{BLEND} SELECT playlist_id, song_id, score, rank FROM bl")
+@query("blend", f"{BLEND} SELECT playlist_id, song_id, score, rank FROM bl", hold=True)
 def blend(v: Views) -> DataFrame:
     return blended(v).select("playlist_id", "song_id", "score", "rank")
 
@@ -130,7 +133,7 @@ def topn(v: Views) -> DataFrame:
     return rank.topn(v.events.select("row_id", "col_id", r6("value", "value")), 10, by="row_id", item="col_id", score="value")
 
 
-@query("exclude_seen", "SELECT row_id AS playlist_id, col_id AS song_id, value AS score FROM r ANTI JOIN train USING (row_id, col_id)")
+@query("exclude_seen", "SELECT row_id AS playlist_id, col_id AS song_id, value AS score FROM r ANTI JOIN train USING (row_id, col_id)", hold=True)
 def exclude_seen(v: Views) -> DataFrame:
     named = lambda m: m.select(F.col("row_id").alias("playlist_id"), F.col("col_id").alias("song_id"), F.col("value").alias("score"))
     return rank.exclude(named(v.interactions), named(v.train))
@@ -146,6 +149,7 @@ def standardize(v: Views) -> DataFrame:
     f"""{UU}, lr AS (SELECT playlist_id, song_id, row_number() OVER (PARTITION BY playlist_id ORDER BY value DESC, song_id) AS rank FROM (SELECT h.row_id AS playlist_id, h.col_id AS song_id, h.value FROM hidden h)),
 own AS (SELECT playlist_id, song_id, score, 0 AS src, 0 AS sr FROM uu WHERE rank <= 50), sp AS (SELECT playlist_id, song_id, 0.0 AS score, 1 AS src, rank AS sr FROM lr ANTI JOIN own USING (playlist_id, song_id))
 SELECT playlist_id, song_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY playlist_id ORDER BY src, score DESC, sr, song_id) AS rank FROM (FROM own UNION ALL FROM sp) QUALIFY rank <= 80""",
+    hold=True,
 )
 def backfill(v: Views) -> DataFrame:
     spare = v.hidden.select(F.col("row_id").alias("playlist_id"), F.col("col_id").alias("song_id"), F.col("value").alias("score"))
@@ -164,12 +168,12 @@ def distinct_sets(v: Views) -> DataFrame:
     return kind(v.songs, "artist").union(kind(v.songs, "album")).union(kind(v.playlists, "name"))
 
 
-@query("set_intersect", f"{UU}, {HID} SELECT playlist_id, song_id FROM uu INTERSECT SELECT playlist_id, song_id FROM tr")
+@query("set_intersect", f"{UU}, {HID} SELECT playlist_id, song_id FROM uu INTERSECT SELECT playlist_id, song_id FROM tr", hold=True)
 def set_intersect(v: Views) -> DataFrame:
     return uu(v).select("playlist_id", "song_id").intersect(hidden(v))
 
 
-@query("set_except", f"{UU}, {HID} SELECT playlist_id, song_id FROM uu EXCEPT SELECT playlist_id, song_id FROM tr")
+@query("set_except", f"{UU}, {HID} SELECT playlist_id, song_id FROM uu EXCEPT SELECT playlist_id, song_id FROM tr", hold=True)
 def set_except(v: Views) -> DataFrame:
     return uu(v).select("playlist_id", "song_id").subtract(hidden(v))
 
@@ -185,22 +189,22 @@ ra AS (SELECT playlist_id, (coalesce(n, 0) + 0.25 * coalesce(a, 0)) / m AS value
 CL = "ck AS (SELECT playlist_id, CAST(coalesce((min(rank) - 1) // 10, 21) AS DOUBLE) AS value FROM base LEFT JOIN hit USING (playlist_id) GROUP BY 1)"
 
 
-@query("ndcg", f"{NDCG} SELECT playlist_id, threshold, round(value, 6) AS value FROM nd")
+@query("ndcg", f"{NDCG} SELECT playlist_id, threshold, round(value, 6) AS value FROM nd", hold=True)
 def ndcg(v: Views) -> DataFrame:
     return evaluate.ndcg(saved(uu(v), "ranked"), hidden(v), [10, 50, 100]).select("playlist_id", "threshold", r6("value", "value"))
 
 
-@query("r_precision", f"{EVAL}, {RP} SELECT playlist_id, round(value, 6) AS value FROM rp")
+@query("r_precision", f"{EVAL}, {RP} SELECT playlist_id, round(value, 6) AS value FROM rp", hold=True)
 def r_precision(v: Views) -> DataFrame:
     return evaluate.r_precision(saved(uu(v), "ranked"), hidden(v)).select("playlist_id", r6("value", "value"))
 
 
-@query("r_precision_artist", f"{EVAL}, {RPA} SELECT playlist_id, round(value, 6) AS value FROM ra")
+@query("r_precision_artist", f"{EVAL}, {RPA} SELECT playlist_id, round(value, 6) AS value FROM ra", hold=True)
 def r_precision_artist(v: Views) -> DataFrame:
     return evaluate.r_precision_artist(saved(uu(v), "ranked"), hidden(v), v.songs).select("playlist_id", r6("value", "value"))
 
 
-@query("clicks", f"{EVAL}, {CL} SELECT playlist_id, value FROM ck")
+@query("clicks", f"{EVAL}, {CL} SELECT playlist_id, value FROM ck", hold=True)
 def clicks(v: Views) -> DataFrame:
     return evaluate.clicks(saved(uu(v), "ranked"), hidden(v), k=200)
 
@@ -209,39 +213,50 @@ def clicks(v: Views) -> DataFrame:
     "metric_table",
     f"""{NDCG}, {RP}, {RPA}, {CL} SELECT 'ndcg' AS metric, threshold, printf('%.4f', avg(value)) AS value, count(*) AS n_eval FROM nd GROUP BY ALL
 UNION ALL SELECT 'r_precision', 200, printf('%.4f', avg(value)), count(*) FROM rp UNION ALL SELECT 'r_precision_artist', 200, printf('%.4f', avg(value)), count(*) FROM ra UNION ALL SELECT 'clicks', 200, printf('%.4f', avg(value)), count(*) FROM ck""",
+    hold=True,
 )
 def metric_table(v: Views) -> DataFrame:
     ranked, wanted = saved(uu(v), "ranked"), hidden(v)
-    parts = [
-        evaluate.summary("ndcg", evaluate.ndcg(ranked, wanted, [10, 50, 100])),
-        evaluate.summary("r_precision", evaluate.r_precision(ranked, wanted), 200),
-        evaluate.summary("r_precision_artist", evaluate.r_precision_artist(ranked, wanted, v.songs), 200),
-        evaluate.summary("clicks", evaluate.clicks(ranked, wanted, k=200), 200),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("metric", "threshold", F.format_string("%.4f", "value").alias("value"), "n_eval")
+    return metrics(ranked, wanted, v.songs, [10, 50, 100], 200).select("metric", "threshold", F.format_string("%.4f", "value").alias("value"), "n_eval")
+
+
+def metrics(ranked: DataFrame, wanted: DataFrame, songs: DataFrame, thresholds: list[int], k: int) -> DataFrame:
+    """(metric, threshold, value, n_eval) of all four measures."""
+    out = evaluate.summary("ndcg", evaluate.ndcg(ranked, wanted, thresholds))
+    for name, values in (("r_precision", evaluate.r_precision(ranked, wanted)), ("r_precision_artist", evaluate.r_precision_artist(ranked, wanted, songs)), ("clicks", evaluate.clicks(ranked, wanted, k=k))):
+        out = out.unionByName(evaluate.summary(name, values, k))
+    return out
 
 
 @query(
     "submission_lines",
     f"{BLEND} SELECT playlist_id AS pid, playlist_id || ', ' || string_agg('x:track:' || song_id, ', ' ORDER BY rank) AS line FROM bl GROUP BY 1",
+    hold=True,
 )
 def submission(v: Views) -> DataFrame:
     return submission_lines(blended(v).select(F.col("playlist_id").alias("pid"), "rank", F.concat(F.lit("x:track:"), "song_id").alias("uri")))
 
 
-COLD = f"""{POP}, cold AS (SELECT playlist_id, name FROM pl WHERE is_test AND playlist_id NOT IN (SELECT row_id FROM train)), top AS (SELECT song_id, row_number() OVER (ORDER BY round(popularity, 9) DESC, song_id) AS rank FROM pop QUALIFY rank <= 100),
-byname AS (SELECT c.playlist_id, t.col_id AS song_id, round(sum(t.value), 6) AS score FROM cold c JOIN pl p ON p.name = c.name JOIN train t ON t.row_id = p.playlist_id WHERE c.playlist_id % 20 = 0 GROUP BY ALL),
-nm AS (SELECT *, row_number() OVER (PARTITION BY playlist_id ORDER BY score DESC, song_id) AS rank FROM byname QUALIFY rank <= 100)
+COLD = f"""{POP}, cold AS (SELECT playlist_id FROM pl WHERE is_test AND playlist_id NOT IN (SELECT row_id FROM train)), top AS (SELECT song_id, row_number() OVER (ORDER BY round(popularity, 9) DESC, song_id) AS rank FROM pop QUALIFY rank <= 100),
+named AS (SELECT playlist_id FROM cold QUALIFY row_number() OVER (ORDER BY md5(concat_ws('#', 'cold', playlist_id)), playlist_id) > count(*) OVER () // 2),
+nl AS (SELECT playlist_id, song_id, round(list_inner_product(u[1:32], v[1:32]), 6) AS score FROM named JOIN uf USING (playlist_id), vf),
+nm AS (SELECT playlist_id, song_id, row_number() OVER (PARTITION BY playlist_id ORDER BY score DESC, song_id) AS rank FROM nl QUALIFY rank <= 100)
 SELECT playlist_id, song_id, rank FROM nm UNION ALL SELECT playlist_id, song_id, rank FROM cold, top WHERE playlist_id NOT IN (SELECT playlist_id FROM nm)"""
 
 
-@query("cold_start", COLD)
+def cold_lists(v: Views, u: DataFrame, w: DataFrame, n: int) -> DataFrame:
+    """Lists for playlists without seeds: by the product of their name's factors with the songs' for those with a name, for the others what is popular.
+
+    Half of them have lost their name, as it is done to challenge playlists with a few seeds.
+    """
+    cold = cold_start_rows(v).withColumn("all", F.lit(1))
+    named = saved(split.drop_half(cold, "all", "cold").select("playlist_id"), "named")
+    users = u.join(named, "playlist_id", "left_semi").select("playlist_id", F.col("name_u").alias("u"))
+    seen = v.train.select(F.col("row_id").alias("playlist_id"), F.col("col_id").alias("song_id"))
+    ranked = recommend.latent_topn(users, w.select("song_id", F.col("name_v").alias("v")), seen, n)
+    return recommend.cold_start(cold, ranked, popularity(v), n)
+
+
+@query("cold_start", COLD, hold=True)
 def cold_start(v: Views) -> DataFrame:
-    """Playlists without seeds; those of an even tenth keep their name and take the songs of their namesakes, the others what is popular."""
-    cold = cold_start_rows(v).join(v.playlists.select("playlist_id", "name"), "playlist_id")
-    mates = v.playlists.select("name", F.col("playlist_id").alias("row_id"))
-    scored = cold.filter("playlist_id % 20 = 0").join(mates, "name").join(v.train, "row_id").groupBy("playlist_id", F.col("col_id").alias("song_id")).agg(F.round(F.sum("value"), 6).alias("score"))
-    return recommend.cold_start(cold, rank.topn(scored, 100), popularity(v), 100)
+    return cold_lists(v, v.playlist_factors(), v.song_factors(), 100)

@@ -42,6 +42,19 @@ def valid_cols(v: Views) -> DataFrame:
     return _parts(v)[2]
 
 
+@query(
+    "valid_cols_filled",
+    f"""{BY_DATE}, {ROWS}, few AS (SELECT DISTINCT col_id FROM sd WHERE part = 'valid' AND row_id IN (SELECT row_id FROM vr) AND col_id % 3 = 0),
+other AS (SELECT DISTINCT col_id FROM e WHERE col_id NOT IN (SELECT col_id FROM few))
+SELECT col_id FROM (SELECT col_id, 0 AS src FROM few UNION ALL SELECT col_id, 1 FROM other) ORDER BY src, md5(concat_ws('#', 'fill', col_id)), col_id LIMIT 60""",
+)
+def valid_cols_filled(v: Views) -> DataFrame:
+    """Sixty columns: validation columns of one type of column, and random others where these are fewer."""
+    s, rows, _ = _parts(v)
+    few = s.filter("part = 'valid' and col_id % 3 = 0").join(rows, "row_id", "left_semi")
+    return split.filled_ids(few, v.events, "col_id", 60, "fill")
+
+
 @query(
     "split_cold",
     f"""{BY_DATE}, {ROWS}, {COLS}, va AS (SELECT * FROM sd WHERE part = 'valid' AND row_id IN (SELECT row_id FROM vr) AND col_id IN (SELECT col_id FROM vc))
@@ -80,7 +93,7 @@ def _sizes(v: Views) -> tuple[DataFrame, DataFrame]:
     return tests, rows.filter("not is_test").groupBy(F.col("row_id").alias("playlist_id")).agg(F.count("*").alias("size"))
 
 
-@query("size_match", f"{SIZES} SELECT size, count(*) AS wanted, (SELECT count(*) FROM ps WHERE ps.size = ts.size) AS equal, (SELECT count(*) FROM ps WHERE ps.size > ts.size) AS larger FROM ts GROUP BY size")
+@query("size_match", f"{SIZES} SELECT size, count(*) AS wanted, (SELECT count(*) FROM ps WHERE ps.size = ts.size) AS equal, (SELECT count(*) FROM ps WHERE ps.size > ts.size) AS larger FROM ts GROUP BY size", hold=True)
 def size_match(v: Views) -> DataFrame:
     return split.sizes_met(*_sizes(v))
 
@@ -93,13 +106,13 @@ p2 AS (SELECT *, row_number() OVER (ORDER BY size DESC, h) AS rk FROM p1 WHERE p
 mt AS (SELECT test_id, repeat, playlist_id, true AS exact FROM ex UNION ALL SELECT test_id, repeat, playlist_id, false FROM s2 JOIN p2 USING (rk) WHERE p2.size > s2.size)"""
 
 
-@query("split_matching", f"{MATCH} SELECT * FROM mt")
+@query("split_matching", f"{MATCH} SELECT * FROM mt", hold=True)
 def split_matching(v: Views) -> DataFrame:
     tests, pool = _sizes(v)
     return split.matching(saved(tests, "tests"), saved(pool, "pool"))
 
 
-@query("split_summary", f"{MATCH} SELECT exact, repeat, count(*) AS n, count(DISTINCT test_id) AS tests FROM mt GROUP BY ALL")
+@query("split_summary", f"{MATCH} SELECT exact, repeat, count(*) AS n, count(DISTINCT test_id) AS tests FROM mt GROUP BY ALL", hold=True)
 def split_summary(v: Views) -> DataFrame:
     return split_matching(v).groupBy("exact", "repeat").agg(F.count("*").alias("n"), F.countDistinct("test_id").alias("tests"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators import coo
+
 TRACK = "struct<pos int, track_uri string, track_name string, artist_uri string, artist_name string, album_uri string, album_name string, duration_ms int>"
 PLAYLIST = (
     "struct<pid string, name string, collaborative string, modified_at bigint, num_albums int, num_tracks int, num_followers int, num_edits int,"
@@ -59,6 +61,28 @@ def format_libsvm(m: DataFrame) -> DataFrame:
     return cells.select("row_id", F.array_join("cells.c", " ").alias("line"))
 
 
+def format_labelled(rows: DataFrame, columns: list[str]) -> Column:
+    """The line "label idx:val ..." of a row with the columns as features from 0; zeros are left out."""
+    cells = [F.when(F.col(c) != 0, F.concat(F.lit(f"{k}:"), number(F.col(c)))) for k, c in enumerate(columns)]
+    return F.concat_ws(" ", F.col("label").cast("string"), *cells)
+
+
+def parse_labelled(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """label and the columns of lines "label idx:val ..."; what a line leaves out is 0. Other columns of lines stay."""
+    cells = F.map_from_entries(F.transform(F.filter(F.slice(F.split("value", " "), 2, 1 << 30), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, ":", 1).cast("int"), F.substring_index(x, ":", -1).cast("double"))))
+    own = lines.select(*[c for c in lines.columns if c != "value"], F.substring_index("value", " ", 1).cast("long").alias("label"), cells.alias("_cells"))
+    return own.withColumns({c: F.coalesce(F.try_element_at("_cells", F.lit(k)), F.lit(0.0)) for k, c in enumerate(columns)}).drop("_cells")
+
+
+def read_triples(spark: SparkSession, path: str, row: int, col: int, value: int | None = None, date: int | None = None, sep: str = ",", header: bool = False) -> DataFrame:
+    """(row_id, col_id, value, date) of delimited files, by the numbers of their columns from 0; duplicates are summed and keep the latest date."""
+    lines = spark.read.option("sep", sep).option("header", header).csv(path)
+    if not lines.columns:
+        lines = spark.createDataFrame([], ", ".join(f"c{k} string" for k in range(1 + max(x or 0 for x in (row, col, value, date)))))
+    named = lambda k: None if k is None else lines.columns[k]
+    return coo.from_rows(lines, named(row), named(col), named(value), named(date))
+
+
 def parse_dense_csv(lines: DataFrame) -> DataFrame:
     """Arrays of doubles from lines of comma-separated numbers."""
     return lines.filter("trim(value) <> ''").select(F.transform(F.split("value", ","), lambda x: x.cast("double")).alias("features"))
