@@ -4,9 +4,9 @@ Words and counts. Every word of the training texts is counted by the 64-bit hash
 
 Classes, by exchange clustering. The ``frequent`` most frequent words are exchanged one at a time: a word moves to the class in which the
 likelihood of the class bigrams is highest, until no word moves. Every other word begins in the class that suits the words with the same
-beginning and ending, its bucket. Then come ``sweeps`` of parallel exchange over all words as a Spark job: the contexts of each word (the classes
-before and after it, over the whole corpus) are gathered, and each word moves on its own to the class of the highest
-likelihood, with the class bigrams as they were before the sweep. Frequent words keep their place there.
+beginning and ending, its bucket. Then come ``sweeps`` of parallel exchange over all words as a Spark job: the classes of the words before
+each word are counted over the whole corpus, and each word moves on its own to the class of the highest likelihood, the words before it
+keeping their classes and the class bigrams being those from before the sweep. Frequent words keep their place there.
 
 Model. P(w | before) = share * P(class of w | class of before) * P(w | class) + (1 - share) * base(w). In a class, a known word has its
 count, and the unknown ones together that of the class's words found once, dealt evenly to as many unseen words; an unknown word has the class of its
@@ -208,60 +208,46 @@ def head_of(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sweep:
-    """One sweep of parallel exchange. big[a, b] counts class b after class a."""
+    """One sweep of parallel exchange. big[a, b] counts words of class b after a word of class a.
+
+    The word before counts by the class it had before the sweep. So the likelihood of the words' classes after it,
+    sum of xlogx over big less that over its columns, follows from the classes before each word alone.
+    """
 
     MANY, LONG = 8, 256  # counts whose terms are looked up
 
     def __init__(self, big: np.ndarray, fixed: np.ndarray):
         """fixed: hashes, sorted, of words that stay where they are."""
         self.big, self.fixed, self.classes = big, fixed, len(big)
-        self.sides = np.concatenate((big, big.T))  # [class before] and then [class after] by the word's own class
-        self.gain = np.stack([(_xlogx(self.sides + n) - _xlogx(self.sides)).astype(np.float32) for n in range(1, self.MANY + 1)])
-        self.sums = np.stack((big.sum(0), big.sum(1)))  # of a class as what follows, as what goes before
+        self.gain = np.stack([(_xlogx(big + n) - _xlogx(big)).astype(np.float32) for n in range(1, self.MANY + 1)])
+        self.sums = big.sum(0)
         self.margin = np.stack([_xlogx(self.sums + n) - _xlogx(self.sums) for n in range(self.LONG + 1)])
 
-    def __call__(self, h: np.ndarray, own: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, class, class by row) for rows (word, its class, context, count) in order of words. A context is a class before, or ``classes`` and a class after."""
+    def __call__(self, h: np.ndarray, own: np.ndarray, before: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, class, class by row) for rows (word, its class, class before, count) in order of words."""
         start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        words, k0 = h[start], own[start].astype(np.int64)
-        row = np.repeat(np.arange(len(start)), np.diff(np.concatenate((start, [len(h)]))))
+        words, k0, at = h[start], own[start].astype(np.int64), np.arange(len(start))
+        row = np.repeat(at, np.diff(np.concatenate((start, [len(h)]))))
         gain = np.zeros((len(start), self.classes))
         for a in range(0, len(h), 1 << 14):
             s = slice(a, a + (1 << 14))
-            few = self.gain[np.minimum(n[s], self.MANY) - 1, code[s]].astype(float)
+            few = self.gain[np.minimum(n[s], self.MANY) - 1, before[s]].astype(float)
             many = np.flatnonzero(n[s] > self.MANY)
-            at = self.sides[code[s][many]]
-            few[many] = _xlogx(at + n[s][many][:, None]) - _xlogx(at)
+            cells = self.big[before[s][many]]
+            few[many] = _xlogx(cells + n[s][many][:, None]) - _xlogx(cells)
             first = np.flatnonzero(np.concatenate(([True], row[s][1:] != row[s][:-1])))
             gain[row[s][first]] += np.add.reduceat(few, first)
-        here = self.sides[code, own]
-        stay = np.bincount(row, _xlogx(here) - _xlogx(np.maximum(here - n, 0)), len(start))
-        for side in (0, 1):
-            total = np.bincount(row, n * (code >= self.classes if side else code < self.classes), len(start)).astype(np.int64)
-            lost = self.margin[np.minimum(total, self.LONG), side]
-            long = np.flatnonzero(total > self.LONG)
-            lost[long] = _xlogx(self.sums[side] + total[long][:, None]) - _xlogx(self.sums[side])
-            gain -= lost
-            mine = self.sums[side, k0]
-            stay -= _xlogx(mine) - _xlogx(np.maximum(mine - total, 0))
-        counts = np.zeros((2, len(start), self.classes))
-        counts[code // self.classes, row, code % self.classes] = n
-        d = np.diagonal(self.big)
-        w, k = np.nonzero((counts > 0).all(0))  # a class on both sides of a word meets itself in one cell
-        left, right = counts[:, w, k]
-        gain[w, k] += _xlogx(d[k] + left + right) + _xlogx(d[k]) - _xlogx(d[k] + left) - _xlogx(d[k] + right)
-        left, right = counts[:, np.arange(len(start)), k0]
-        for side, mine in ((0, right), (1, left)):  # leaving its class, a word takes from the cells of this and another class what it then brings to them
-            w, k = np.nonzero((counts[side] > 0) & (mine[:, None] > 0) & (np.arange(self.classes) != k0[:, None]))
-            at, less, more = self.big[(k, k0[w]) if side == 0 else (k0[w], k)], counts[side, w, k], mine[w]
-            x = lambda v: _xlogx(np.maximum(v, 0))
-            gain[w, k] += x(at - less + more) - x(at + more) - x(at - less) + x(at)
-        less = lambda x: _xlogx(np.maximum(d[k0] - x, 0))
-        stay += less(left) + less(right) - less(0) - less(left + right)
+        total = np.bincount(row, n, len(start)).astype(np.int64)
+        lost = self.margin[np.minimum(total, self.LONG)]
+        long = np.flatnonzero(total > self.LONG)
+        lost[long] = _xlogx(self.sums + total[long][:, None]) - _xlogx(self.sums)
+        gain -= lost
+        here, mine = self.big[before, own], self.sums[k0]
+        stay = np.bincount(row, _xlogx(here) - _xlogx(np.maximum(here - n, 0)), len(start)) - _xlogx(mine) + _xlogx(np.maximum(mine - total, 0))
         gain[:, 0] = -np.inf
-        gain[np.arange(len(start)), k0] = stay
+        gain[at, k0] = stay
         best = gain.argmax(1)
-        best = np.where(gain[np.arange(len(start)), best] > stay + 1e-6, best, k0)
+        best = np.where(gain[at, best] > stay + 1e-6, best, k0)
         best = np.where(lookup(self.fixed, words.view(U))[1] | (words.view(U) == END), k0, best)
         return words, best, best[row]
 
@@ -347,35 +333,31 @@ NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "scor
 
 
 def _contexts(texts: DataFrame, known: Classes, buckets: int, classes: int) -> DataFrame:
-    """(h, own, code, n): how often each word, of class own, stands in each context."""
+    """(h, code, n): how often each word comes after each class; code is the word's own class times classes plus the class before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def counts() -> pa.RecordBatch:
-            h, c, before, after = map(np.concatenate, zip(*held))
+        def counts() -> Iterator[pa.RecordBatch]:
+            h, code = map(np.concatenate, zip(*held))
             held.clear()
             words, word = np.unique(h, return_inverse=True)
-            own = np.zeros(len(words), np.int16)
-            own[word] = c
-            inner = after >= 0
-            codes, n = np.unique(np.concatenate((word * 2 * classes + before, word[inner] * 2 * classes + classes + after[inner])), return_counts=True)
-            word = codes // (2 * classes)
-            return pa.record_batch([pa.array(words[word].view(np.int64)), pa.array(own[word]), pa.array((codes % (2 * classes)).astype(np.int16)), pa.array(n)], names=["h", "own", "code", "n"])
+            pairs, n = np.unique(word * (classes * classes) + code, return_counts=True)
+            for k in range(0, len(pairs), 1 << 17):
+                part = pairs[k : k + (1 << 17)]
+                yield pa.record_batch([pa.array(words[part // (classes * classes)].view(np.int64)), pa.array((part % (classes * classes)).astype(np.int32)), pa.array(n[k : k + (1 << 17)])], names=["h", "code", "n"])
 
         for b in batches:
             for k, n in slices(b.column(0)):
                 h, bucket, _ = tokens_of(b.column(0).slice(k, n), buckets)
                 c = known(h, bucket)
-                after = np.concatenate((c[1:], [0]))
-                after[h == END] = -1
-                held.append((h, c, np.concatenate(([0], c[:-1])), after))
+                held.append((h, c * classes + np.concatenate(([0], c[:-1]))))
                 if sum(len(x[0]) for x in held) > HELD:
-                    yield counts()
+                    yield from counts()
         if held:
-            yield counts()
+            yield from counts()
 
-    return texts.mapInArrow(run, "h long, own short, code short, n long").groupBy("h", "own", "code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "h long, code int, n long").groupBy("h", "code").agg(F.sum("n").alias("n"))
 
 
 def _swept(contexts: DataFrame, sweep: Sweep) -> DataFrame:
@@ -387,16 +369,16 @@ def _swept(contexts: DataFrame, sweep: Sweep) -> DataFrame:
 
         def move(rows: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal big
-            h, own, code, n = rows
-            words, cls, by_row = sweep(h, own, code, n)
-            left = code < classes
-            big += np.bincount(code[left].astype(np.int64) * classes + by_row[left], n[left], classes * classes)
+            h, code, n = rows
+            before = code % classes
+            words, cls, by_row = sweep(h, code // classes, before, n)
+            big += np.bincount(before * classes + by_row, n, classes * classes)
             none = pa.nulls(len(words), pa.int64())
             return pa.record_batch([pa.array(words), pa.array(cls.astype(np.int16)), none, none], names=["h", "cls", "code", "n"])
 
         for b in batches:
             if b.num_rows:
-                held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
+                held.append([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
                 if sum(len(x[0]) for x in held) >= 1 << 15:
                     rows = [np.concatenate(x) for x in zip(*held)]
                     cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last word may go on in the next batch
@@ -471,8 +453,8 @@ def fit(train: DataFrame, scratch: Scratch, classes: int = 128, frequent: int =
     before = Classes(known.hashes, known.of_hash, of_bucket)
     for k in range(sweeps):
         contexts = scratch.save(_contexts(texts, before, buckets, classes), f"contexts{k}")
-        own_pairs = contexts.filter(F.col("code") < classes).groupBy((F.col("code").cast("long") * classes + F.col("own")).alias("code")).agg(F.sum("n").alias("n"))
-        swept = scratch.save(_swept(contexts, Sweep(_dense(own_pairs, classes, classes), hashes)), f"swept{k}")
+        pairs = contexts.groupBy("code").agg(F.sum("n").alias("n"))
+        swept = scratch.save(_swept(contexts, Sweep(_dense(pairs, classes, classes).T, hashes)), f"swept{k}")
         scratch.drop(f"contexts{k}")
         big = _dense(swept.filter("code is not null").groupBy("code").agg(F.sum("n").alias("n")), classes, classes)
         placed = swept.filter("h is not null").select("h", "cls")
