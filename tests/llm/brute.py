@@ -127,3 +127,27 @@ def class_score(tokens: list[str], model, words: dict, class_before, unknown_cla
         total += math.log10(model.share * model.step[before][k] * own / model.within[k] + (1 - model.share) * base)
         before = 0 if t is None else class_before(t)
     return total
+
+
+def languages(pages: list[tuple], langs: list[str], logs, counts_of, strength: float = 5.0, weight: float = 60) -> list[tuple]:
+    """(text_lang, lang, posterior) of pages (html, host, domain, suffix, declared) by plain sums over all pages; counts_of(html): trigram counts."""
+    told = []
+    for page, *where in pages:
+        counts = counts_of(page)
+        n = sum(counts.values())
+        ll = [sum(c * logs[k][g] for g, c in counts.items()) * (min(1.0, weight / n) if n else 0.0) for k in range(len(langs))]
+        told.append((ll, max(range(len(langs)), key=lambda k: (ll[k], -k)) if n else None, where))
+    votes = [Counter((w[i], best) for _, best, w in told if best is not None) for i in range(4)]
+    total = [sum(best == k for _, best, _ in told) for k in range(len(langs))]
+    kinds = [len({w[i] for _, _, w in told}) for i in range(4)]
+    out = []
+    for ll, best, where in told:
+        own = [int(best == k) for k in range(len(langs))]
+        less = lambda i: [votes[i][where[i], k] - own[k] for k in range(len(langs))]  # noqa: E731, B023
+        share = lambda x: [v / sum(x) for v in x]
+        domain = share([a + strength * (t + 1) / (sum(total) + len(langs)) for a, t in zip(less(1), total)])
+        host = share([a + strength * d for a, d in zip(less(0), domain)])
+        logp = [ll[k] + math.log(host[k]) + sum(math.log((less(i)[k] + 1) / (total[k] - own[k] + kinds[i])) for i in (2, 3)) for k in range(len(langs))]
+        top = max(logp)
+        out.append((None if best is None else langs[best], langs[logp.index(top)], 1 / sum(math.exp(x - top) for x in logp)))
+    return out

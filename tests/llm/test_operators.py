@@ -1,8 +1,10 @@
 """What the operators do beyond their queries."""
 
 import brute
+import hypothesis
 import numpy as np
 import pytest
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.llm import brown_lm, decontaminate, html_extract, language_id, line_dedup, packing, quality_rules, simhash, substring_dedup, windows
@@ -263,6 +265,54 @@ def test_extraction_scores_containers():
     assert html_extract.main_text("<p>" * 3000 + "deep, text") == "deep, text"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div>" * 20000 + "deep, text", "deep, text"),
+        ("<ul>" + "<div>" * 20000 + "<li>x</li>" * 20000, None),
+        ("<div>" * 20000 + "end</p>" * 20000, None),
+        ("<div class=ad>y" * 20000, None),
+        ('<a "' * 20000, '<a "' * 20000),
+        ("<a title=\"" * 20001 + "'>", None),
+        ("<b hidden>" + "<i>" * 20000 + "</u>" * 20000 + "</b>seen, text", "seen, text"),
+        ("<!" * 20000 + "<a" * 20000 + "&amp" * 20000, None),
+        ("<p>one, text</p><!-- " + "<p>" * 20000, "one, text"),
+        ("<p title='a > b'>one, text <br/>more</p><p class=x\">two</p>", "one, text more\ntwo"),
+    ],
+)
+def test_extraction_takes_time_by_length(page, text):
+    import time
+
+    began = time.process_time()
+    got = html_extract.main_text(page)
+    assert time.process_time() - began < 3
+    assert text is None or got == " ".join(text.split(" ")) or got.split("\n") == text.split("\n")
+
+
+@pytest.fixture(scope="module")
+def both_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return packing._encoder("byte_bpe_50k"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+SAMPLES = ["", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", " <|endoftext", "it's WE'LL 123 4567\n\n \t x", "\u00e9\u0301 \u3042\u3044 \U0001f600\U0001f1e9\U0001f1ea", "\x00\x1f\x7f\x85\xa0\u2028", "a" * 5000]
+
+
+@pytest.mark.parametrize("text", SAMPLES)
+def test_ids_are_those_of_tokenizers(both_tokenizers, text):
+    encode, plain = both_tokenizers
+    assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+
+
+@hypothesis.settings(max_examples=300, deadline=None)
+@hypothesis.given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(SAMPLES[1:8])), max_size=6).map("".join))
+def test_ids_of_any_text(both_tokenizers, text):
+    encode, plain = both_tokenizers
+    assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_language_of_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     langs, logs = language_id.learn(docs.filter("doc_id % 2 = 0"))
@@ -282,6 +332,27 @@ def test_declarations_and_hosts_decide_where_text_is_silent(spark):
     assert got[99]["text_lang"] is None and got[99]["lang"] == "xde"
 
 
+def test_languages_equal_plain_sums(spark, sf_dir):
+    import html
+
+    langs, logs = language_id.learn(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").union(spark.createDataFrame([(-1, None, None), (-2, "HTTP://u@A.example.org:80/x?y", "<html lang='DE-at'>"), (-2, "x", "")], "page_id long, url string, html string"))
+    got = language_id.identify(pages, langs, logs).collect()
+    rows = [(r["html"], r["host"], ".".join(r["host"].split(".")[-2:]), r["host"].split(".")[-1], r["declared"]) for r in got_with_html(pages, got)]
+    counts = lambda page: {int(g): int(c) for g, c in enumerate(language_id.gram_counts(html.unescape(language_id.MARKUP.sub(" ", page or "")))) if c}
+    want = brute.languages(rows, langs, logs, counts)
+    odd = {r["page_id"]: (r["host"], r["suffix"], r["declared"]) for r in got if r["page_id"] < 0 and r["url"] != "x"}
+    assert odd == {-1: ("", "", ""), -2: ("a.example.org", "org", "de")}
+    for r, (text_lang, lang, posterior) in zip(got, want):
+        assert (r["text_lang"], r["lang"]) == (text_lang, lang) and r["posterior"] == pytest.approx(posterior, abs=1e-6)
+
+
+def got_with_html(pages, got):
+    """Rows of a result with the html of their page; pages share no (page_id, url)."""
+    page = {(r["page_id"], r["url"]): r["html"] for r in pages.collect()}
+    return [r.asDict() | {"html": page[r["page_id"], r["url"]]} for r in got]
+
+
 def hash_of(spark, text):
     return spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
 
