@@ -43,11 +43,12 @@ class Scratch:
         self.spark, self.path = spark, folder(spark, kind)
         self.sorted: dict[str, str] = {}
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write once, read back; zstd, as these tables are large and short-lived."""
+    def save(self, df: DataFrame, name: str, free: bool = True) -> DataFrame:
+        """Write once, read back; zstd, as these tables are large and short-lived. free: give back the disk of the step's shuffles at once."""
         path = f"{self.path}/{name}"
         df.write.option("compression", "zstd").parquet(path)
-        self.spark.sparkContext._jvm.System.gc()  # the driver then lets executors delete the shuffle files of the step
+        if free:
+            self.spark.sparkContext._jvm.System.gc()  # the driver then lets executors delete the shuffle files of the step
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_sorted(self, df: DataFrame, by: tuple[str, ...], name: str) -> DataFrame:
