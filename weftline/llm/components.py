@@ -7,7 +7,7 @@ links is a skewed join key, which Spark splits, since both sides of the join are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Scratch
@@ -20,8 +20,9 @@ def components(links: DataFrame, scratch: Scratch, max_steps: int = 60) -> DataF
     before = None
     for k in range(max_steps):
         large = _star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), scratch, f"large{k}", only_larger=True)
-        edges = _star(large, scratch, f"small{k}", only_larger=False)
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1000003), F.lit(0)), F.coalesce(F.sum(F.xxhash64("v", "u") % 999983), F.lit(0))).first()
+        seen = Observation()
+        edges = _star(large, scratch, f"small{k}", only_larger=False, seen=seen)
+        now = seen.get
         if now == before:
             break
         before = now
@@ -31,16 +32,20 @@ def components(links: DataFrame, scratch: Scratch, max_steps: int = 60) -> DataF
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _star(pairs: DataFrame, scratch: Scratch, name: str, only_larger: bool) -> DataFrame:
+def _star(pairs: DataFrame, scratch: Scratch, name: str, only_larger: bool, seen: Observation | None = None) -> DataFrame:
     """Link the neighbours v of each u to the smallest of u and its neighbours.
 
     only_larger: pairs hold both directions, and only neighbours above u are linked (large star);
     else pairs are (u, v) with v below u, and u itself is linked as well (small star).
+    seen: gets the number and two sums of hashes of the links.
     """
-    least = scratch.save(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-min")
+    least = scratch.save(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-min", free=False)
     joined = pairs.join(least, "u")
     if only_larger:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return scratch.save(out.filter("u <> v").distinct(), name)
+    out = out.filter("u <> v").distinct()
+    if seen:
+        out = out.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("a"), F.sum(F.xxhash64("v", "u") % 999983).alias("b"))
+    return scratch.save(out, name, free=False)
