@@ -120,6 +120,20 @@ def test_cold_lists_by_name(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 3, 2), (1, 4, 1), (2, 8, 2), (2, 9, 1)]
 
 
+def test_the_whole_course(spark, sf_dir):
+    """Every challenge playlist has one line, of different songs that it does not hold yet."""
+    from weftline.plans import registry
+
+    v = Views(spark, sf_dir)
+    seen = {(r["row_id"], r["col_id"]) for r in v.train.select("row_id", "col_id").collect()}
+    tests = {r["playlist_id"] for r in v.playlists.filter("is_test").collect()}
+    lines = [r["line"].split(", ") for r in registry.QUERIES["challenge_submission"](spark, sf_dir).collect()]
+    assert sorted(int(x[0]) for x in lines) == sorted(tests)
+    for pid, *uris in lines:
+        songs = [int(u.rpartition(":")[2]) for u in uris]
+        assert 0 < len(songs) <= 500 and len(set(songs)) == len(songs) and not any((int(pid), x) in seen for x in songs)
+
+
 class Session:
     """What scratch asks of a session."""
 
