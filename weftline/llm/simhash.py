@@ -207,6 +207,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, scratch: Scratch | None = N
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def linked(docs: DataFrame, words: int = 3, scratch: Scratch | None = None) -> DataFrame:
+    """(u, v): pairs of doc_ids that connect each component of ``near_duplicates``, as far as one subtree of the trie shows it."""
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
+    prints = scratch.save(fingerprints(docs, words), "fingerprints")
+    fps = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
+    same = prints.join(fps, "fp").select(F.col("doc_id").alias("u"), F.col("first_doc").alias("v"))
+    across = links(fps.select("fp"), scratch)
+    for x in "uv":
+        across = across.join(fps.select(F.col("fp").alias(x), F.col("first_doc").alias(f"{x}_doc")), x)
+    return same.unionByName(across.select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))).filter("u <> v").distinct()
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
