@@ -1,5 +1,6 @@
 """Hand-computed cases, properties, and operators that SQL cannot express."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -111,6 +112,20 @@ def test_text(spark):
     assert row["c"] == ["ab", "bc", "cd", "abc", "bcd"]
 
 
+def test_many_categories_are_dense_and_unique(spark):
+    df = spark.range(300_000).selectExpr("id as at", "concat('c', pmod(xxhash64(id), 1000000007)) as cat").repartition(7)
+    got = dictionary.first_seen(df, "cat", "at").toPandas().merge(df.toPandas().groupby("cat")["at"].min().reset_index(), on="cat")
+    assert sorted(got["idx"]) == list(range(len(got))) and got.sort_values("at")["idx"].is_monotonic_increasing
+
+
+def test_a_table_is_permuted(spark):
+    df = spark.range(50_000).selectExpr("id", "id % 7 as x")
+    got = dictionary.permuted(df, "id", seed="s").orderBy("idx").collect()
+    want = sorted(range(50_000), key=lambda i: hashlib.md5(f"s#{i}".encode()).hexdigest())
+    assert [r["id"] for r in got] == want and [r["idx"] for r in got] == list(range(50_000)) and all(r["x"] == r["id"] % 7 for r in got)
+    assert dictionary.permuted(df.limit(0), "id").count() == 0
+
+
 def test_first_seen_is_dense_and_ordered(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("c", 0), (None, 5)], "cat string, at long")
     assert values(dictionary.first_seen(df, "cat", "at"), "cat", of="idx") == {("c",): 0, ("b",): 1, ("a",): 2}

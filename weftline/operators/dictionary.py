@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import hashed_order
+from weftline.sources.scratch import saved
 
-def first_seen(df: DataFrame, category: str, *order: str, blocks: int = 64) -> DataFrame:
-    """(category, idx): ids from 0 in the order in which categories first come.
 
-    The firsts are dealt out by ranges of their order, ranked inside each range, and the ranges' sizes added up: no
-    task ranks all of them.
+def numbered(df: DataFrame, *order: str, name: str = "idx", blocks: int = 64) -> DataFrame:
+    """df with name, its rows' numbers from 0 in a total order, dense and unique.
+
+    The rows are dealt out once by ranges of their order, sorted inside each range, and written with their place. Places and the
+    ranges' sizes are both read from that table, so they cannot follow different cut points, and no task sees all rows.
     """
-    firsts = df.filter(F.col(category).isNotNull()).groupBy(category).agg(F.min(F.struct(*order)).alias("_at"))
-    dealt = firsts.repartitionByRange(blocks, "_at").withColumn("_part", F.spark_partition_id())
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_at", category)))
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_first", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    return ranked.join(F.broadcast(before), "_part").select(category, (F.col("_first") + F.col("_rank") - 1).cast("long").alias("idx"))  # blocks rows
+    own = [c for c in df.columns if c != name]
+    dealt = df.select(own).repartitionByRange(blocks, *order).sortWithinPartitions(*order)
+    dealt = saved(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered")  # (range << 33) + place
+    part, place = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1)
+    ends = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy(part).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ends), F.lit(0)).alias("_first"))  # a row a range
+    return dealt.withColumn("_part", part).join(F.broadcast(before), "_part").select(*own, (F.col("_first") + place).cast("long").alias(name))
+
+
+def permuted(df: DataFrame, *ids: str, seed: str = "0", name: str = "idx", blocks: int = 64) -> DataFrame:
+    """df with name, places from 0 of a shuffle of the whole table by MD5 of the seed and the ids, which tell its rows apart."""
+    return numbered(df.withColumn("_turn", hashed_order(seed, *ids)), "_turn", *ids, name=name, blocks=blocks).drop("_turn")
+
+
+def first_seen(df: DataFrame, category: str, *order: str, blocks: int = 64) -> DataFrame:
+    """(category, idx): ids from 0 in the order in which categories first come; equal places by category."""
+    firsts = df.filter(F.col(category).isNotNull()).groupBy(category).agg(F.min(F.struct(*order)).alias("_first_at"))
+    return numbered(firsts, "_first_at", category, blocks=blocks).select(category, "idx")
 
 
 def encode(df: DataFrame, category: str, dictionary: DataFrame) -> DataFrame:

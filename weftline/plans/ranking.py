@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
-from weftline.operators import dense, evaluate, rank, recommend, split
+from weftline.operators import dense, dictionary, evaluate, rank, recommend, split
 from weftline.plans.registry import query, r6
 from weftline.plans.views import Views
 from weftline.sources.playlists import submission_lines
@@ -162,6 +162,12 @@ def hash_shuffle(v: Views) -> DataFrame:
     return v.playlists.select("playlist_id", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query("table_shuffle", "SELECT playlist_id, name, row_number() OVER (ORDER BY md5(concat_ws('#', '7', playlist_id)), playlist_id) - 1 AS place FROM pl")
+def table_shuffle(v: Views) -> DataFrame:
+    """A seeded permutation of the whole table."""
+    return dictionary.permuted(v.playlists.select("playlist_id", "name"), "playlist_id", seed="7", name="place")
+
+
 @query("distinct_sets", "SELECT 'artist' AS kind, artist AS value FROM songs GROUP BY ALL UNION ALL SELECT 'album', album FROM songs GROUP BY ALL UNION ALL SELECT 'name', name FROM pl GROUP BY ALL")
 def distinct_sets(v: Views) -> DataFrame:
     kind = lambda df, c: df.select(F.lit(c).alias("kind"), F.col(c).alias("value")).distinct()
