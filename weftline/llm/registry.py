@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from weftline.llm import line_dedup
+from weftline.llm import line_dedup, minhash_dedup
 from weftline.llm.brown_lm import op8_brown_lm
 from weftline.llm.decontaminate import op5_decontaminate
 from weftline.llm.html_extract import op9_html_extract
@@ -22,5 +22,6 @@ QUERIES = {
     "op8_brown_lm": op8_brown_lm,
     "op9_html_extract": op9_html_extract,
     "op10_quality_rules": op10_quality_rules,
+    "op11_setsketch": minhash_dedup.op11_setsketch,
 }
-SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL, "op11_setsketch": minhash_dedup.SQL}
