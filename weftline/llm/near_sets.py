@@ -140,7 +140,7 @@ def _families(many: DataFrame, own: DataFrame, scratch: Scratch) -> tuple[DataFr
     to_leaders = met.filter("not open").select(F.col("leader").alias("u"), F.col("id").alias("v"))
 
     least = met.groupBy("leader").agg(F.min("e").alias("least"), F.min(F.when(F.col("open"), F.col("e"))).alias("least_open"))
-    held = met.join(scratch.save(least.filter("least_open is not null"), "least"), "leader")
+    held = met.join(scratch.save(least.filter("least_open is not null"), "family-least"), "leader")
     el = scratch.save(held.select("leader", "id", "n", "e", "open", "least", "least_open", F.explode("d").alias("el")), "elements")
     often = scratch.save(el.groupBy("leader", "el").agg(F.count("*").alias("f")), "often")
     by_rarity = F.transform(F.sort_array(F.collect_list(F.struct("f", "el"))), lambda x: x["el"])
