@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from weftline.llm import hard_negatives, line_dedup, minhash_dedup
+from weftline.llm import collocations, hard_negatives, line_dedup, minhash_dedup
 from weftline.llm.brown_lm import op8_brown_lm
 from weftline.llm.decontaminate import op5_decontaminate
 from weftline.llm.html_extract import op9_html_extract
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_quality_rules": op10_quality_rules,
     "op11_setsketch": minhash_dedup.op11_setsketch,
+    "op12_collocations": collocations.op12_collocations,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
-SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL, "op11_setsketch": minhash_dedup.SQL, "op13_hard_negatives": hard_negatives.SQL}
+SQL: dict[str, str] = {"op3_line_dedup": line_dedup.SQL, "op11_setsketch": minhash_dedup.SQL, "op12_collocations": collocations.SQL, "op13_hard_negatives": hard_negatives.SQL}
