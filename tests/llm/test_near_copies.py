@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from weftline.llm import near_copies
+from weftline.llm import near_copies, setsketch
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -18,7 +18,7 @@ def changed(words, places):
 
 
 def jaccard(a, b):
-    x, y = (set(near_copies.shingles(" ".join(t).encode()).tolist()) for t in (a, b))
+    x, y = (set(setsketch.shingles(" ".join(t).encode(), near_copies.WORDS).tolist()) for t in (a, b))
     return len(x & y) / len(x | y)
 
 
@@ -37,12 +37,23 @@ def test_near_copies_at_the_threshold_go(spark):
     assert sorted(d for d, _ in kept(spark, rows)) == sorted(10 * g + k for g in range(20) for k in (0, 2))
 
 
-def test_large_groups_by_leaders(spark):
+def test_large_groups(spark):
     rng = random.Random(3)
     rows = [(1000 * g + k, changed(w, {rng.randrange(300) for _ in range(2)})) for g, w in enumerate((prose(1), prose(2))) for k in range(60)]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
-    for most in (4, 1000):
-        assert near_copies.roots(docs, all_pairs=most).select("root").distinct().count() == 2
+    assert near_copies.roots(docs).select("root").distinct().count() == 2
+
+
+def test_pairs_inside_a_shared_passage_are_found(spark):
+    """30 planted pairs at 0.81 among 150 texts that all share a passage at 0.74 or so."""
+    passage = [f"p{k}" for k in range(170)]
+    rows = []
+    for k in range(120):
+        w = passage + [f"own{k}x{j}" for j in range(30)]
+        rows += [(k, w)] + ([(1000 + k, changed(w, range(172, 200, 7)))] if k < 30 else [])
+    assert all(0.8 <= jaccard(rows[2 * k][1], rows[2 * k + 1][1]) < 0.85 for k in range(30)) and 0.6 < jaccard(rows[0][1], rows[2][1]) < 0.8
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert near_copies.roots(docs).select("root").distinct().count() == 120
 
 
 def test_one_row_a_group(spark):

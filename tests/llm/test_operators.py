@@ -80,9 +80,12 @@ def test_decontamination_cuts_spans(spark, docs, docs_dir):
     cut = decontaminate.decontaminate(docs, items, remove="spans")
     assert cut.columns == docs.columns and cut.count() == docs.count()
     assert decontaminate.hits(cut, decontaminate.item_windows(items)).count() == 0
-    whole = {r["doc_id"] for r in decontaminate.report(docs, items).filter("contaminated").collect()}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    judged = brute.contamination({k: t for k, (_, t) in enumerate(rows)}, {r["item_id"]: r["text"] for r in items.collect()})
+    clean = [rows[k] for k, (n, hit, _) in judged.items() if not (hit and 20 * hit >= n)]
     left = decontaminate.decontaminate(docs, items)
-    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in docs.collect()} - whole
+    assert len(clean) < len(rows) and left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted(clean, key=repr)
 
 
 def test_decontamination_beyond_the_broadcast_bound(spark, docs, docs_dir):
@@ -99,13 +102,32 @@ def test_templates_with_variable_fields_recur(spark):
     assert all(r["n_dropped"] == 0 for r in line_dedup.deduplicate(copies).collect())
 
 
-def test_recurring_lines_go_from_short_texts_too_but_near_copies_are_no_carriers(spark):
+@pytest.mark.parametrize("own", [1, 5, 20, 49, 50, 200])
+def test_a_shared_passage_goes_at_any_length_of_the_texts_around_it(spark, own):
+    licence = [" ".join(f"l{j}x{k}" for k in "abcdefghij") for j in range(5)]
+    rows = [(t, "\n".join([" ".join(f"o{t}q{k}" for k in range(own)), *licence])) for t in range(100)]
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["n_dropped"] for r in got} == {5}
+
+
+def test_near_copies_keep_what_they_share(spark):
+    rng = np.random.default_rng(6)
+    base = [[f"b{j}x{k}" for k in range(12)] for j in range(14)]
+    rows = []
+    for t in range(60):
+        lines = [list(x) for x in base]
+        for j in rng.choice(14, rng.integers(1, 5), replace=False):
+            lines[j][rng.integers(0, 12)] = f"new{t}"
+        rows.append((t, "\n".join(" ".join(x) for x in lines)))
+    assert {r["n_dropped"] for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
+def test_recurring_lines_go_from_short_texts_too(spark):
     own = lambda k, n: " ".join(f"own{chr(97 + k)}{chr(97 + j)}" for j in range(n))
     licence = "This text is free to use, to copy and to change for all."
     rows = [(k, f"{own(k, 30)}\n{licence}\nok") for k in range(6)] + [(6, f"hi\n{licence}")]
-    near = [(10 + k, f"{own(20, 30)}\n{own(21, 25)} {own(k, 1)}\nsigned {own(k, 2)}") for k in range(8)]
-    out = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(spark.createDataFrame(rows + near, "doc_id long, text string")).collect()}
-    assert out == {k: own(k, 30) for k in range(6)} | {6: "hi"} | dict(near)
+    out = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {k: own(k, 30) for k in range(6)} | {6: "hi"}
 
 
 def test_packing_keeps_to_targets(spark):

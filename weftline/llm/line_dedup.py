@@ -5,10 +5,13 @@ that holds a digit counting as a variable field. Lines in one leaf are generalis
 each place a token stays if lines of ``min_texts`` texts or more have it there, else it is a variable field; a line of which less
 than ``min_constant`` would stay is its own template.
 
-A template found in ``min_texts`` texts or more is a candidate. A text that owes at most half of its words to candidates is a
-*carrier*: it has something of its own. Candidates found in ``min_texts`` carriers or more are recurring, and their lines are dropped from
-every text, whatever is left of it. So what only near copies of one text share is not taken for boilerplate, as none of
-them is a carrier; they are left to near-duplicate detection. Equal texts count once.
+A template found in ``min_texts`` texts or more is a candidate; candidates that stand in exactly the same texts are one *block*, such as the
+lines of a licence. A text has words of its own (in no candidate), and owes the others to blocks. It bears witness for a block if it has words of its own,
+and not fewer than it owes to *other* blocks. Blocks with ``min_texts`` witnesses or more are recurring, and their lines are dropped from
+every text, however short what is left. So a passage goes at any length of the texts around it, but what only near copies of one text share is not
+taken for boilerplate: they are altered at different places, so each shared line is a block of its own, beside many others. They are left to
+near-duplicate detection. Texts that share one whole block and differ in the rest alone are texts around a passage, however little the rest is.
+Equal texts count once.
 
 Everything is DataFrame expressions. Only leaves that recur have their lines looked at; counts are
 pre-aggregated, and what a line leads to goes back to texts by joins of freshly read tables, in which Spark splits skewed keys.
@@ -20,7 +23,7 @@ doc_id; an empty table gives no rows; other columns pass through ``deduplicate``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Scratch, table, words_of
@@ -63,15 +66,14 @@ def recurring(texts: DataFrame, min_texts: int = 5, depth: int = 3, min_constant
     told = scratch.save(shared.select("txt", "no", "line_id", "n", "total").join(templates, "line_id").select("template", "txt", "no", "n", "total").distinct(), "told")
     scratch.drop("shared", "templates")
 
-    def common(rows: DataFrame, name: str) -> DataFrame:
-        often = rows.select("template", "txt").distinct().groupBy("template").count().filter(F.col("count") >= min_texts)
-        return scratch.save(often.select("template"), name)
-
-    candidates = scratch.save(told.join(common(told, "often"), "template"), "candidates")
+    often = told.select("template", "txt").distinct().groupBy("template").agg(F.count("*").alias("texts"), F.bit_xor("txt").alias("mark")).filter(F.col("texts") >= min_texts)
+    often = scratch.save(often.select("template", F.xxhash64("texts", "mark").alias("block")), "often")
+    candidates = scratch.save(told.join(often, "template").select("block", "txt", "no", "n", "total"), "candidates")
     scratch.drop("told")
-    carriers = candidates.groupBy("txt").agg(F.sum("n").alias("owed"), F.min("total").alias("total")).filter("2 * owed <= total").select("txt")
-    carried = candidates.join(scratch.save(carriers, "carriers"), "txt")
-    gone = candidates.select("template", "txt", "no").join(common(carried, "recurring"), "template")
+    owed = candidates.groupBy("txt", "block").agg(F.sum("n").alias("words"), F.min("total").alias("total"))
+    owed = owed.withColumn("owed", F.sum("words").over(Window.partitionBy("txt")))
+    witnesses = owed.filter("total > owed and total - owed >= owed - words").groupBy("block").count().filter(F.col("count") >= min_texts)
+    gone = candidates.select("block", "txt", "no").join(scratch.save(witnesses.select("block"), "recurring"), "block")
     return scratch.save(gone.groupBy("txt").agg(F.collect_set("no").alias("nos")), "dropped")
 
 
@@ -109,11 +111,13 @@ made AS (SELECT t.leaf, t.line, avg(CASE WHEN s.token IS NULL THEN 0.0 ELSE 1.0
   FROM tok t LEFT JOIN stays s ON s.leaf = t.leaf AND s.pos = t.pos AND s.token = t.token GROUP BY t.leaf, t.line),
 told AS (SELECT s.text, s.no, len(s.tokens) AS n, CASE WHEN m.share >= 0.5 THEN 'T' || s.leaf || '/' || m.parts ELSE 'L' || s.line END AS template
   FROM shared s JOIN made m ON m.leaf = s.leaf AND m.line = s.line),
-candidates AS (SELECT * FROM told WHERE template IN (SELECT template FROM told GROUP BY template HAVING count(DISTINCT text) >= 5)),
+often AS (SELECT template, list(DISTINCT text ORDER BY text) AS block FROM told GROUP BY template HAVING count(DISTINCT text) >= 5),
+blocks AS (SELECT template, dense_rank() OVER (ORDER BY block) AS block FROM often),
+candidates AS (SELECT b.block, t.text, t.no, t.n FROM told t JOIN blocks b ON b.template = t.template),
 totals AS (SELECT text, sum(len(tokens)) AS total FROM k GROUP BY text),
-carriers AS (SELECT c.text FROM candidates c JOIN totals t ON t.text = c.text GROUP BY c.text, t.total HAVING 2 * sum(c.n) <= t.total),
-recurring AS (SELECT template FROM candidates WHERE text IN (SELECT text FROM carriers) GROUP BY template HAVING count(DISTINCT text) >= 5),
-gone AS (SELECT text, list(DISTINCT no) AS nos FROM candidates WHERE template IN (SELECT template FROM recurring) GROUP BY text),
+owed AS (SELECT text, block, sum(n) AS words, sum(sum(n)) OVER (PARTITION BY text) AS owed FROM candidates GROUP BY text, block),
+recurring AS (SELECT block FROM owed JOIN totals USING (text) WHERE total > owed AND total - owed >= owed - words GROUP BY block HAVING count(*) >= 5),
+gone AS (SELECT text, list(DISTINCT no) AS nos FROM candidates WHERE block IN (SELECT block FROM recurring) GROUP BY text),
 cut AS (SELECT d.doc_id, d.text, g.nos, string_split(d.text, chr(10)) AS ls FROM documents d LEFT JOIN gone g ON g.text = d.text)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE CAST(len(ls) AS BIGINT) END AS n_lines,
   CASE WHEN nos IS NULL THEN 0 ELSE CAST(len(nos) AS BIGINT) END AS n_dropped,

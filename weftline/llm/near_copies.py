@@ -1,138 +1,26 @@
-"""Near copies by exact Jaccard similarity of word shingles, their pairs found by MinHash bands.
+"""Groups of near copies for the pipeline: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Two texts are near copies if their sets of 5-word shingles (A-Z lower-cased; all words of a shorter text) have a Jaccard
-similarity of 0.8 or more. Pairs that share one of 25 bands of 5 minima are compared: a pair at 0.8 shares none with
-probability 5e-5, a more similar pair with less. Pairs found elsewhere (by SimHash, say) are compared as well. The comparison is
-exact, up to collisions of a 64-bit hash.
+Candidates and links are those of ``near_sets``, at which pairs found elsewhere (by SimHash, say) are compared as well.
 
-In a bucket (texts with equal band) of at most ``all_pairs`` texts all pairs are compared. In a larger one each text is compared
-to eight leaders, and then, in rounds with other leaders, where leader and text are in different components, until a round finds no link;
-so a dense group costs no quadratic output. Components are built once a round.
-
-Defined results: equal texts are one; texts without words are copies of each other.
+Defined results: equal texts are one; texts without words are copies of each other; texts of one set of shingles are copies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import count
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import near_sets
 from weftline.llm.common import Scratch
-from weftline.llm.components import components
-
-WORDS, BANDS, ROWS = 5, 25, 5
-#: Leaders of a large bucket in a round.
-LEADERS = 8
-CHUNK = 1 << 12
-_RNG = np.random.default_rng(7)
-_MUL = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
-_MIX = _RNG.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Distinct 64-bit hashes of a UTF-8 text's word shingles."""
-    w = (text or b"").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    if len(w) < words:
-        return np.array([digest(b" ".join(w), 42)], np.uint64)
-    joined, n = b" ".join(w), len(w) - words + 1
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-    starts = np.concatenate(([0], ends[: n - 1])).tolist()
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())), np.uint64, n))
-
-
-def bands(own: np.ndarray) -> np.ndarray:
-    """One hash per band of the minima of a set."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), CHUNK):
-        h = own[k : k + CHUNK] * _MUL + _ADD
-        np.minimum(least, (h ^ (h >> np.uint64(29))).min(axis=1), out=least)
-    key = np.bitwise_xor.reduce((least.reshape(BANDS, ROWS) >> np.uint64(7)) * _MIX, axis=1)
-    return (key << np.uint64(5)) ^ np.arange(BANDS, dtype=np.uint64)
-
 
-def _signatures(texts: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(x.as_py()) for x in b.column(1)]
-            keys = [bands(s).view(np.int64) for s in sets]
-            yield pa.record_batch([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["txt", "n", "keys"])
+WORDS = 5
 
-    return texts.select("txt", F.col("text").cast("binary").alias("text")).mapInArrow(run, "txt long, n long, keys array<long>")
 
-
-def _sets(texts: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(x.as_py()).view(np.int64) for x in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["txt", "own"])
-
-    return texts.select("txt", F.col("text").cast("binary").alias("text")).mapInArrow(run, "txt long, own array<long>")
-
-
-def roots(docs: DataFrame, all_pairs: int = 32, more: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """(txt, root): of every text's hash that has near copies the smallest one of its component. more: pairs (u, v) to be compared besides."""
+def roots(docs: DataFrame, more: DataFrame | None = None, words: int = WORDS, scratch: Scratch | None = None) -> DataFrame:
+    """(txt, root): for every text's hash the number of its group. more: pairs (u, v) of text hashes to be compared besides."""
     scratch = scratch or Scratch(docs.sparkSession, "near-copies")
-    texts = docs.select(F.xxhash64("text").alias("txt"), "text")
-    signed = scratch.save(_signatures(texts), "signatures")
-    rows = signed.groupBy("txt").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("txt", "n", F.explode("keys").alias("key"))
-    rows = scratch.save(rows, "rows")
-    sizes = scratch.save(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    rows = scratch.save(rows.join(sizes, "key"), "shared")
-    some = rows.select("txt")
-    if more is not None:
-        size = signed.groupBy("txt").agg(F.first("n").alias("n"))
-        for x in "uv":
-            more = more.join(size.withColumnsRenamed({"txt": x, "n": f"n_{x}"}), x)
-        more = scratch.save(more.select("u", "n_u", "v", "n_v"), "more")
-        some = some.union(more.select("u")).union(more.select("v"))
-    scratch.drop("signatures", "rows")
-    some = scratch.save(some.distinct(), "some")
-    sets = texts.join(some.hint("merge"), "txt", "left_semi").groupBy("txt").agg(F.min("text").alias("text"))
-    sets = scratch.save(_sets(sets), "sets")
-
-    def alike(pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs (u, n_u, v, n_v) those that are near copies."""
-        pairs = scratch.save(pairs.filter("u <> v and 5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)").select("u", "v").distinct(), f"{name}-pairs")
-        one = pairs.join(sets.select(F.col("txt").alias("u"), F.col("own").alias("a")), "u")
-        both = one.join(sets.select(F.col("txt").alias("v"), F.col("own").alias("b")), "v")
-        return scratch.save(both.filter("9 * size(array_intersect(a, b)) >= 4 * (size(a) + size(b))").select("u", "v"), name)
-
-    few = rows.filter(F.col("size") <= all_pairs)
-    left, right = (few.select("key", F.col("txt").alias(x), F.col("n").alias(f"n_{x}")) for x in "uv")
-    pairs = left.join(right, "key").filter("u < v").select("u", "n_u", "v", "n_v")
-    links = alike(pairs if more is None else pairs.unionByName(more), "few")
-    many = rows.filter(F.col("size") > all_pairs)
-
-    def met(placed: DataFrame, k: int) -> DataFrame | None:
-        """Links of texts to the leaders of their bucket that are in other components; None if no bucket has two."""
-        turns = [F.xxhash64(F.lit(LEADERS * k + j), "txt") if k + j else F.col("txt") for j in range(LEADERS)]  # the very first leader is common to the bands
-        firsts = F.array_distinct(F.array(*[F.min(F.struct(turn.alias("turn"), F.struct(F.col("txt").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v")).alias("lead")))["lead"] for turn in turns]))
-        lead = placed.groupBy("key").agg(firsts.alias("leads"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        lead = scratch.save(lead.select("key", F.inline("leads")), f"lead{k}", free=False)
-        if lead.isEmpty():
-            return None
-        return alike(placed.join(lead, "key").filter("root <> root_v").select(F.col("txt").alias("u"), F.col("n").alias("n_u"), "v", "n_v"), f"new{k}")
-
-    new = met(many.withColumn("root", F.col("txt")), 0)
-    for k in count(1):
-        if new is not None:
-            links = scratch.save(links.unionByName(new), f"links{k}", free=False)
-        found = scratch.save(components(links, Scratch(docs.sparkSession, "components")), f"roots{k}", free=False)
-        if new is None:
-            break
-        placed = many.join(found.withColumnRenamed("node", "txt"), "txt", "left").withColumn("root", F.coalesce("root", "txt"))
-        new = met(scratch.save(placed, f"placed{k}", free=False), k)
-        if new is None or new.isEmpty():
-            break
-        links = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    return found.select(F.col("node").alias("txt"), "root")
+    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    signed = scratch.save(near_sets.sketches(texts, words), "signed")
+    found = near_sets.roots(signed, texts, words, scratch, more)
+    named = signed.groupBy("txt").agg(F.min("id").alias("id")).join(found, "id", "left")
+    return named.select("txt", F.coalesce("root", "id", F.xxhash64(F.lit("no words"))).alias("root"))
