@@ -146,6 +146,31 @@ def test_matching_uses_each_playlist_once(spark, sf_dir):
         assert (size[r["playlist_id"]] == 1 + r["test_id"] % 5) if r["exact"] else (size[r["playlist_id"]] > 1 + r["test_id"] % 5)
 
 
+def test_matching_leaves_no_place_that_a_larger_playlist_could_take(spark):
+    rng = np.random.default_rng(3)
+    for n, m in ((3, 2), (30, 25), (25, 60)):
+        sizes = [[10, 3, 3], [9, 8]] if n == 3 else [rng.integers(1, 12, n).tolist(), rng.integers(1, 12, m).tolist()]
+        tests = spark.createDataFrame(list(enumerate(sizes[0])), "test_id long, size long")
+        pool = spark.createDataFrame(list(enumerate(sizes[1])), "playlist_id long, size long")
+        rows = split.matching(tests, pool, repeats=1).collect()
+        assert all((sizes[0][r["test_id"]] == sizes[1][r["playlist_id"]]) == r["exact"] and sizes[0][r["test_id"]] <= sizes[1][r["playlist_id"]] for r in rows)
+        free = sorted(set(range(len(sizes[0]))) - {r["test_id"] for r in rows})
+        spare = sorted(set(range(len(sizes[1]))) - {r["playlist_id"] for r in rows})
+        assert len({r["playlist_id"] for r in rows}) == len(rows) and not any(sizes[1][p] >= sizes[0][t] for t in free for p in spare)
+
+
+def test_svd_of_a_badly_conditioned_matrix(spark):
+    rng = np.random.default_rng(9)
+    want = np.array([1.0, 1e-2, 1e-4, 1e-6, 1e-8])
+    a = np.linalg.qr(rng.normal(size=(40, 5)))[0] * want @ np.linalg.qr(rng.normal(size=(30, 5)))[0].T
+    m = spark.createDataFrame([(i, j, float(a[i, j]), 0) for i in range(40) for j in range(30)], COO)
+    us, s, v = latent.svd(m, rank=5, iterations=2, oversample=3)
+    assert np.allclose(s, want, rtol=1e-6, atol=0)
+    vs = np.stack([r["features"] for r in v.orderBy("id").collect()])
+    assert np.allclose(vs.T @ vs, np.eye(5), atol=1e-9)
+    assert np.allclose(np.stack([r["features"] for r in us.orderBy("id").collect()]) @ vs.T, a, atol=1e-12)
+
+
 def test_json_sources(spark, tmp_path):
     track = {"pos": 0, "track_uri": "t:1", "track_name": "x", "artist_uri": "a", "artist_name": "A", "album_uri": "l", "album_name": "L", "duration_ms": 5}
     (tmp_path / "p").mkdir()

@@ -9,13 +9,13 @@ from weftline.functions.text import hashed_order
 from weftline.sources.scratch import saved
 
 
-def numbered(df: DataFrame, *order: str, name: str = "idx", blocks: int = 64) -> DataFrame:
+def numbered(df: DataFrame, *order: str, name: str = "idx", blocks: int | None = None) -> DataFrame:
     """df with name, its rows' numbers from 0 in a total order, dense and unique.
 
-    The rows are dealt out once by ranges of their order, sorted inside each range, and written with their place. Places and the
+    The rows are dealt out once by ranges of their order (blocks: how many, else as many as shuffles have partitions), sorted inside each range, and written with their place. Places and the
     ranges' sizes are both read from that table, so they cannot follow different cut points, and no task sees all rows.
     """
-    own = [c for c in df.columns if c != name]
+    own, blocks = [c for c in df.columns if c != name], blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.select(own).repartitionByRange(blocks, *order).sortWithinPartitions(*order)
     dealt = saved(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered")  # (range << 33) + place
     part, place = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1)
@@ -24,12 +24,12 @@ def numbered(df: DataFrame, *order: str, name: str = "idx", blocks: int = 64) ->
     return dealt.withColumn("_part", part).join(F.broadcast(before), "_part").select(*own, (F.col("_first") + place).cast("long").alias(name))
 
 
-def permuted(df: DataFrame, *ids: str, seed: str = "0", name: str = "idx", blocks: int = 64) -> DataFrame:
+def permuted(df: DataFrame, *ids: str, seed: str = "0", name: str = "idx", blocks: int | None = None) -> DataFrame:
     """df with name, places from 0 of a shuffle of the whole table by MD5 of the seed and the ids, which tell its rows apart."""
     return numbered(df.withColumn("_turn", hashed_order(seed, *ids)), "_turn", *ids, name=name, blocks=blocks).drop("_turn")
 
 
-def first_seen(df: DataFrame, category: str, *order: str, blocks: int = 64) -> DataFrame:
+def first_seen(df: DataFrame, category: str, *order: str, blocks: int | None = None) -> DataFrame:
     """(category, idx): ids from 0 in the order in which categories first come; equal places by category."""
     firsts = df.filter(F.col(category).isNotNull()).groupBy(category).agg(F.min(F.struct(*order)).alias("_first_at"))
     return numbered(firsts, "_first_at", category, blocks=blocks).select(category, "idx")

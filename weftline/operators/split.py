@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import hashed_order
+from weftline.operators.dictionary import numbered
+from weftline.sources.scratch import saved
 
 
 def by_date(m: DataFrame, cut: int) -> DataFrame:
@@ -63,28 +65,35 @@ def sizes_met(wanted: DataFrame, pool: DataFrame) -> DataFrame:
     return met.groupBy("size", "wanted").agg(F.sum(F.when(F.col("pool_size") == F.col("size"), n).otherwise(0)).alias("equal"), F.sum(F.when(F.col("pool_size") > F.col("size"), n).otherwise(0)).alias("larger"))
 
 
-def _global_rank(df: DataFrame, order: Column) -> DataFrame:
-    """df with rank from 1 by falling size, then order: ranks within each size plus the number of larger ones."""
-    sizes = df.groupBy("size").agg(F.count("*").alias("_n"))
-    above = sizes.withColumn("_above", F.sum("_n").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    return df.join(F.broadcast(above), "size").withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy(order)) + F.col("_above"))  # one row a size
+def _ranked(df: DataFrame, *ids: str) -> DataFrame:
+    """df with rank from 1 by falling size, then hash order, and k, the rank within its size; no size is ranked in one task."""
+    dealt = numbered(df.withColumn("_down", -F.col("size")), "_down", "_h", *ids, name="rank").withColumn("rank", F.col("rank") + 1).drop("_down")
+    sizes = dealt.groupBy("size").agg((F.min("rank") - 1).alias("_above"))
+    return dealt.join(F.broadcast(sizes), "size").withColumn("k", F.col("rank") - F.col("_above")).drop("_above")  # one row a size
 
 
 def matching(tests: DataFrame, pool: DataFrame, repeats: int = 3) -> DataFrame:
     """(test_id, repeat, playlist_id, exact): playlists of the pool (playlist_id, size) shaped like the tests (test_id, size).
 
-    Each test has ``repeats`` places, to which different playlists of just its size go; places left over take playlists left
-    over, the largest first, if they are larger than the test. Everything is in the order of a hash, so that the outcome
-    depends on no timing.
+    Each test has ``repeats`` places, to which different playlists of just its size go. Places left over take larger playlists left over, as
+    many as can be: from the largest size down, each size fills what places the larger playlists not yet taken allow, so no place stays free
+    while a larger playlist does. With S the running number of places and O that of larger playlists, that number is S + min(0, least O - S so
+    far). The filled places and the playlists meet by rank. Everything is in the order of a hash, so that the outcome depends on no timing.
     """
     places = tests.select("test_id", "size", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).withColumn("_h", hashed_order("slot", "test_id", "repeat"))
     offers = pool.select("playlist_id", "size").withColumn("_h", hashed_order("pool", "playlist_id"))
-    in_size = F.row_number().over(Window.partitionBy("size").orderBy("_h")).alias("k")
-    places, offers = places.select("*", in_size), offers.select("*", in_size)
-    exact = places.join(offers.select("playlist_id", "size", "k"), ["size", "k"])
-    left_places = _global_rank(places.join(exact.select("test_id", "repeat"), ["test_id", "repeat"], "left_anti"), F.col("_h"))
-    left_offers = _global_rank(offers.join(exact.select("playlist_id"), "playlist_id", "left_anti"), F.col("_h"))
-    larger = left_places.join(left_offers.select("playlist_id", F.col("size").alias("offered"), "rank"), "rank").filter("offered > size")
+    places, offers = _ranked(places, "test_id", "repeat").drop("rank"), _ranked(offers, "playlist_id").drop("rank")
+    exact = saved(places.join(offers.select("playlist_id", "size", "k"), ["size", "k"]).select("test_id", "repeat", "playlist_id"), "exact")
+    left_places = _ranked(places.drop("k").join(exact.select("test_id", "repeat"), ["test_id", "repeat"], "left_anti"), "test_id", "repeat")
+    left_offers = _ranked(offers.drop("k").join(exact.select("playlist_id"), "playlist_id", "left_anti"), "playlist_id")
+    offered = left_offers.groupBy("size").agg(F.lit(0).cast("long").alias("places"), F.count("*").alias("offers"))
+    both = left_places.groupBy("size").agg(F.count("*").alias("places"), F.lit(0).cast("long").alias("offers")).unionByName(offered).groupBy("size").agg(F.sum("places").alias("places"), F.sum("offers").alias("offers"))
+    down = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)  # over one row a size
+    both = both.select("size", F.sum("places").over(down).alias("s"), (F.sum("offers").over(down) - F.col("offers")).alias("o"))
+    filled = both.select("size", (F.col("s") + F.least(F.lit(0), F.min(F.col("o") - F.col("s")).over(down))).alias("c"))
+    filled = filled.select("size", "c", F.coalesce(F.lag("c").over(Window.orderBy(F.desc("size"))), F.lit(0)).alias("before"))
+    taken = left_places.join(F.broadcast(filled), "size").filter(F.col("before") + F.col("k") <= F.col("c")).select("test_id", "repeat", (F.col("before") + F.col("k")).alias("rank"))
+    larger = taken.join(left_offers.select("playlist_id", "rank"), "rank")
     named = lambda df, is_exact: df.select("test_id", F.col("repeat").cast("long").alias("repeat"), "playlist_id", F.lit(is_exact).alias("exact"))
     return named(exact, True).unionByName(named(larger, False))
 

@@ -243,26 +243,38 @@ def submission(v: Views) -> DataFrame:
     return submission_lines(blended(v).select(F.col("playlist_id").alias("pid"), "rank", F.concat(F.lit("x:track:"), "song_id").alias("uri")))
 
 
-COLD = f"""{POP}, cold AS (SELECT playlist_id FROM pl WHERE is_test AND playlist_id NOT IN (SELECT row_id FROM train)), top AS (SELECT song_id, row_number() OVER (ORDER BY round(popularity, 9) DESC, song_id) AS rank FROM pop QUALIFY rank <= 100),
-named AS (SELECT playlist_id FROM cold QUALIFY row_number() OVER (ORDER BY md5(concat_ws('#', 'cold', playlist_id)), playlist_id) > count(*) OVER () // 2),
-nl AS (SELECT playlist_id, song_id, round(list_inner_product(u[1:32], v[1:32]), 6) AS score FROM named JOIN uf USING (playlist_id), vf),
+COLD = f"""{POP}, cold AS (SELECT playlist_id, name FROM pl WHERE is_test AND playlist_id NOT IN (SELECT row_id FROM train)), top AS (SELECT song_id, row_number() OVER (ORDER BY round(popularity, 9) DESC, song_id) AS rank FROM pop QUALIFY rank <= 100)"""
+COLD_LISTS = """nl AS (SELECT playlist_id, song_id, round(list_inner_product(u[1:32], v[1:32]), 6) AS score FROM named JOIN uf USING (playlist_id), vf),
 nm AS (SELECT playlist_id, song_id, row_number() OVER (PARTITION BY playlist_id ORDER BY score DESC, song_id) AS rank FROM nl QUALIFY rank <= 100)
 SELECT playlist_id, song_id, rank FROM nm UNION ALL SELECT playlist_id, song_id, rank FROM cold, top WHERE playlist_id NOT IN (SELECT playlist_id FROM nm)"""
 
 
-def cold_lists(v: Views, u: DataFrame, w: DataFrame, n: int) -> DataFrame:
-    """Lists for playlists without seeds: by the product of their name's factors with the songs' for those with a name, for the others what is popular.
+def cold_lists(v: Views, u: DataFrame, w: DataFrame, n: int, named: DataFrame | None = None) -> DataFrame:
+    """Lists for playlists without seeds: by the product of their name's factors with the songs' for every one with a name, for the others what is popular.
 
-    Half of them have lost their name, as it is done to challenge playlists with a few seeds.
+    named: which have one, in place of the playlists' own names.
     """
-    cold = cold_start_rows(v).withColumn("all", F.lit(1))
-    named = saved(split.drop_half(cold, "all", "cold").select("playlist_id"), "named")
+    cold = cold_start_rows(v)
+    named = v.playlists.filter("name is not null") if named is None else named
+    named = saved(cold.join(named.select("playlist_id"), "playlist_id", "left_semi"), "named")
     users = u.join(named, "playlist_id", "left_semi").select("playlist_id", F.col("name_u").alias("u"))
     seen = v.train.select(F.col("row_id").alias("playlist_id"), F.col("col_id").alias("song_id"))
     ranked = recommend.latent_topn(users, w.select("song_id", F.col("name_v").alias("v")), seen, n)
     return recommend.cold_start(cold, ranked, popularity(v), n)
 
 
-@query("cold_start", COLD, hold=True)
+@query("cold_start", f"{COLD}, named AS (SELECT playlist_id FROM cold WHERE name IS NOT NULL), {COLD_LISTS}", hold=True)
 def cold_start(v: Views) -> DataFrame:
     return cold_lists(v, v.playlist_factors(), v.song_factors(), 100)
+
+
+@query(
+    "cold_start_names_lost",
+    f"{COLD}, named AS (SELECT playlist_id FROM cold QUALIFY row_number() OVER (ORDER BY md5(concat_ws('#', 'cold', playlist_id)), playlist_id) > count(*) OVER () // 2), {COLD_LISTS}",
+    hold=True,
+)
+def cold_start_names_lost(v: Views) -> DataFrame:
+    """The same where a splitter has taken the names of half of them."""
+    cold = dictionary.permuted(cold_start_rows(v), "playlist_id", seed="cold", name="place")
+    kept = cold.filter(F.col("place") >= F.lit(cold.count() // 2))
+    return cold_lists(v, v.playlist_factors(), v.song_factors(), 100, kept)

@@ -101,9 +101,13 @@ def size_match(v: Views) -> DataFrame:
 MATCH = f"""{SIZES}, slot AS (SELECT test_id, size, rep AS repeat, md5(concat_ws('#', 'slot', test_id, rep)) AS h FROM ts, range(3) t(rep)),
 s1 AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY h) AS k FROM slot), p0 AS (SELECT *, md5(concat_ws('#', 'pool', playlist_id)) AS h FROM ps), p1 AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY h) AS k FROM p0),
 ex AS (SELECT test_id, repeat, playlist_id FROM s1 JOIN p1 USING (size, k)),
-s2 AS (SELECT *, row_number() OVER (ORDER BY size DESC, h) AS rk FROM s1 WHERE (test_id, repeat) NOT IN (SELECT (test_id, repeat) FROM ex)),
+s2 AS (SELECT * FROM s1 WHERE (test_id, repeat) NOT IN (SELECT (test_id, repeat) FROM ex)),
 p2 AS (SELECT *, row_number() OVER (ORDER BY size DESC, h) AS rk FROM p1 WHERE playlist_id NOT IN (SELECT playlist_id FROM ex)),
-mt AS (SELECT test_id, repeat, playlist_id, true AS exact FROM ex UNION ALL SELECT test_id, repeat, playlist_id, false FROM s2 JOIN p2 USING (rk) WHERE p2.size > s2.size)"""
+q AS (SELECT size, sum(count(*)) OVER (ORDER BY size DESC) AS s, (SELECT count(*) FROM p2 WHERE p2.size > s2.size) AS o FROM s2 GROUP BY size),
+c AS (SELECT size, s + least(0, min(o - s) OVER (ORDER BY size DESC)) AS c FROM q),
+b AS (SELECT size, c, coalesce(lag(c) OVER (ORDER BY size DESC), 0) AS before FROM c),
+s3 AS (SELECT test_id, repeat, before + row_number() OVER (PARTITION BY size ORDER BY h) AS rk FROM s2 JOIN b USING (size) QUALIFY rk <= c),
+mt AS (SELECT test_id, repeat, playlist_id, true AS exact FROM ex UNION ALL SELECT test_id, repeat, playlist_id, false FROM s3 JOIN p2 USING (rk))"""
 
 
 @query("split_matching", f"{MATCH} SELECT * FROM mt", hold=True)
