@@ -206,4 +206,4 @@ def test_trees_learn(spark):
     model = stage2.train_trees(rows, ["a", "b"], rounds=3, depth=2)
     top = stage2.reranked(model, rows.filter("playlist_id < 7").withColumn("playlist_id", F.lit(0).cast("long")), 3)
     assert {r["song_id"] for r in top.collect()} == {4, 5, 6}
-    assert sum(r["splits"] for r in stage2.importance(model, ["a", "b"], spark).collect()) > 0
+    assert sum(r["splits"] for r in model.importance(spark).collect()) > 0

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import dense, latent, recommend, split, stage2
+from weftline.operators import boosting, dense, latent, recommend, split, stage2
 from weftline.plans.views import Views
 from weftline.sources import playlists as src
 from weftline.sources import scratch
@@ -97,11 +97,11 @@ def test_album_bags_and_a_saved_model(spark, tmp_path):
     assert size == 2 and own[0] == [1, 0] and own[1] == [0, 1] and own[59] == [0, 0]
     rows = vectors.join(spark.createDataFrame([(k, k, int(k % 2), float(rng.random())) for k in range(60)], "playlist_id long, song_id long, label long, x double"), "playlist_id")
     model = stage2.train_trees(rows, ["x", "album_bag"], rounds=2, depth=2, vectors={"album_bag": size})
-    stage2.save_model(model, str(tmp_path / "m"))
-    again = stage2.load_model(str(tmp_path / "m"))
+    model.save(spark, str(tmp_path / "m"))
+    again = boosting.PairwiseTrees.load(spark, str(tmp_path / "m"))
     scored = lambda m: {(r["playlist_id"], r["score"]) for r in stage2.reranked(m, rows, 5).collect()}
     assert scored(model) == scored(again) and stage2.auc(again, rows) > 0.95
-    assert {r["feature"] for r in stage2.importance(model, ["x", "album_bag"], spark).collect()} == {"x", "album_bag", "album_bag_1"}
+    assert {r["feature"] for r in model.importance(spark).collect()} == {"x", "album_bag", "album_bag_1"}
 
 
 def test_held_views_equal_the_others(spark, sf_dir):

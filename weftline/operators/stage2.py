@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import hashed_order
-from weftline.operators import dense, rank
+from weftline.operators import boosting, dense, rank
+from weftline.operators.dictionary import numbered
 
 AUDIO_MEANS = "acousticness danceability energy instrumentalness liveness loudness mode speechiness tempo time_signature valence".split()
 
@@ -139,50 +138,30 @@ def album_bags(playlists: DataFrame, bags: DataFrame, kept: DataFrame) -> tuple[
     return playlists.select("playlist_id").join(cells, "playlist_id", "left").select("playlist_id", array_to_vector(bag).alias("album_bag")), size
 
 
-def train_trees(rows: DataFrame, columns: list[str], rounds: int = 150, depth: int = 10, step: float = 0.1, share: str = "0.6", vectors: dict[str, int] | None = None):
-    """Gradient-boosted trees on the label over numbers and vectors (with their lengths). The pairwise ranking loss over one group is close to the AUC, for which the logistic loss stands here."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler, VectorSizeHint
-
-    hints = [VectorSizeHint(inputCol=c, size=n, handleInvalid="optimistic") for c, n in (vectors or {}).items()]
-    trees = GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=step, featureSubsetStrategy=share, seed=1)
-    return Pipeline(stages=[*hints, VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), trees]).fit(rows)
-
-
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str):
-    from pyspark.ml import PipelineModel
-
-    return PipelineModel.load(path)
-
-
-def auc(model, rows: DataFrame) -> float:
-    """Area under the ROC curve of a fitted pipeline on labelled rows."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+def train_trees(rows: DataFrame, columns: list[str], rounds: int = 150, depth: int = 10, step: float = 0.1, share: float = 0.6, vectors: dict[str, int] | None = None, **options) -> boosting.PairwiseTrees:
+    """Boosted trees on the pairwise loss of the label over numbers and vectors (with their lengths); all rows are one group."""
+    return boosting.fit(rows, columns, rounds, depth, step, share, vectors, **options)
 
-    return BinaryClassificationEvaluator(labelCol="label").evaluate(model.transform(rows))
 
+def area(scored: DataFrame) -> float:
+    """Area under the ROC curve of rows (label, score), from running counts over the distinct scores."""
+    by = scored.groupBy("score").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).alias("neg"))
+    placed = numbered(by, "score", name="at")
+    part = F.floor(F.col("at") / 4096).alias("part")  # running sums inside parts, whose totals are added up
+    totals = placed.groupBy(part).agg(F.sum("neg").alias("n"))
+    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum("neg").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = placed.withColumn("part", part).withColumn("own", own).join(before, "part")
+    r = below.agg(F.sum(F.col("pos") * (F.col("before") + F.col("own") + F.col("neg") / 2)).alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    return float(r["a"] / (r["p"] * r["n"])) if r["p"] and r["n"] else float("nan")
 
-def reranked(model, rows: DataFrame, n: int) -> DataFrame:
-    """(playlist_id, song_id, score, rank) by the model's probability."""
-    from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(rows).select("playlist_id", "song_id", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
-    return rank.topn(scored, n)
+def auc(model: boosting.PairwiseTrees, rows: DataFrame) -> float:
+    """Area under the ROC curve of a model on labelled rows."""
+    return area(model.transform(rows).select("label", "score"))
 
 
-def importance(model, columns: list[str], spark) -> DataFrame:
-    """(feature, importance, splits) of a fitted pipeline: the gain's share and how many nodes split on it."""
-    trees = model.stages[-1]
-    splits = Counter()
-    for tree in trees.trees:
-        for line in tree.toDebugString.splitlines():
-            if line.strip().startswith("If (feature "):
-                splits[int(line.split("feature ")[1].split()[0])] += 1
-    gain = trees.featureImportances.toArray()
-    columns = [*columns, *[f"{columns[-1]}_{k}" for k in range(1, len(gain) - len(columns) + 1)]]  # the last column may be a vector
-    return spark.createDataFrame([(c, float(gain[k]), splits[k]) for k, c in enumerate(columns)], "feature string, importance double, splits long")
+def reranked(model: boosting.PairwiseTrees, rows: DataFrame, n: int) -> DataFrame:
+    """(playlist_id, song_id, score, rank) by the model's score."""
+    own = rows.drop("score") if "score" not in model.columns else rows
+    return rank.topn(model.transform(own).select("playlist_id", "song_id", "score"), n)

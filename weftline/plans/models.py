@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators import coo, dictionary, latent, stage2
+from weftline.operators import boosting, coo, dictionary, latent, stage2
 from weftline.plans.features import audio_table
 from weftline.plans.ranking import BLEND, CANDIDATES, HID, STORED, UU, blended, cold_lists, hidden, metrics, uu
 from weftline.plans.registry import query, r6
@@ -358,7 +358,7 @@ def _model(v: Views, candidates: DataFrame, u: DataFrame, w: DataFrame, rounds:
 def gbdt_fit(v: Views) -> DataFrame:
     u, w = v.playlist_factors(), v.song_factors()
     model, columns, _ = _model(v, saved(blended(v), "blended"), u, w)
-    return stage2.importance(model, columns, v.spark)
+    return model.importance(v.spark)
 
 
 def _reranked(v: Views, u: DataFrame, w: DataFrame, candidates: int, n: int) -> tuple[DataFrame, DataFrame, float]:
@@ -366,8 +366,8 @@ def _reranked(v: Views, u: DataFrame, w: DataFrame, candidates: int, n: int) ->
     found = saved(blended(v, u, w, candidates, n), "blended")
     model, _, valid = _model(v, found, u, w)
     path = folder(v.spark, "model")
-    stage2.save_model(model, path)
-    model = stage2.load_model(path)
+    model.save(v.spark, path)
+    model = boosting.PairwiseTrees.load(v.spark, path)
     rows = with_features(v, found, u, w)[0]
     return found, saved(stage2.reranked(model, rows, n), "reranked"), stage2.auc(model, valid)
 
