@@ -9,9 +9,9 @@ Buckets of more than ``SMALL`` texts lose nothing and never meet pair by pair. E
 buckets, and buckets of one leader are one family. Every text x of it is taken as its difference D(x) from the leader, which tells its
 similarity to the leader exactly. Let e(x) = |D(x)| - |x| / 9. Texts x and y are near copies just if |D(x) & D(y)| >= (e(x) + e(y)) / 2.
 So texts linked to the leader need no further link among each other, and each other text x shares at least (e(x) + least e) / 2
-elements of its difference with any near copy y. With the elements of a difference ordered by how rare they are in the family, two such
-texts share one among their first |D| - t + 1, where t is the least number to be shared, so only those are joined, by
-place (position filter), size, and a 256-bit parity map of the difference, whose bits in dispute two sets cannot outdo. A passage that a third of all texts share is in no difference, or comes last in all.
+elements of its difference with any near copy y. The elements of a difference have one order in a family: what the leader lacks comes
+first, as few others have it, then what the text lacks. Two near copies share one among their first |D| - t + 1, where t is the
+least number to be shared, so only those are joined, by place (position filter), size, and a 256-bit parity map of the difference, whose bits in dispute two sets cannot outdo. A passage that a third of all texts share is in no difference.
 
 Sets are told by a 64-bit hash and compared by 64-bit hashes of their shingles.
 """
@@ -134,7 +134,7 @@ def _families(many: DataFrame, own: DataFrame, scratch: Scratch) -> tuple[DataFr
     leads = leads.select("leader", "lead", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     dealt = family.join(sizes, "leader").select("leader", "id", F.pmod(F.xxhash64("id"), "copies").cast("int").alias("copy"))
     met = dealt.join(own, "id").join(leads, ["leader", "copy"])
-    met = met.select("leader", "id", F.size("own").cast("long").alias("n"), F.size("lead").alias("n_lead"), F.concat(F.array_except("own", "lead"), F.array_except("lead", "own")).alias("d"))
+    met = met.select("leader", "id", F.size("own").cast("long").alias("n"), F.size("lead").alias("n_lead"), F.concat(F.array_sort(F.array_except("own", "lead")), F.array_sort(F.array_except("lead", "own"))).alias("d"))
     of = lambda k: F.aggregate(F.filter("d", lambda x: F.shiftright(x, 6).bitwiseAND(3) == k), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
     met = met.withColumn("parity", F.array(*map(of, range(4))))
     met = met.withColumn("e", 9 * F.size("d").cast("long") - F.col("n"))  # nine times e(x)
@@ -142,14 +142,8 @@ def _families(many: DataFrame, own: DataFrame, scratch: Scratch) -> tuple[DataFr
     to_leaders = met.filter("not open").select(F.col("leader").alias("u"), F.col("id").alias("v"))
 
     least = met.groupBy("leader").agg(F.min("e").alias("least"), F.min(F.when(F.col("open"), F.col("e"))).alias("least_open"))
-    held = met.join(scratch.save(least.filter("least_open is not null"), "family-least"), "leader")
-    el = scratch.save(held.select("leader", "id", "n", "e", "open", "parity", "least", "least_open", F.explode("d").alias("el")), "elements")
-    often = scratch.save(el.groupBy("leader", "el").agg(F.count("*").alias("f")), "often")
-    by_rarity = F.transform(F.sort_array(F.collect_list(F.struct("f", "el"))), lambda x: x["el"])
-    same = [F.first(c).alias(c) for c in ("n", "e", "open", "parity", "least", "least_open")]
-    placed = el.join(often, ["leader", "el"]).groupBy("leader", "id").agg(by_rarity.alias("d"), *same)
-    placed = scratch.save(placed.withColumn("size", F.size("d")), "placed")
-    scratch.drop("elements")
+    placed = met.join(least.filter("least_open is not null"), "leader").withColumn("size", F.size("d"))
+    placed = scratch.save(placed, "placed")
 
     def prefix(rows: DataFrame, least: str, x: str) -> DataFrame:
         t = F.expr(f"greatest(1, cast(ceil((e + {least}) / 18) as int), size - cast(floor(n / 4) as int))")
