@@ -6,10 +6,11 @@ before every self-join, and products are joins on the shared column with pre-agg
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import coo, rank
+from weftline.operators import coo, dense, rank
+from weftline.operators.dictionary import numbered
 from weftline.sources.scratch import saved
 
 
@@ -25,14 +26,48 @@ def with_names(train: DataFrame, names: DataFrame) -> DataFrame:
     return songs.unionByName(names.filter("name is not null").select(F.col("playlist_id").alias("row_id"), F.concat(F.lit("n"), "name").alias("key"), F.lit(1.0).alias("value")))
 
 
-def neighbours(train: DataFrame, names: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """(playlist_id, other, sim): the k playlists closest to each target, itself included, over songs and names."""
+def neighbours(train: DataFrame, names: DataFrame, targets: DataFrame, k: int, long_list: int = 16_384) -> DataFrame:
+    """(playlist_id, other, sim): the k playlists closest to each target, itself included, over songs and names; exact for every long_list.
+
+    A column (song or name) is a list of playlists. Lists of more than long_list are left for the end: the other ones give each target a floor, the similarity of its k-th neighbour so far.
+    A list adds at most the target's value times the list's largest, so as long as these bounds of a target's long lists, smallest first, add up to less than the floor, nobody can
+    become a neighbour by them alone; they are looked up only for playlists whose sum and bounds reach the floor. Long lists beyond that are met in blocks of long_list.
+    """
     x = with_names(train, names).withColumnRenamed("key", "col_id")
     x = saved(coo.normalize(coo.normalize(x, "row_id"), "col_id", least=1e-10), "normalised")  # it meets itself
-    own = x.join(targets.select(F.col("playlist_id").alias("row_id")), "row_id", "left_semi")
-    left = own.select(F.col("row_id").alias("playlist_id"), "col_id", F.col("value").alias("a"))
-    sim = left.join(x.select(F.col("row_id").alias("other"), "col_id", "value"), "col_id").groupBy("playlist_id", "other").agg(F.round(F.sum(F.col("a") * F.col("value")), 6).alias("sim"))
-    return rank.topn(sim, k, item="other", score="sim").select("playlist_id", "other", "sim")
+    own = x.join(targets.select(F.col("playlist_id").alias("row_id")).distinct(), "row_id", "left_semi").select(F.col("row_id").alias("playlist_id"), "col_id", F.col("value").alias("a"))
+    lists = saved(x.groupBy("col_id").agg(F.count("*").alias("n"), F.max(F.abs("value")).alias("most")).filter(F.col("n") > long_list), "long-lists")
+    met = x.select(F.col("row_id").alias("other"), "col_id", "value")
+    if not lists.limit(1).count():
+        return _nearest(own.join(met, "col_id").groupBy("playlist_id", "other").agg(F.sum(F.col("a") * F.col("value")).alias("s")), k)
+    short = own.join(lists, "col_id", "left_anti").join(met, "col_id").groupBy("playlist_id", "other").agg(F.sum(F.col("a") * F.col("value")).alias("s"))
+    short = saved(short, "short-sums")
+    floor = rank.topn(short, k, item="other", score="s").groupBy("playlist_id").agg(F.when(F.count("*") == k, F.min("s")).alias("floor"))
+    upto = Window.partitionBy("playlist_id").orderBy("bound", "col_id").rowsBetween(Window.unboundedPreceding, 0)
+    bounds = own.join(lists, "col_id").withColumn("bound", F.abs("a") * F.col("most")).join(floor, "playlist_id", "left")
+    late = F.coalesce(F.sum("bound").over(upto) < F.col("floor") - SLACK, F.lit(False))
+    bounds = saved(bounds.select("playlist_id", "col_id", "a", "n", "bound", "floor", late.alias("late")), "bounds")
+
+    blocks = F.ceil(F.col("n") / long_list)
+    due = bounds.filter("not late").select("playlist_id", "col_id", "a", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    cut = met.join(lists.select("col_id", "n"), "col_id").select("other", "col_id", "value", F.pmod(F.xxhash64("other"), blocks).alias("block"))
+    early = due.join(cut, ["col_id", "block"]).select("playlist_id", "other", (F.col("a") * F.col("value")).alias("s"))
+    so_far = short.unionByName(early).groupBy("playlist_id", "other").agg(F.sum("s").alias("s"))
+
+    rest = bounds.filter("late").groupBy("playlist_id").agg(F.sum("bound").alias("rest"), F.first("floor").alias("floor"))
+    left = so_far.join(rest, "playlist_id", "left").filter(F.col("rest").isNull() | (F.col("s") + F.col("rest") >= F.col("floor") - SLACK)).select("playlist_id", "other", "s")
+    left = saved(left, "survivors")
+    asked = left.join(bounds.filter("late").select("playlist_id", "col_id", "a"), "playlist_id").select("playlist_id", "other", "col_id", "a")
+    more = asked.join(met, ["other", "col_id"]).select("playlist_id", "other", (F.col("a") * F.col("value")).alias("s"))
+    return _nearest(left.unionByName(more).groupBy("playlist_id", "other").agg(F.sum("s").alias("s")), k)
+
+
+#: Similarities and scores are compared after rounding to six places; bounds leave room for that.
+SLACK = 2e-6
+
+
+def _nearest(sums: DataFrame, k: int) -> DataFrame:
+    return rank.topn(sums.select("playlist_id", "other", F.round("s", 6).alias("sim")), k, item="other", score="sim").select("playlist_id", "other", "sim")
 
 
 def user_user(train: DataFrame, near: DataFrame, n: int, exponent: float = -0.1) -> DataFrame:
@@ -46,7 +81,7 @@ def user_user(train: DataFrame, near: DataFrame, n: int, exponent: float = -0.1)
 def item_item(train: DataFrame, candidates: DataFrame, exponent: float = -0.4) -> DataFrame:
     """(playlist_id, song_id, score) of candidate pairs: the mean normalised row of the playlist's songs times the song's own row."""
     x = coo.transpose(train.select("row_id", "col_id", "value"))
-    x = coo.normalize(coo.normalize(x, "col_id", least=1e-10), "row_id")
+    x = saved(coo.normalize(coo.normalize(x, "col_id", least=1e-10), "row_id"), "item-rows")  # row_average reads it twice
     members = train.join(candidates.select(F.col("playlist_id").alias("row_id")).distinct(), "row_id", "left_semi").select(F.col("row_id").alias("group_id"), F.col("col_id").alias("row_id"))
     profile = coo.row_average(x, members).select(F.col("group_id").alias("playlist_id"), F.col("col_id").alias("other"), F.col("value").alias("p"))
     raw = train.select(F.col("row_id").alias("other"), F.col("col_id").alias("song_id"), "value")
@@ -66,22 +101,41 @@ def blend(scores: DataFrame, n: int, weights: tuple[float, ...] = WEIGHTS, colum
     return rank.topn(scores.withColumn("score", F.round(total, 6)), n)
 
 
-def latent_topn(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, user_block: int = 1024, item_block: int = 4096) -> DataFrame:
-    """(playlist_id, song_id, score, rank): for every playlist of users the n unseen songs with the largest u . v.
+def _by_norm(items: DataFrame, item_block: int) -> DataFrame:
+    """(song_id, v, norm, ib): songs in blocks of item_block by falling length of their factors."""
+    sized = items.filter("v is not null").select("song_id", "v", (-F.sqrt(dense.dot("v", "v"))).alias("less"))
+    return numbered(sized, "less", "song_id").select("song_id", "v", (-F.col("less")).alias("norm"), F.floor(F.col("idx") / item_block).cast("long").alias("ib"))
 
-    Blocks of playlists meet blocks of songs; each meeting is one matrix product whose best n a playlist (and as many more as it has
-    seen) leave the task. Neither side is ever whole in one place.
-    """
-    import numpy as np
-    import pandas as pd
 
-    counted = items.count(), users.count()
-    item_blocks, user_blocks = (-(-c // b) or 1 for c, b in zip(counted, (item_block, user_block)))
+def _first_lists(u: DataFrame, songs: DataFrame, seen: DataFrame, n: int, best) -> DataFrame:
+    """(playlist_id, song_id, score, rank) over the first block of songs, which every task of playlists takes along: item_block rows at most."""
+    head = songs.filter("ib = 0").select("song_id", "v").toPandas()
+
+    def run(batches):
+        for left in batches:
+            yield best(left.assign(floor=float("-inf")), head)
+
+    return saved(rank.topn(rank.exclude(u.mapInPandas(run, "playlist_id long, song_id long, score double"), seen), n), "first-lists")
+
+
+def _needs(u: DataFrame, first: DataFrame, songs: DataFrame, n: int) -> DataFrame:
+    """u with floor, its n-th score so far, and last, the last block whose longest song could reach it (|u . v| <= |u| |v|)."""
+    most = [r["most"] for r in songs.groupBy("ib").agg(F.max("norm").alias("most")).orderBy("ib").collect()]  # a number a block
+    floor = first.groupBy("playlist_id").agg(F.when(F.count("*") >= n, F.min("score")).alias("floor"))
+    u = u.join(floor, "playlist_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    reach = F.filter(F.array(*map(F.lit, most[1:])).cast("array<double>"), lambda x: x * F.sqrt(dense.dot("u", "u")) >= F.col("floor") - SLACK)
+    return u.withColumn("last", F.size(reach))
+
+
+def _dealt(users: DataFrame, seen: DataFrame) -> DataFrame:
     n_seen = seen.groupBy("playlist_id").agg(F.count("*").cast("int").alias("n_seen"))
-    u = users.join(n_seen, "playlist_id", "left").select("playlist_id", "u", F.coalesce("n_seen", F.lit(0)).alias("n_seen"), F.pmod(F.xxhash64("playlist_id"), F.lit(user_blocks)).alias("ub"))
-    u = u.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)).cast("array<bigint>")))
-    v = items.select("song_id", "v", F.pmod(F.xxhash64("song_id"), F.lit(item_blocks)).alias("ib"))
-    v = v.withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1)).cast("array<bigint>")))
+    return users.filter("u is not null").join(n_seen, "playlist_id", "left").select("playlist_id", "u", F.coalesce("n_seen", F.lit(0)).alias("n_seen"))
+
+
+def _best(n: int):
+    """The n best songs (and as many more as were seen) of each playlist of a block, if they reach its floor."""
+    import numpy as np
+    import pandas as pd
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -90,13 +144,39 @@ def latent_topn(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, use
         ids = right["song_id"].to_numpy()
         scores = np.round(np.stack(left["u"].to_list()) @ np.stack(right["v"].to_list()).T, 6)
         out = []
-        for pid, more, row in zip(left["playlist_id"], left["n_seen"], scores):
-            order = np.lexsort((ids, -row))[: n + more]
+        for pid, more, floor, row in zip(left["playlist_id"], left["n_seen"], left["floor"], scores):
+            able = np.flatnonzero(row >= floor - SLACK)
+            order = able[np.lexsort((ids[able], -row[able]))[: n + more]]
             out.append(pd.DataFrame({"playlist_id": pid, "song_id": ids[order], "score": row[order]}))
         return pd.concat(out)
 
-    met = u.groupBy("ub", "ib").cogroup(v.groupBy("ub", "ib")).applyInPandas(best, "playlist_id long, song_id long, score double")
-    return rank.topn(rank.exclude(met, seen), n)
+    return best
+
+
+def latent_topn(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, user_block: int = 1024, item_block: int = 4096) -> DataFrame:
+    """(playlist_id, song_id, score, rank): for every playlist of users the n unseen songs with the largest u . v; rows without factors take no part.
+
+    Songs lie in blocks by falling length. All playlists meet the first block, which gives each a floor, its n-th score so far. As u . v is at most |u| |v|, a playlist then meets
+    only the blocks whose longest song could still reach its floor; blocks of playlists meet blocks of songs, and neither side is ever whole in one place. ``latent_blocks`` tells how many are met.
+    """
+    songs, best = saved(_by_norm(items, item_block), "songs-by-norm"), _best(n)
+    u = saved(_dealt(users, seen), "playlist-factors")
+    first = _first_lists(u, songs, seen, n, best)
+    user_blocks = -(-u.count() // user_block) or 1
+    need = _needs(u, first, songs, n).filter("last > 0").withColumn("ub", F.pmod(F.xxhash64("playlist_id"), F.lit(user_blocks)))
+    need = saved(need, "needs").withColumn("ib", F.explode(F.sequence(F.lit(1).cast("long"), F.col("last").cast("long"))))
+    meetings = saved(need.select("ub", "ib").distinct(), "meetings")
+    right = songs.join(meetings, "ib").select("ub", "ib", "song_id", "v")
+    met = need.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(best, "playlist_id long, song_id long, score double")
+    return rank.topn(first.drop("rank").unionByName(rank.exclude(met, seen)), n)
+
+
+def latent_blocks(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, item_block: int = 4096) -> DataFrame:
+    """(playlist_id, met, blocks): how many blocks of songs latent_topn multiplies a playlist with, of how many."""
+    songs, u = saved(_by_norm(items, item_block), "songs-by-norm"), _dealt(users, seen)
+    blocks = songs.agg(F.coalesce(F.max("ib") + 1, F.lit(0))).first()[0]
+    need = _needs(u, _first_lists(u, songs, seen, n, _best(n)), songs, n)
+    return need.select("playlist_id", (F.col("last") + min(blocks, 1)).cast("long").alias("met"), F.lit(blocks).cast("long").alias("blocks"))
 
 
 def cold_start(cold: DataFrame, named: DataFrame, popular: DataFrame, n: int) -> DataFrame:

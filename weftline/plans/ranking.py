@@ -123,6 +123,19 @@ def latent_topn(v: Views) -> DataFrame:
     return latent_lists(v).select("playlist_id", "song_id", "score", "rank")
 
 
+BLOCKS = f"""{TARGETS}, ib AS (SELECT song_id, v, sqrt(list_inner_product(v, v)) AS norm, (row_number() OVER (ORDER BY sqrt(list_inner_product(v, v)) DESC, song_id) - 1) // 256 AS ib FROM vf),
+f0 AS (SELECT playlist_id, round(list_inner_product(u, v), 6) AS score FROM tg JOIN uf USING (playlist_id), ib WHERE ib = 0 AND NOT EXISTS (FROM train WHERE row_id = playlist_id AND col_id = song_id)),
+fl AS (SELECT playlist_id, CASE WHEN count(*) = 10 THEN min(score) ELSE -1e300 END AS floor FROM (FROM f0 QUALIFY row_number() OVER (PARTITION BY playlist_id ORDER BY score DESC) <= 10) GROUP BY 1),
+mx AS (SELECT ib, max(norm) AS most FROM ib GROUP BY 1)"""
+
+
+@query("latent_blocks", f"{BLOCKS} SELECT playlist_id, 1 + (SELECT count(*) FROM mx WHERE ib > 0 AND most * sqrt(list_inner_product(u, u)) >= floor - 2e-6) AS met, (SELECT count(*) FROM mx) AS blocks FROM tg JOIN uf USING (playlist_id) JOIN fl USING (playlist_id)", hold=True)
+def latent_blocks(v: Views) -> DataFrame:
+    """What the bound leaves to multiply, for lists of ten over blocks of 256 songs."""
+    seen = v.train.select(F.col("row_id").alias("playlist_id"), F.col("col_id").alias("song_id"))
+    return recommend.latent_blocks(v.playlist_factors().join(targets(v), "playlist_id", "left_semi"), v.song_factors(), seen, 10, item_block=256)
+
+
 @query("blend", f"{BLEND} SELECT playlist_id, song_id, score, rank FROM bl", hold=True)
 def blend(v: Views) -> DataFrame:
     return blended(v).select("playlist_id", "song_id", "score", "rank")
