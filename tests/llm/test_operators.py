@@ -1,5 +1,8 @@
 """What the operators do beyond their queries."""
 
+import re
+import time
+
 import brute
 import hypothesis
 import numpy as np
@@ -354,6 +357,26 @@ def test_declarations_and_hosts_decide_where_text_is_silent(spark):
     assert got[99]["text_lang"] is None and got[99]["lang"] == "xde"
 
 
+#: The markup of well-formed pages by one pattern.
+MARKUP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+
+
+def test_visible_text_of_pages(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect():
+        assert language_id.visible(r["html"] or "") == MARKUP.sub(" ", r["html"] or "")
+    assert language_id.visible("a<b>c<!-- > -->d<SCRIPT>1<2</Script >e<style>f<!-- g") == "a c d e f !-- g"
+    assert language_id.visible("1 < 2") == "1 < 2" and language_id.visible("") == ""
+
+
+@pytest.mark.parametrize("part", ["<!--", "<script ", "<a ", "</style ", "<html ", "<html lang", "<"])
+def test_hostile_pages_take_no_longer(spark, part):
+    page, began = part * (1_000_000 // len(part)), time.time()
+    language_id.visible(page)
+    df = spark.createDataFrame([(1, "http://a.b/", page)], "page_id long, url string, html string")
+    assert language_id.identify(df, ["de", "en"], np.zeros((2, language_id.GRAMS))).count() == 1
+    assert time.time() - began < 30
+
+
 def test_languages_equal_plain_sums(spark, sf_dir):
     import html
 
@@ -361,7 +384,7 @@ def test_languages_equal_plain_sums(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").union(spark.createDataFrame([(-1, None, None), (-2, "HTTP://u@A.example.org:80/x?y", "<html lang='DE-at'>"), (-2, "x", "")], "page_id long, url string, html string"))
     got = language_id.identify(pages, langs, logs).collect()
     rows = [(r["html"], r["host"], ".".join(r["host"].split(".")[-2:]), r["host"].split(".")[-1], r["declared"]) for r in got_with_html(pages, got)]
-    counts = lambda page: {int(g): int(c) for g, c in enumerate(language_id.gram_counts(html.unescape(language_id.MARKUP.sub(" ", page or "")))) if c}
+    counts = lambda page: {int(g): int(c) for g, c in enumerate(language_id.gram_counts(html.unescape(MARKUP.sub(" ", page or "")))) if c}
     want = brute.languages(rows, langs, logs, counts)
     odd = {r["page_id"]: (r["host"], r["suffix"], r["declared"]) for r in got if r["page_id"] < 0 and r["url"] != "x"}
     assert odd == {-1: ("", "", ""), -2: ("a.example.org", "org", "de")}

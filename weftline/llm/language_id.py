@@ -30,8 +30,36 @@ from weftline.llm.common import Scratch, table
 GRAMS = 1 << 14
 #: The text speaks with the weight of this many trigrams at most, as trigrams are far from independent.
 WEIGHT = 60
-MARKUP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-DECLARED = r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]+)"
+CLOSING = {"": re.compile(">"), "!--": re.compile("-->")} | {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template")}
+OPENING = re.compile(r"<(!--|(?:script|style|noscript|template)\b|(?=[A-Za-z/!?]))", re.I)
+DECLARED = r"(?is)<html\b[^<>]*?\slang\s*=\s*[\"']?([a-z]+)"
+
+
+def visible(page: str) -> str:
+    """The page without comments, scripts and tags, in one walk.
+
+    A closing mark that was looked for in vain is not looked for again, as it stands nowhere further on either: hostile pages take no longer than others. What is never closed is text
+    but for its first character, except that an unclosed comment or script is taken for a tag first.
+    """
+    out, at, missing = [], 0, set()
+
+    def after(mark: str, start: int) -> int:
+        """The end of the next closing mark, or -1."""
+        if mark in missing:
+            return -1
+        found = CLOSING[mark].search(page, start)
+        if not found:
+            missing.add(mark)
+        return found.end() if found else -1
+
+    while opening := OPENING.search(page, at):
+        begin, kind = opening.start(), opening[1].lower()
+        end = after(kind, opening.end()) if kind else -1
+        if end < 0:
+            end = after("", opening.end())
+        out += page[at:begin], " "
+        at = end if end >= 0 else begin + 1
+    return "".join((*out, page[at:]))
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -76,7 +104,7 @@ def _evidence(pages: DataFrame, logs: np.ndarray) -> DataFrame:
         for b in batches:
             ll = []
             for page in b.column(6).to_pylist():
-                counts = gram_counts(html.unescape(MARKUP.sub(" ", page or "")))
+                counts = gram_counts(html.unescape(visible(page or "")))
                 n = counts.sum()
                 some = np.flatnonzero(counts)
                 ll.append((logs[:, some] @ counts[some] * (min(1.0, WEIGHT / n) if n else 0.0)).tolist())
