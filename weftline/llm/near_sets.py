@@ -11,7 +11,8 @@ similarity to the leader exactly. Let e(x) = |D(x)| - |x| / 9. Texts x and y are
 So texts linked to the leader need no further link among each other, and each other text x shares at least (e(x) + least e) / 2
 elements of its difference with any near copy y. The elements of a difference have one order in a family: what the leader lacks comes
 first, as few others have it, then what the text lacks. Two near copies share one among their first |D| - t + 1, where t is the
-least number to be shared, so only those are joined, by place (position filter), size, and a 256-bit parity map of the difference, whose bits in dispute two sets cannot outdo. A passage that a third of all texts share is in no difference.
+least number to be shared, so only those are joined, by place (position filter), size, and a 256-bit parity map of the difference, whose bits in dispute two sets cannot outdo. A family's map of
+the first elements of its open texts (those not linked to the leader) tells the other texts which of theirs nobody can share, so only the rest are dealt out. A passage that a third of all texts share is in no difference.
 
 Sets are told by a 64-bit hash and compared by 64-bit hashes of their shingles.
 """
@@ -36,6 +37,8 @@ SMALL = 32
 LEAST = 0.65
 #: Texts of a family that get one copy of their leader.
 SHARE = 512
+#: 64-bit words of the map of elements that a family's open texts have among their first.
+WORDS = 1024
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -123,6 +126,14 @@ def links(signed: DataFrame, docs: DataFrame, words: int, scratch: Scratch, more
     return small.unionByName(to_leaders).unionByName(verified(others, "verified-others"))
 
 
+def _word(el: Column) -> Column:
+    return F.shiftright(el, 20).bitwiseAND(WORDS - 1).cast("int")
+
+
+def _bit(el: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(el, 32).bitwiseAND(63).cast("int"))
+
+
 def _families(many: DataFrame, own: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Links of the texts in large buckets (key, id) to their leaders, and the pairs of others that may be near copies."""
     central = many.join(many.groupBy("id").agg(F.count("*").alias("c")), "id")
@@ -134,7 +145,7 @@ def _families(many: DataFrame, own: DataFrame, scratch: Scratch) -> tuple[DataFr
     leads = leads.select("leader", "lead", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     dealt = family.join(sizes, "leader").select("leader", "id", F.pmod(F.xxhash64("id"), "copies").cast("int").alias("copy"))
     met = dealt.join(own, "id").join(leads, ["leader", "copy"])
-    met = met.select("leader", "id", F.size("own").cast("long").alias("n"), F.size("lead").alias("n_lead"), F.concat(F.array_sort(F.array_except("own", "lead")), F.array_sort(F.array_except("lead", "own"))).alias("d"))
+    met = met.select("leader", "copy", "id", F.size("own").cast("long").alias("n"), F.size("lead").alias("n_lead"), F.concat(F.array_sort(F.array_except("own", "lead")), F.array_sort(F.array_except("lead", "own"))).alias("d"))
     of = lambda k: F.aggregate(F.filter("d", lambda x: F.shiftright(x, 6).bitwiseAND(3) == k), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
     met = met.withColumn("parity", F.array(*map(of, range(4))))
     met = met.withColumn("e", 9 * F.size("d").cast("long") - F.col("n"))  # nine times e(x)
@@ -145,12 +156,20 @@ def _families(many: DataFrame, own: DataFrame, scratch: Scratch) -> tuple[DataFr
     placed = met.join(least.filter("least_open is not null"), "leader").withColumn("size", F.size("d"))
     placed = scratch.save(placed, "placed")
 
-    def prefix(rows: DataFrame, least: str, x: str) -> DataFrame:
+    def prefix(rows: DataFrame, least: str, x: str, held: Column | None = None) -> DataFrame:
         t = F.expr(f"greatest(1, cast(ceil((e + {least}) / 18) as int), size - cast(floor(n / 4) as int))")
         rows = rows.withColumn("first", F.slice("d", 1, F.greatest(F.lit(0), F.col("size") - t + 1)))
-        return rows.select("leader", F.posexplode("first").alias("at", "el"), F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "e", "size", "parity")]).withColumnRenamed("at", f"at_{x}")
-
-    one, other = prefix(placed.filter("open"), "least", "u"), prefix(placed, "least_open", "v")
+        first = F.transform("first", lambda el, at: F.struct(at.alias("at"), el.alias("el")))
+        if held is not None:  # only what an open text may have among its first
+            first = F.filter(first, lambda p: F.get(held, _word(p["el"])).bitwiseAND(_bit(p["el"])) != 0)
+        return rows.select("leader", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "e", "size", "parity")], F.inline(first)).withColumnRenamed("at", f"at_{x}")
+
+    one = scratch.save(prefix(placed.filter("open"), "least", "u"), "prefixes")
+    words = one.groupBy("leader", _word(F.col("el")).alias("word")).agg(F.bit_or(_bit(F.col("el"))).alias("bits"))
+    words = words.groupBy("leader").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))  # WORDS entries at most
+    held = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.coalesce(F.try_element_at("words", k), F.lit(0).cast("long")))
+    maps = words.join(sizes, "leader").select("leader", held.alias("held"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    other = prefix(placed.join(maps, ["leader", "copy"]), "least_open", "v", F.col("held"))
     shared = one.join(other, ["leader", "el"]).filter("u <> v").filter(_alike_sizes("n_u", "n_v"))
     shared = shared.filter("9 * (" + " + ".join(f"bit_count(parity_u[{k}] ^ parity_v[{k}])" for k in range(4)) + ") <= n_u + n_v")
     shared = shared.filter("18 * least(size_u - at_u, size_v - at_v) >= e_u + e_v")  # places count from 0
