@@ -42,8 +42,12 @@ def norms(m: DataFrame, by: str, p: float = 2) -> DataFrame:
 
 def normalize(m: DataFrame, by: str, p: float = 2, least: float = 1e-5) -> DataFrame:
     """Divide by the norm where that is above least; other rows (or columns) stay as they are."""
-    n = norms(m, by, p)
-    return m.join(n, by).withColumn("value", F.when(F.col("norm") > least, F.col("value") / F.col("norm")).otherwise(F.col("value"))).select(m.columns)
+    return divided(m, norms(m, by, p), by, least)
+
+
+def divided(m: DataFrame, norms: DataFrame, by: str, least: float, how: str = "inner") -> DataFrame:
+    """Entries divided by the norm of their row or column in (by, norm), where that is above least."""
+    return m.join(norms, by, how).withColumn("value", F.when(F.col("norm") > least, F.col("value") / F.col("norm")).otherwise(F.col("value"))).select(m.columns)
 
 
 def transpose(m: DataFrame) -> DataFrame:
@@ -65,8 +69,17 @@ def by_date(m: DataFrame, cut: int, later: bool) -> DataFrame:
 
 def select_columns(m: DataFrame, cutoff: int) -> DataFrame:
     """Columns with more than cutoff entries, numbered densely in their order."""
-    kept = counts(m, "col_id").filter(F.col("nnz") > cutoff).select("col_id")
-    return m.join(dense_ids(kept, "col_id"), "col_id").drop("col_id").withColumnRenamed("idx", "col_id").select(m.columns)
+    return renumbered(m, frequent_columns(m, cutoff))
+
+
+def frequent_columns(m: DataFrame, cutoff: float) -> DataFrame:
+    """(col_id, idx): the columns with more than cutoff entries and their numbers."""
+    return dense_ids(counts(m, "col_id").filter(F.col("nnz") > cutoff).select("col_id"), "col_id")
+
+
+def renumbered(m: DataFrame, ids: DataFrame) -> DataFrame:
+    """The columns of ids (col_id, idx) under their numbers."""
+    return m.join(ids, "col_id").drop("col_id").withColumnRenamed("idx", "col_id").select(m.columns)
 
 
 def dense_ids(ids: DataFrame, col: str, blocks: int = 64) -> DataFrame:
@@ -155,7 +168,17 @@ def tfidf(m: DataFrame, n_rows: int | Column) -> DataFrame:
 
 def standardize_columns(m: DataFrame, cutoff: float) -> DataFrame:
     """z-scores over the entries of each column, clipped at cutoff; entries within 1e-5 of the mean vanish."""
-    stats = m.groupBy("col_id").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_std"))
+    return standardized(m, column_stats(m), cutoff)
+
+
+def column_stats(m: DataFrame) -> DataFrame:
+    """(col_id, mean, std) over the entries of each column."""
+    return m.groupBy("col_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
+def standardized(m: DataFrame, stats: DataFrame, cutoff: float) -> DataFrame:
+    """z-scores by the statistics of columns."""
+    stats = stats.select("col_id", F.col("mean").alias("_mean"), F.col("std").alias("_std"))
     moved = m.join(stats, "col_id").withColumn("_c", F.col("value") - F.col("_mean")).filter(F.abs("_c") > 1e-5)
     z = F.when(F.col("_std") > 1e-5, F.col("_c") / F.col("_std")).otherwise(F.col("_c"))
     return moved.select("row_id", "col_id", F.greatest(F.lit(-cutoff), F.least(F.lit(cutoff), z)).alias("value"))

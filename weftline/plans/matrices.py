@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators import coo, dense
+from weftline.operators import coo, dense, transforms
 from weftline.plans.registry import query, r6
 from weftline.plans.views import Views
+from weftline.sources.scratch import folder
 
 CELLS = "SELECT row_id, col_id, round(value, 6) AS value"
 
@@ -189,6 +191,23 @@ def sparse_standardize(v: Views) -> DataFrame:
     return coo.standardize_columns(v.events, 2.0).select("row_id", "col_id", F.round("value", 5).alias("value"))
 
 
+FITTED = """t AS (SELECT * FROM e WHERE row_id % 2 = 0), k AS (SELECT col_id, row_number() OVER (ORDER BY col_id) - 1 AS idx FROM t GROUP BY col_id HAVING count(*) > 5),
+tk AS (SELECT row_id, idx AS col_id, value FROM t JOIN k USING (col_id)), n AS (SELECT col_id, sqrt(sum(value * value)) AS norm FROM tk GROUP BY 1),
+tn AS (SELECT row_id, col_id, CASE WHEN norm > 1e-10 THEN value / norm ELSE value END AS value FROM tk JOIN n USING (col_id)),
+s AS (SELECT col_id, avg(value) AS m, stddev_pop(value) AS s FROM tn GROUP BY 1),
+o AS (SELECT row_id, col_id, (CASE WHEN norm > 1e-10 THEN value / norm ELSE value END) - m AS c, s FROM (SELECT row_id, idx AS col_id, value FROM e JOIN k USING (col_id) WHERE row_id % 2 = 1) JOIN n USING (col_id) JOIN s USING (col_id))
+SELECT row_id, col_id, round(greatest(-2.0, least(2.0, CASE WHEN s > 1e-5 THEN c / s ELSE c END)), 5) AS value FROM o WHERE abs(c) > 1e-5"""
+
+
+@query("fitted_transforms", FITTED)
+def fitted_transforms(v: Views) -> DataFrame:
+    """Column selection, column norms and z-scores learned on even rows, saved, loaded and applied to odd ones."""
+    chain = Pipeline(stages=[transforms.ColumnSelector(cutoff=5), transforms.ColumnNorm(), transforms.Standardizer(cutoff=2.0)])
+    path = folder(v.spark, "pipeline")
+    chain.fit(v.events.filter("row_id % 2 = 0")).write().save(path)
+    return PipelineModel.load(path).transform(v.events.filter("row_id % 2 = 1")).select("row_id", "col_id", F.round("value", 5).alias("value"))
+
+
 DENSE_Z = """x AS (SELECT id, unnest(features) AS value, generate_subscripts(features, 1) - 1 AS pos FROM f), s AS (SELECT pos, avg(value) AS m, stddev_pop(value) AS s FROM x GROUP BY 1)
 SELECT id, CAST(pos AS BIGINT) AS pos, round(greatest(-5.0, least(5.0, CASE WHEN s > 0 THEN (value - m) / s ELSE value - m END)), 5) AS value FROM x JOIN s USING (pos)"""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.operators import coo
+from weftline.sources.dense_binary import DenseBinary
 
 TRACK = "struct<pos int, track_uri string, track_name string, artist_uri string, artist_name string, album_uri string, album_name string, duration_ms int>"
 PLAYLIST = (
@@ -90,18 +91,8 @@ def parse_dense_csv(lines: DataFrame) -> DataFrame:
 
 def read_dense_binary(spark: SparkSession, path: str, columns: int) -> DataFrame:
     """(path, row, features) of files of big-endian 32-bit floats, ``columns`` a row; trailing bytes are an error."""
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        for b in batches:
-            for name, content in zip(b["path"], b["content"]):
-                if len(content) % (4 * columns):
-                    raise ValueError(f"{name}: {len(content)} bytes are no whole rows")
-                rows = np.frombuffer(content, ">f4").reshape(-1, columns).astype(float)
-                yield pd.DataFrame({"path": name, "row": range(len(rows)), "features": list(rows)})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, features array<double>")
+    spark.dataSource.register(DenseBinary)
+    return spark.read.format("dense_binary").option("columns", columns).load(path)
 
 
 def submission_lines(ranked: DataFrame) -> DataFrame:
