@@ -31,7 +31,7 @@ def docs(spark):
 
 @pytest.fixture(scope="session")
 def docs_dir(spark, docs, tmp_path_factory):
-    """A folder with documents, benchmark, labels and pages; and one where all of them are empty."""
+    """A folder with documents, benchmark, labels, pages and embeddings; and one where all of them are empty."""
     full, empty = (str(tmp_path_factory.mktemp(x)) for x in ("full", "empty"))
     items = spark.createDataFrame([(1, " ".join(f"P{k}" for k in range(10, 40))), (2, "One TWO"), (3, None), (4, "..."), (5, " ".join(f"p{k}" for k in range(20, 33)))], "item_id long, text string")
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (8, 0, 0), (10, None, 1), (None, 0, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
@@ -39,7 +39,9 @@ def docs_dir(spark, docs, tmp_path_factory):
         [(1, "http://a.example.de/x", '<html lang="de"><body><p>Der Hund und die Katze</p></body></html>'), (2, None, None), (3, "x", ""), (4, "http://a.example.de", "<p>plain &amp; simple"), (4, "http://a.example.de", "<p>plain &amp; simple")],
         "page_id long, url string, html string",
     )
-    for name, df in (("documents", docs), ("benchmark", items), ("labels", labels), ("pages", pages)):
+    vectors = [(k, k % 3, [0.1 * (k % 5), -0.2, 0.3]) for k in range(95, 115)] + [(200, None, [0.1, 0.2, 0.3]), (300, 1, None), (400, 1, [None, 0.2, 0.3]), (500, 1, [float("nan"), 0.2, 0.3]), (None, 1, [0.1, 0.2, 0.3])]
+    embeddings = spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>")
+    for name, df in (("documents", docs), ("benchmark", items), ("labels", labels), ("pages", pages), ("embeddings", embeddings)):
         df.write.parquet(f"{full}/{name}.parquet")
         df.limit(0).write.parquet(f"{empty}/{name}.parquet")
     return full, empty

@@ -28,11 +28,13 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if n not in ("op1_language_id", "op7_packing", "op9_html_extract")))
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if n not in ("op1_language_id", "op7_packing", "op9_html_extract", "op13_hard_negatives")))
 def test_results_follow_texts(spark, folders, name):
     named, unnamed = (registry.QUERIES[name](spark, at) for at in folders)
     columns = [c for c in named.columns if c not in NAMES]
     assert Counter(map(tuple, unnamed.select(columns).collect())) == Counter(map(tuple, named.select(columns).collect()))
+    if name == "op12_collocations":  # phrases of languages: no result names a document
+        return
     assert Counter(r["doc_id"] for r in unnamed.select("doc_id").collect()) == {0: 1, 3: 1, None: 4}
 
 
